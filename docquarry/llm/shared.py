@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that a Python worker handles at once, if documents are shorter.
+#: Bytes of text that a Python worker handles at once, if documents are shorter.
 SLICE_CHARS = 4_000_000
 
 
@@ -26,13 +26,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int = 1) -> Iterator[tuple[list, ...]]:
-    """Columns of the batches as lists, at most SLICE_CHARS bytes of text at a time."""
+def slices(batches: Iterator[pa.RecordBatch], text_at: int = 1, most: int = SLICE_CHARS) -> Iterator[tuple[list, ...]]:
+    """Columns of the batches as lists, at most ``most`` bytes of text at a time if documents are shorter."""
     for batch in batches:
         first, size = 0, 0
         lengths = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
         for i, n in enumerate(lengths):
-            if size and size + n > SLICE_CHARS:
+            if size and size + n > most:
                 yield tuple(c.slice(first, i - first).to_pylist() for c in batch.columns)
                 first, size = i, 0
             size += n
