@@ -17,7 +17,7 @@ import regex
 import tiktoken
 
 #: Words that a worker keeps; later ones are encoded each time they come.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 _BOUNDARY = re.compile(r" (?=\S)")
 _UNSAFE = re.compile(r" (?=\s)")
 _ASCII_UNSAFE = (" \n", " \t", " \r", " \x0b", " \x0c")

@@ -9,8 +9,10 @@ and answer truncation and budget questions without encoding again.
 
 from __future__ import annotations
 
+import operator
 import re
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -33,7 +35,15 @@ class PrefixCounts:
         self.longest = max(map(len, vocabulary.ranks))
         self.follows: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.words = bpe.Words(lambda part: np.array(self.segment(part), dtype="<i4").tobytes())
+        self.words = bpe.Words(self._steps)
+
+    def _steps(self, part: str) -> bytes | None:
+        """Differences of a part's counts, one byte each; None where one needs more."""
+        counts = self.segment(part)
+        try:
+            return array("b", map(operator.sub, counts, [0, *counts])).tobytes()
+        except OverflowError:
+            return None
 
     def _fits(self, last: int, token: int) -> bool:
         """Whether the encoding of both tokens' bytes is these tokens; last is -1 at the start."""
@@ -50,13 +60,18 @@ class PrefixCounts:
         if found is None:
             raw, ranks = piece.encode(), self.v.ranks
             last, count = [-1], [0]
+            follows, longest = self.follows, self.longest
             for stop in range(1, len(raw) + 1):
-                for start in range(max(0, stop - self.longest), stop):
+                for start in range(stop - 1, stop - longest - 1 if stop > longest else -1, -1):
                     token = ranks.get(raw[start:stop])
-                    if token is not None and self._fits(last[start], token):
-                        last.append(token)
-                        count.append(count[start] + 1)
-                        break
+                    if token is not None:
+                        fits = follows.get((last[start], token))
+                        if fits is None:
+                            fits = self._fits(last[start], token)
+                        if fits:
+                            last.append(token)
+                            count.append(count[start] + 1)
+                            break
             ends = np.cumsum([len(c.encode()) for c in piece]) if len(raw) != len(piece) else range(1, len(raw) + 1)
             found = [count[e] for e in ends]
             if len(self.pieces) < bpe.MEMO_WORDS:
@@ -87,13 +102,15 @@ class PrefixCounts:
     def ordinary(self, text: str) -> np.ndarray:
         """Counts after each character of a string without special strings."""
         parts = bpe.parts_of(text)
-        rows = [np.array(self.segment(parts[0]), dtype="<i4").tobytes(), *map(self.words.__getitem__, parts[1:])]
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-        out = np.frombuffer(b"".join(rows), "<i4").astype(np.int64)
-        last = np.cumsum(sizes) - 1
-        totals = np.where(sizes > 0, out[np.maximum(last, 0)], 0) if out.size else np.zeros(len(sizes), np.int64)
-        base = np.cumsum(totals) - totals
-        out += np.repeat(base, sizes)
+        rows = list(map(self.words.__getitem__, parts[1:]))
+        if None in rows:
+            steps = [np.diff(self.segment(x), prepend=0) for x in (parts[0], *(" " + p for p in parts[1:])) if x]
+            out = np.cumsum(np.concatenate(steps), dtype=np.int64)
+        else:
+            out = np.cumsum(np.frombuffer(b"".join(rows), np.int8), dtype=np.int64)
+            if parts[0]:
+                first = np.array(self.segment(parts[0]), np.int64)
+                out = np.concatenate([first, first[-1] + out])
         for m in _SPACE_BEFORE.finditer(text):  # a space that ends a longer run of white space, seen as a prefix's end
             at = m.end()
             first = at
