@@ -23,6 +23,8 @@ from docquarry.llm import shared
 SAMPLE_PER_CLASS = 6000
 #: Terms of the model: those that tell the classes apart best, and frequent ones as their context.
 TELLING_TERMS, CONTEXT_TERMS = 3000, 200
+#: Standard errors that a telling term's shares differ by at least.
+MIN_ERRORS = 5.0
 LATENT = 4
 EPOCHS = 60
 THRESHOLD = 0.7
@@ -84,8 +86,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
 
     rows = shared.map_texts(chosen, hash_all, "doc_id long, toxic int, terms binary", arrow, [F.col(c) for c in ("doc_id", "text", "toxic")])
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("terms").alias("terms"))  # one row an id
-    found = sorted((r.doc_id, r.toxic, bytes(r.terms)) for r in rows.collect())
-    return [(toxic, np.frombuffer(terms, np.uint32)) for _, toxic, terms in found]
+    found = sorted({(bytes(r.terms), r.toxic) for r in rows.collect()})  # copies count once
+    return [(toxic, np.frombuffer(terms, np.uint32)) for terms, toxic in found]
 
 
 def choose_terms(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
@@ -97,10 +99,10 @@ def choose_terms(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
     shares = (counts + 0.5) / (n[:, None] + 1)
     pooled = counts.sum(0) / n.sum()
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / (n[0] + 1) + 1 / (n[1] + 1)))
-    telling = np.where((counts.sum(0) >= 3) & (shares.max(0) >= 3 * shares.min(0)), np.abs(shares[1] - shares[0]) / error, 0)
+    telling = np.where((counts.sum(0) >= 4) & (shares.max(0) >= 3 * shares.min(0)), np.abs(shares[1] - shares[0]) / error, 0)
     best = np.argsort(-telling, kind="stable")[:TELLING_TERMS]
     often = np.argsort(-counts.sum(0), kind="stable")[:CONTEXT_TERMS]
-    return np.unique(np.concatenate([terms[best[telling[best] > 2.5]], terms[often]]))
+    return np.unique(np.concatenate([terms[best[telling[best] > MIN_ERRORS]], terms[often]]))
 
 
 def fit(rows: list[tuple[int, np.ndarray]], seed: int = 0) -> Model:
