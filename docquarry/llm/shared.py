@@ -40,6 +40,21 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int = 1, most: int = SLIC
             yield tuple(c.slice(first).to_pylist() for c in batch.columns)
 
 
+def filter_texts(df: DataFrame, accept: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows, with all their columns, whose text is accepted, in Python workers over Arrow; accept takes a list of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            verdicts: list[bool] = []
+            for part, in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], 0):
+                verdicts += accept(part)
+            yield batch.filter(pa.array(verdicts, pa.bool_()))
+
+    at = df.columns.index("text")
+    return df.mapInArrow(run, df.schema)
+
+
 def map_texts(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str, arrow: pa.Schema, columns: list | None = None, text_at: int = 1) -> DataFrame:
     """fn(column lists) to a dict of column lists, slice by slice, in Python workers over Arrow."""
 

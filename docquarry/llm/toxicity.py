@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,32 +146,51 @@ def lookup(terms: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return np.cumsum(sizes), np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted; null and empty texts get the score of no terms. Repeated rows and null ids (not held out) stay."""
+def scorer(model: Model) -> Callable[[list], np.ndarray]:
+    """The function from texts to scores."""
     places = {int(t): i for i, t in enumerate(model.terms)}
+    memo: list[_Places] = []
 
-    class Places(dict):
-        def __missing__(self, word: str) -> int:
-            at = places.get(zlib.crc32(word.encode()), -1)
-            if len(self) < _MEMO:
-                self[word] = at
-            return at
-
-    arrow = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-    memo: list[Places] = []
-
-    def scores(doc_ids: list, texts: list) -> dict:
-        memo or memo.append(Places())
+    def scores(texts: list) -> np.ndarray:
+        memo or memo.append(_Places(places))
         rows = []
         for t in texts:
-            at = np.fromiter(map(memo[0].__getitem__, terms_of(t)), np.int64)
+            words = terms_of(t)
+            at = np.fromiter(map(memo[0].__getitem__, words), np.int64, len(words))
             rows.append(np.unique(at[at >= 0]))
         starts = np.cumsum([0, *map(len, rows)])
-        return {"doc_id": doc_ids, "score": model.score(starts, np.concatenate(rows) if rows else np.zeros(0, np.int64))}
+        return model.score(starts, np.concatenate(rows) if rows else np.zeros(0, np.int64))
+
+    return scores
+
+
+class _Places(dict):
+    """From a word to its term's place in the model, or -1; bounded by _MEMO."""
 
-    scored = shared.map_texts(docs, scores, "doc_id long, score double", arrow)
+    def __init__(self, places: dict[int, int]):
+        super().__init__()
+        self.places = places
+
+    def __missing__(self, word: str) -> int:
+        at = self.places.get(zlib.crc32(word.encode()), -1)
+        if len(self) < _MEMO:
+            self[word] = at
+        return at
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted; null and empty texts get the score of no terms. Repeated rows and null ids (not held out) stay."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+    scores = scorer(model)
+    scored = shared.map_texts(docs, lambda ids, texts: {"doc_id": ids, "score": scores(texts)}, "doc_id long, score double", arrow)
     return scored.select("doc_id", F.coalesce(is_held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` with a score under THRESHOLD, with all their columns."""
+    scores = scorer(model)
+    return shared.filter_texts(docs, lambda texts: (scores(texts) < THRESHOLD).tolist())
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(sample(docs, labels))
