@@ -21,17 +21,17 @@ NOTE_PREFIXES = ("note:", "註:", "說明:")
 
 def sentences(text: Column) -> Column:
     """Sentences with their end marks, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, f"(?<=[{SENTENCE_END}])"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, f"(?<=[{SENTENCE_END}])"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def paragraphs(text: Column) -> Column:
     """Trimmed parts between blank lines, without empty ones."""
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def resentenced(text: Column) -> Column:
     """Sentences without their marks, joined by a full stop of the script; one at the end only if there was a mark."""
-    kept = F.filter(F.transform(F.split(text, f"[{SENTENCE_DROP}]"), F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(F.split(text, f"[{SENTENCE_DROP}]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.concat(F.array_join(kept, "。"), F.when(text.rlike(f"[{SENTENCE_DROP}]") & (F.size(kept) > 0), "。").otherwise(""))
 
 
@@ -134,7 +134,7 @@ def room_title(message: Column, default: str = "New room") -> Column:
 
 def model_title(answer: Column, default: str = "New room") -> Column:
     """The last line that is not blank, without quotes; the default beyond 30 characters or if empty."""
-    lines = F.filter(F.transform(F.split(answer, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(answer, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     last = F.regexp_replace(F.coalesce(F.get(lines, F.size(lines) - 1), F.lit("")), "[\"'「」『』]", "")
     return F.when((last == "") | (F.length(last) > 30), default).otherwise(last)
 
@@ -160,7 +160,7 @@ def doc_id_of_file(path: Column) -> Column:
 
 def parsed_questions(answer: Column, most: int) -> Column:
     """Questions of a list, one a line: bullets and the number due taken off, short lines and notes left out, a mark added, at most ``most``."""
-    lines = F.filter(F.transform(F.split(F.trim(answer), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.trim(answer), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
     def bare(done: Column, line: Column) -> Column:
         out = line
