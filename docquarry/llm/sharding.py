@@ -66,8 +66,8 @@ lv AS (SELECT d.*, k::INTEGER AS depth, h >> (32 - k) AS shard FROM d, range(0,
 s AS (SELECT depth, shard, sum(n_bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_docs FROM lv GROUP BY depth, shard),
 m AS (
   SELECT lv.doc_id, lv.n_bytes, lv.depth, lv.shard, shard_bytes, shard_docs,
-         row_number() OVER (PARTITION BY lv.doc_id ORDER BY lv.depth) AS at
+         row_number() OVER (PARTITION BY lv.doc_id ORDER BY lv.depth) AS pos
   FROM lv JOIN s ON lv.depth = s.depth AND lv.shard = s.shard
   WHERE shard_bytes <= {LIMIT} OR lv.depth = 32)
-SELECT doc_id, n_bytes, depth, shard, shard_bytes, shard_docs, shard_bytes <= {LIMIT} AS fits FROM m WHERE at = 1
+SELECT doc_id, n_bytes, depth, shard, shard_bytes, shard_docs, shard_bytes <= {LIMIT} AS fits FROM m WHERE pos = 1
 """
