@@ -60,6 +60,7 @@ class Vocabulary:
         self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
         self.words = Words(self._packed)
+        self.names = {i: token for token, i in ranks.items()}
 
     def ids(self, text: str) -> list[int]:
         return self.core.encode_ordinary(text)

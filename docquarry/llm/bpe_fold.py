@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, shared
 
-#: Pieces with more bytes are left to the library's heap of merges: the fold takes time with the square of a piece's length.
+#: Pieces with more bytes are left to the library's merges: the fold takes time with the square of a piece's length.
 FOLD_BYTES = 64
+#: So are pieces that a slice has less often, as a fold costs some thirty times a call of the library (README).
+FOLD_COUNT = 3
 #: Bytes of text whose distinct pieces make one row.
-SLICE_BYTES = 24_000_000
+SLICE_BYTES = 12_000_000
 _BITS = 17
 _NO_RANK = (1 << _BITS) - 1
 _SLOTS = 131_101
@@ -90,50 +92,53 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) ->
     ordinary text. Repeated rows and null ids stay; other columns are ignored.
     """
     spark = docs.sparkSession
-    layout = "doc_ids array<long>, words array<array<long>>, long_words array<binary>, long_ids array<binary>, codes array<binary>"
-    small = pa.schema([("doc_ids", pa.list_(pa.int64())), ("words", pa.list_(pa.list_(pa.int64()))), ("long_words", pa.list_(pa.binary())), ("long_ids", pa.list_(pa.binary())), ("codes", pa.list_(pa.binary()))])
+    layout = "doc_ids array<long>, words array<array<long>>, rest_ids array<binary>, sizes array<int>, codes binary"
+    small = pa.schema([("doc_ids", pa.list_(pa.int64())), ("words", pa.list_(pa.list_(pa.int64()))), ("rest_ids", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.from_ranks(ranks_path, pattern)
         byte_ids = np.array([own.ranks[bytes([b])] for b in range(256)], np.int64)
         for doc_ids, texts in shared.slices(batches, most=SLICE_BYTES):
-            places: dict[bytes, int] = {}
-            long_places: dict[bytes, int] = {}
+            places: dict[str, int] = {}
 
             def code(text: str) -> bytes:
-                """Places of the pieces of a string; long ones count down from -1."""
-                found = []
-                for piece in own.pattern.findall(text):
-                    raw = piece.encode()
-                    found.append(places.setdefault(raw, len(places)) if len(raw) <= FOLD_BYTES else -1 - long_places.setdefault(raw, len(long_places)))
-                return np.array(found, "<i4").tobytes()
+                return np.array([places.setdefault(piece, len(places)) for piece in own.pattern.findall(text)], "<i4").tobytes()
 
             memo = bpe.Words(code)
             rows = []
             for text in texts:
                 parts = bpe.parts_of(text or "")
                 rows.append(b"".join([code(parts[0]), *map(memo.__getitem__, parts[1:])]))
-            flat = byte_ids[np.frombuffer(b"".join(places), np.uint8)]
-            ends = np.cumsum([0, *map(len, places)])
-            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            long_ids = [np.array(own.core._core_bpe.encode_single_piece(w), "<u4").tobytes() for w in long_places]
-            one = pa.array([0, len(places)], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([doc_ids], pa.list_(pa.int64())), pa.ListArray.from_arrays(one, words), pa.array([list(long_places)], pa.list_(pa.binary())), pa.array([long_ids], pa.list_(pa.binary())), pa.array([rows], pa.list_(pa.binary()))], schema=small)
+            codes = np.frombuffer(b"".join(rows), "<i4")
+            words = [w.encode() for w in places]
+            often = (np.bincount(codes, minlength=len(words)) >= FOLD_COUNT) & (np.fromiter(map(len, words), np.int64, len(words)) <= FOLD_BYTES)
+            # places of folded words count up from 0, those of the rest down from -1
+            moved = np.where(often, np.cumsum(often) - 1, -np.cumsum(~often)).astype("<i4")
+            folded = [w for w, k in zip(words, often.tolist()) if k]
+            rest = [np.array(own.core._core_bpe.encode_single_piece(w), "<u4").tobytes() for w, k in zip(words, often.tolist()) if not k]
+            arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, folded)]), pa.int32()), pa.array(byte_ids[np.frombuffer(b"".join(folded), np.uint8)]))
+            one = pa.array([0, len(folded)], pa.int32())
+            columns = [pa.array([doc_ids], small.types[0]), pa.ListArray.from_arrays(one, arrays), pa.array([rest], small.types[2]), pa.array([[len(r) // 4 for r in rows]], small.types[3]), pa.array([moved[codes].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=small)
 
     out_fields = [("doc_id", "long", pa.int64()), ("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())] + [("ids", "binary", pa.binary()), ("decoded", "binary", pa.binary())] * keep
     arrow = pa.schema([(n, t) for n, _, t in out_fields])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = bpe.from_ranks(ranks_path, pattern)
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_ids, long_words, long_ids, codes, ids, decoded = (batch.column(k)[row] for k in range(6))
+                doc_ids, rest_ids, sizes, codes, ids, decoded = (batch.column(k)[row] for k in range(6))
                 flat, ends = ids.values.flatten().to_numpy().astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(ids.values.value_lengths().to_numpy(zero_copy_only=False))]) * 4
-                by_place = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                # negative places reach the long words from the end
-                id_list, text_list = by_place + long_ids.as_py()[::-1], decoded.as_py() + long_words.as_py()[::-1]
+                rest = rest_ids.as_py()
+                id_list = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())] + rest[::-1]
+                text_list = decoded.as_py() + [b"".join(map(own.names.__getitem__, np.frombuffer(r, "<u4").tolist())) for r in rest][::-1]
+                places = np.frombuffer(codes.as_py(), "<i4").tolist()
                 out: list[list] = [[] for _ in out_fields]
-                for doc_id, own in zip(doc_ids.as_py(), codes.as_py()):
-                    at = np.frombuffer(own, "<i4").tolist()
+                start = 0
+                for doc_id, size in zip(doc_ids.as_py(), sizes.as_py()):
+                    at = places[start : start + size]
+                    start += size
                     packed, text = b"".join(map(id_list.__getitem__, at)), b"".join(map(text_list.__getitem__, at))
                     made = (doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(text).hexdigest(), packed, text)
                     for column, v in zip(out, made):
@@ -150,4 +155,4 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) ->
     folded = sliced.select("*", constants.select("slots").scalar().alias("slots")).withColumn("ids", F.expr(fold_sql())).drop("slots", "words")
     decoding = "transform(ids, w -> aggregate(w, X'', (t, i) -> concat(t, get(token_bytes, cast(i AS int)))))"
     decoded = folded.select("*", constants.select("token_bytes").scalar().alias("token_bytes")).withColumn("decoded", F.expr(decoding)).drop("token_bytes")
-    return decoded.select("doc_ids", "long_words", "long_ids", "codes", "ids", "decoded").mapInArrow(join, ", ".join(f"{n} {t}" for n, t, _ in out_fields))
+    return decoded.select("doc_ids", "rest_ids", "sizes", "codes", "ids", "decoded").mapInArrow(join, ", ".join(f"{n} {t}" for n, t, _ in out_fields))
