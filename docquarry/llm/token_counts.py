@@ -31,7 +31,7 @@ class PrefixCounts:
     def __init__(self, vocabulary: bpe.Vocabulary):
         self.v = vocabulary
         self.encode_piece = vocabulary.core._core_bpe.encode_single_piece
-        self.names = {i: token for token, i in vocabulary.ranks.items()}
+        self.names = vocabulary.names
         self.longest = max(map(len, vocabulary.ranks))
         self.follows: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, list[int]] = {}
