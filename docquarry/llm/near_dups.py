@@ -8,11 +8,11 @@ coordinates agree with the Jaccard similarity of the sets, with concentration.
 Documents with one set are one node. Nodes that share a band of sketch
 coordinates meet in a bucket. A bucket never emits all its pairs: its most
 central node, the one with most company over all bands, is compared with the
-others on full sets, then links are merged into components. Buckets that still
-hold several components get further rounds with 16, 64, 256 ... nodes compared
-with those of other components, until each is in one component or is used up.
-So a link between two nodes that share a bucket is never lost, and a group of
-copies of one text takes one comparison a copy.
+others on full sets, then links are merged into components. In buckets that
+still hold several components, the nodes outside the largest one are held, in
+blocks of bounded size, against all nodes of such buckets. So a link between two
+nodes that share a bucket is never lost, and a group of copies of one text takes
+one comparison a copy.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,10 @@ PERCENT, BANDS, ROWS = 80, 30, 5
 SKETCH = BANDS * ROWS
 #: Ids of candidates that are sent to all executors; more of them are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-FIRST_PIVOTS, PIVOT_GROWTH = 16, 4
-_MEMO = 500_000
+#: Shingles of the sets that others are held against at once.
+BLOCK_SHINGLES = 1_000_000
+#: Pairs of full sets that are handed to a Python worker at once.
+PAIRS_AT_ONCE = 256
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -44,23 +47,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < _MEMO:
-            self[word] = h
-        return h
-
-
-_WORDS = _Hashes()
-
-
 def shingle_set(text: str | None, words_each: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; a shorter text is one shingle, one without words none."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = max(1, h.size - words_each + 1)
     out = np.full(n, np.uint64(min(h.size, words_each)))
     for k in range(min(words_each, h.size)):
@@ -111,14 +103,19 @@ def signatures(docs: DataFrame, words_each: int) -> DataFrame:
     return shared.map_texts(docs, sign, "doc_id long, n_shingles long, print binary, bands array<long>", arrow)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words_each: int) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) of ids whose full sets are similar enough."""
-    wanted = shared.cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def _sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
+    """(doc_id, shingles) with the full sets of the wanted doc_ids."""
+    wanted = shared.cut_lineage(wanted.distinct())
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
     arrow = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
-    sets = shared.map_texts(texts, lambda ids, texts: {"doc_id": ids, "shingles": [shingle_set(t, words_each).tobytes() for t in texts]}, "doc_id long, shingles binary", arrow)
+    return shared.map_texts(texts, lambda ids, texts: {"doc_id": ids, "shingles": [shingle_set(t, words_each).tobytes() for t in texts]}, "doc_id long, shingles binary", arrow)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, words_each: int) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) of ids whose full sets are similar enough."""
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words_each)
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
     def compare(batches):
@@ -130,7 +127,13 @@ def verified(docs: DataFrame, pairs: DataFrame, words_each: int) -> DataFrame:
                 keep.append(bool(common) and 100 * common >= PERCENT * (x.size + y.size - common))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(compare, "a long, b long").distinct()
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(key)
+    conf.set(key, str(PAIRS_AT_ONCE))
+    try:
+        return shared.cut_lineage(both.mapInArrow(compare, "a long, b long").distinct())
+    finally:
+        conf.set(key, usual)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -151,19 +154,69 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _pairs(pivots: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct pairs of a bucket's pivots with its other members that sizes allow to be similar."""
-    p = pivots.select("key", F.col("node").alias("p"), F.col("n").alias("pn"), *([F.col("label").alias("pl")] if "label" in pivots.columns else []))
+    """Distinct pairs of a bucket's pivot with its other members that sizes allow to be similar."""
+    p = pivots.select("key", F.col("node").alias("p"), F.col("n").alias("pn"))
     joined = members.join(p, "key").where(F.col("node") != F.col("p")).where(100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn"))
-    if "pl" in joined.columns:
-        joined = joined.where(F.col("label") != F.col("pl"))
     return joined.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
 
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with their labels, of the buckets that hold more than one label."""
-    named = members.select("key", "node", "n").join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
-    return shared.cut_lineage(named.join(mixed, "key"))
+    """(node, label, odd) of nodes in buckets that hold several labels; odd ones are outside the largest component of one of their buckets."""
+    named = members.select("key", "node").join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("main"))
+    return shared.cut_lineage(named.join(mixed, "key").groupBy("node", "label").agg(F.max((F.col("label") != F.col("main")).cast("int")).alias("odd")))
+
+
+def _late_links(docs: DataFrame, active: DataFrame, words_each: int) -> DataFrame:
+    """Links (a, b) between components, of odd nodes with all nodes of ``active``.
+
+    Two nodes of a bucket in different components are not both in its largest
+    one, so every link that is still missing has an odd end. The full sets of
+    odd nodes are taken in blocks of bounded size, each as an index from a
+    shingle to its nodes, and every other set is held against a block at once;
+    only links come out, one for each node and component it is linked with.
+    """
+    if active.isEmpty():
+        return docs.sparkSession.createDataFrame([], "a long, b long")
+    sets = shared.cut_lineage(_sets(docs, active.select(F.col("node").alias("doc_id")), words_each).join(active.withColumnRenamed("node", "doc_id"), "doc_id"))
+    odd = sets.where("odd = 1")
+    blocks = max(1, -(-(odd.agg(F.sum(F.length("shingles"))).first()[0] or 0) // (8 * BLOCK_SHINGLES)))
+    found = None
+    for b in range(blocks):
+        rows = odd.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).select("doc_id", "label", "shingles").collect()  # about BLOCK_SHINGLES numbers
+        links = shared.cut_lineage(sets.select("doc_id", "label", "shingles").mapInArrow(_against(rows), "a long, b long"))
+        found = links if found is None else found.unionByName(links)
+    return found
+
+
+def _against(rows: list):
+    """A function that holds sets against those of ``rows`` (doc_id, label, shingles)."""
+    ids, labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    own = [np.frombuffer(r[2], np.uint64) for r in rows]
+    sizes = np.array([o.size for o in own], np.int64)
+    flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(own)), sizes)[order]
+
+    def compare(batches):
+        for batch in batches:
+            a: list[int] = []
+            b: list[int] = []
+            for node, label, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                x = np.frombuffer(shingles.as_buffer(), np.uint64)
+                first, last = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+                n = last - first
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=ids.size)
+                near = np.flatnonzero((100 * common >= PERCENT * (x.size + sizes - common)) & (labels != label))
+                if near.size:
+                    _, one = np.unique(labels[near], return_index=True)
+                    a += [node] * one.size
+                    b += ids[near[one]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return compare
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 5) -> DataFrame:
@@ -191,16 +244,8 @@ def near_duplicates(docs: DataFrame, words_each: int = 5) -> DataFrame:
     pivots = shared.cut_lineage(pivots)
     links = verified(docs, shared.cut_lineage(_pairs(pivots, members)), words_each)
     labels = components(links.unionByName(same_id))
-    active = _unresolved(members.join(pivots.select("key", "node"), ["key", "node"], "left_anti"), labels)
-    count, turn = FIRST_PIVOTS, 0
-    while not active.isEmpty():
-        turn += 1
-        chosen = F.pmod(F.xxhash64("key", "node", F.lit(turn)), F.col("m")) < count
-        pairs = shared.cut_lineage(_pairs(active.where(chosen), active))
-        links = verified(docs, pairs, words_each)
-        labels = components(links.unionByName(labels.toDF("a", "b")))
-        active = _unresolved(active.where(~chosen), labels)
-        count *= PIVOT_GROWTH
+    rest = members.join(pivots.select("key", "node"), ["key", "node"], "left_anti")
+    labels = components(_late_links(docs, _unresolved(rest, labels), words_each).unionByName(labels.toDF("a", "b")))
     of_print = nodes.select("print", "node").join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("label"))
     out = signed.select("doc_id", "n_shingles", "print").join(of_print, "print", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
