@@ -28,6 +28,8 @@ TELLING_TERMS, CONTEXT_TERMS = 3000, 200
 MIN_ERRORS = 5.0
 LATENT = 4
 EPOCHS = 60
+#: Rows whose gradients are summed at once; it bounds memory and changes nothing else.
+FIT_ROWS = 500
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 _MEMO = 500_000
@@ -115,18 +117,22 @@ def fit(rows: list[tuple[int, np.ndarray]], seed: int = 0) -> Model:
     terms = choose_terms(rows)
     starts, index = lookup(terms, [t for _, t in rows])
     rng = np.random.default_rng(seed)
-    owner = np.repeat(np.arange(len(rows)), np.diff(starts))
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     model = Model(0.0, terms, np.zeros(terms.size), rng.normal(0, 0.01, (terms.size, LATENT)))
     params = [np.zeros(1), model.weights, model.vectors]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, EPOCHS + 1):
         model.bias = float(params[0][0])
-        gap = weight * (model.score(starts, index) - y)
-        v = model.vectors[index]
-        pull = gap[owner][:, None] * (sums(v, starts)[owner] - v)
-        latent = np.stack([np.bincount(index, pull[:, k], terms.size) for k in range(LATENT)], axis=1)
-        grads = [np.array([gap.sum()]), np.bincount(index, gap[owner], terms.size) + 2e-5 * model.weights, latent + 1e-4 * model.vectors]
+        grads = [np.zeros(1), 2e-5 * model.weights, 1e-4 * model.vectors]
+        for first in range(0, len(rows), FIT_ROWS):
+            own = starts[first : first + FIT_ROWS + 1]
+            part, own = index[own[0] : own[-1]], own - own[0]
+            gap = weight[first : first + FIT_ROWS] * (model.score(own, part) - y[first : first + FIT_ROWS])
+            owner, v = np.repeat(np.arange(own.size - 1), np.diff(own)), model.vectors[part]
+            pull = gap[owner][:, None] * (sums(v, own)[owner] - v)
+            grads[0] += gap.sum()
+            grads[1] += np.bincount(part, gap[owner], terms.size)
+            grads[2] += np.stack([np.bincount(part, pull[:, k], terms.size) for k in range(LATENT)], axis=1)
         for p, g, (m, s) in zip(params, grads, moments):
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
