@@ -26,7 +26,7 @@ FOLD_BYTES = 64
 #: So are pieces that a slice has less often, as a fold costs some thirty times a call of the library (README).
 FOLD_COUNT = 3
 #: Bytes of text whose distinct pieces make one row.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 6_000_000
 _BITS = 17
 _NO_RANK = (1 << _BITS) - 1
 _SLOTS = 131_101
