@@ -1,7 +1,7 @@
 """Quality rules: base counts and divergence from language references.
 
 A document's histogram over character classes and its histogram over the common
-words of a language are held against the same histograms of the whole corpus by
+words of the language it is in are held against the same histograms of the whole corpus by
 Jensen-Shannon distance. References are gathered over every document that
 passes the base rules; short documents have no verdict from the distances.
 """
@@ -9,7 +9,7 @@ passes the base rules; short documents have no verdict from the distances.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,14 @@ MAX_REPEAT_PERCENT = 50
 GUARD_WORDS = 50
 MAX_CHAR_DISTANCE = 0.31
 MAX_WORD_DISTANCE = 0.45
-#: Words of a language's reference; the most frequent among those of at most COMMON_BYTES bytes, which bounds what is counted.
+#: Words of a language's reference; the most frequent.
 COMMON_WORDS = 40
-COMMON_BYTES = 4
-#: Languages with a reference: those with most text. A document of another language is held against the nearest of these.
+#: A reference of fewer words, or whose listed words hold a smaller share of its text, has no say about words: no common words are known.
+MIN_REFERENCE_WORDS = 1_000
+MIN_COMMON_SHARE = 0.1
+#: Counts that a task holds before it hands them on.
+HELD_COUNTS = 200_000
+#: Languages with a reference: those with most text. A document of another language is held against one of these.
 MAX_LANGUAGES = 64
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -98,26 +102,34 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[tuple[bytes,
     schema = "lang string, kind string, key binary, n long"
     arrow = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("key", pa.binary()), ("n", pa.int64())])
 
-    def count(_, texts: list, langs: list) -> dict:
-        classes: dict = defaultdict(lambda: np.zeros(_CLASSES))
-        common: dict = defaultdict(Counter)
-        for text, lang in zip(texts, langs):
-            if text is None or lang is None:
-                continue
-            raw = text.encode()
-            counts, _, by_class = base_counts(raw)
-            if not counts["base_failed"]:
-                classes[lang] += by_class
-                common[lang].update(raw.lower().split())
-        rows = [(lang, "class", bytes([k]), int(n)) for lang, h in classes.items() for k, n in enumerate(h)]
-        rows += [(lang, "words", b"", sum(c.values())) for lang, c in common.items()]
-        rows += [(lang, "word", w, n) for lang, c in common.items() for w, n in c.items() if len(w) <= COMMON_BYTES]
-        return dict(zip(arrow.names, zip(*rows))) if rows else {n: [] for n in arrow.names}
-
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")]
-    counted = shared.map_texts(docs, count, schema, arrow, columns).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    best = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
-    rows = counted.withColumn("at", best).where((F.col("kind") != "word") | (F.col("at") <= COMMON_WORDS))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for texts, langs in shared.slices(batches, 0):
+            for text, lang in zip(texts, langs):
+                if text is None or lang is None:
+                    continue
+                raw = text.encode()
+                counts, words, by_class = base_counts(raw)
+                if counts["base_failed"]:
+                    continue
+                found[lang, "words", b""] += len(words)
+                for k, n in enumerate(by_class):
+                    found[lang, "class", bytes([k])] += int(n)
+                found.update((lang, "word", w) for w in raw.lower().split())
+                if len(found) >= HELD_COUNTS:
+                    yield handed_on(found)
+                    found = Counter()
+        if found:
+            yield handed_on(found)
+
+    def handed_on(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(dict(zip(arrow.names, [*zip(*found), found.values()])), schema=arrow)
+
+    picked = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    counted = shared.cut_lineage(picked.mapInArrow(count, schema).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
+    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    common = counted.where("kind = 'word'").withColumn("at", best).where(F.col("at") <= COMMON_WORDS).drop("at")  # each task hands on COMMON_WORDS a language
+    rows = counted.where("kind <> 'word'").unionByName(common)
     largest = F.dense_rank().over(Window.orderBy(F.desc("total"), "lang"))
     sizes = counted.where("kind = 'words'").select("lang", F.col("n").alias("total")).withColumn("place", largest).where(F.col("place") <= MAX_LANGUAGES)
     found: dict = {}
@@ -132,20 +144,33 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[tuple[bytes,
     return {lang: (h, sorted(words), n) for lang, (h, words, n) in sorted(found.items())}
 
 
-def judged_by(refs: dict) -> Callable[[str | None], dict]:
-    """The function from a text to its counts, distances and verdict."""
-    tables = [(h, [w for w, _ in words], np.array([n for _, n in words] + [total - sum(n for _, n in words)], float)) for h, words, total in refs.values()]
+def judged_by(refs: dict) -> Callable[..., dict]:
+    """The function from a text and its language to its counts, distances and verdict.
 
-    def verdict(text: str | None) -> dict:
+    Words are held against the reference that most listed words are found of;
+    of several, that of the text's own language or else the nearest. Where the
+    own language's reference has fewer than MIN_REFERENCE_WORDS words, or those
+    listed hold less than MIN_COMMON_SHARE of it, words give no verdict.
+    """
+    classes = [h for h, _, _ in refs.values()]
+    tables = {}
+    for lang, (_, words, total) in refs.items():
+        listed = sum(n for _, n in words)
+        if total >= MIN_REFERENCE_WORDS and listed >= MIN_COMMON_SHARE * total:
+            tables[lang] = ([w for w, _ in words], np.array([n for _, n in words] + [total - listed], float))
+
+    def verdict(text: str | None, lang: str | None = None) -> dict:
         raw = (text or "").encode()
         counts, words, by_class = base_counts(raw)
         chars = common = None
-        if tables and counts["n_words"] >= GUARD_WORDS:
+        if classes and counts["n_words"] >= GUARD_WORDS:
+            chars = min(distance(by_class, h) for h in classes)
             found = Counter(raw.lower().split())
-            chars = min(distance(by_class, h) for h, _, _ in tables)
-            own = [np.array([found[w] for w in listed], float) for _, listed, _ in tables]
-            common = min(distance(np.append(h, len(words) - h.sum()), q) for h, (_, _, q) in zip(own, tables))
-        bad = chars is not None and (chars > MAX_CHAR_DISTANCE or common > MAX_WORD_DISTANCE)
+            against = {} if lang in refs and lang not in tables else tables
+            own = [(other != lang, np.array([found[w] for w in listed], float), q) for other, (listed, q) in against.items()]
+            ranked = [(-np.count_nonzero(h), other, distance(np.append(h, len(words) - h.sum()), q)) for other, h, q in own]
+            common = min(ranked)[2] if ranked else None
+        bad = chars is not None and chars > MAX_CHAR_DISTANCE or common is not None and common > MAX_WORD_DISTANCE
         return {**counts, "char_distance": chars, "word_distance": common, "kept": not counts["base_failed"] and not bad}
 
     return verdict
@@ -154,26 +179,28 @@ def judged_by(refs: dict) -> Callable[[str | None], dict]:
 def accepted(docs: DataFrame, refs: dict) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
     verdict = judged_by(refs)
-    return shared.filter_texts(docs, lambda texts: [verdict(t)["kept"] for t in texts])
+    return shared.filter_texts(docs, lambda texts, langs: [verdict(*x)["kept"] for x in zip(texts, langs)], ["lang"])
 
 
 def judge(docs: DataFrame, refs: dict) -> DataFrame:
     """doc_id, the base counts, base_failed, char_distance, word_distance and kept.
 
     Null text has no words and fails the base rules. Distances are null below
-    GUARD_WORDS words and where there is no reference; then the base rules
-    alone decide. Repeated rows and null ids are kept as they are.
+    GUARD_WORDS words and where there is no reference, word_distance also where
+    that of the language is too small or lists too small a share of its text;
+    then the other rules decide. Repeated rows and null ids are kept as they are.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, char_distance double, word_distance double, kept boolean"
     arrow = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names), ("base_failed", pa.bool_()), ("char_distance", pa.float64()), ("word_distance", pa.float64()), ("kept", pa.bool_())])
     verdict = judged_by(refs)
 
-    def verdicts(doc_ids: list, texts: list) -> dict:
+    def verdicts(doc_ids: list, texts: list, langs: list) -> dict:
         out = defaultdict(list)
-        for doc_id, text in zip(doc_ids, texts):
-            for k, v in ({"doc_id": doc_id} | verdict(text)).items():
+        for doc_id, text, lang in zip(doc_ids, texts, langs):
+            for k, v in ({"doc_id": doc_id} | verdict(text, lang)).items():
                 out[k].append(v)
         return out
 
-    return shared.map_texts(docs, verdicts, schema, arrow)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")]
+    return shared.map_texts(docs, verdicts, schema, arrow, columns)

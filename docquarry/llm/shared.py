@@ -40,18 +40,18 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int = 1, most: int = SLIC
             yield tuple(c.slice(first).to_pylist() for c in batch.columns)
 
 
-def filter_texts(df: DataFrame, accept: Callable[[list], list[bool]]) -> DataFrame:
-    """The rows, with all their columns, whose text is accepted, in Python workers over Arrow; accept takes a list of texts."""
+def filter_texts(df: DataFrame, accept: Callable[..., list[bool]], others: tuple | list = ()) -> DataFrame:
+    """The rows, with all their columns, whose text is accepted, in Python workers over Arrow; accept takes lists of the texts and of the other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at)
             verdicts: list[bool] = []
-            for part, in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], 0):
-                verdicts += accept(part)
+            for part in slices([pa.RecordBatch.from_arrays([batch.column(i) for i in at], names=names)], 0):
+                verdicts += accept(*part)
             yield batch.filter(pa.array(verdicts, pa.bool_()))
 
-    at = df.columns.index("text")
+    names = ["text", *others]
+    at = [df.columns.index(n) for n in names]
     return df.mapInArrow(run, df.schema)
 
 

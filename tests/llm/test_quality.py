@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -60,3 +61,29 @@ def test_junk_goes_and_clean_stays(spark):
     empty = df.limit(0)
     assert quality.judge(empty, quality.references(empty)).count() == 0
     assert quality.judge(df, {}).where("kept").count() == 70
+
+
+def test_one_document_of_another_language_changes_no_verdict(spark):
+    """Words of every length are counted, and a document's words are held against its own language."""
+    r = np.random.default_rng(3)
+    common = ["который", "потому", "сейчас", "человек", "вместе", "сегодня"]
+
+    def prose(n):
+        return " ".join(common[r.integers(6)] if r.random() < 0.5 else "".join(r.choice(list("абвгдежз"), 9)) for _ in range(n))
+
+    clean = [(i, prose(200), "ru") for i in range(40)]
+    odd = [(100, " ".join(common[0] if i % 3 else "".join(r.choice(list("абвгдежз"), 9)) for i in range(200)), "ru")]
+    odd.append((101, odd[0][1], None))
+    lone = [(200, " ".join("".join(r.choice(list("pqrstuvw"), 9)) for _ in range(60)), "zz")]
+    unspaced = [(300 + i, " ".join("".join(r.choice(list("天地玄黄宇宙洪荒"), 12)) for _ in range(60)), "zh") for i in range(30)]
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for rows in (clean + odd, clean + odd + lone + unspaced):
+        df = docs(rows)
+        refs = quality.references(df)
+        counts = Counter(w for _, t, lang in rows if lang == "ru" for w in t.encode().lower().split())
+        assert refs["ru"][1] == sorted(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON_WORDS]) and refs["ru"][2] == sum(counts.values())
+        got = {x.doc_id: x for x in quality.judge(df, refs).collect()}
+        assert got[100].base_failed is False and got[100].char_distance <= quality.MAX_CHAR_DISTANCE
+        assert {i for i, x in got.items() if not x.kept} == {100, 101}
+        assert {x.doc_id for x in quality.accepted(df, refs).collect()} == {i for i, x in got.items() if x.kept}
+        assert all(x.word_distance is None and x.char_distance is not None for i, x in got.items() if i >= 200)
