@@ -2,8 +2,9 @@
 
 URLs that a listed (host, path) rule judges are the labelled ones. FP-growth
 mines which combinations of URL tokens go with ``block``; rules below the
-bounds of support and confidence go. An inverted index from a token to the
-rules that ask for it finds, for each other URL, the rules whose tokens it has.
+bounds of support and confidence go, and those that hold another rule's tokens,
+which judge nothing more. An inverted index, with each rule under one of its
+tokens, finds for each other URL the rules whose tokens it has.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.llm import shared
+
 #: (verdict, host, path); the longest that fits decides.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Labelled URLs that FP-growth sees, about; more are thinned by a hash of the URL and page_id.
 MINED_ROWS = 200_000
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_RULES = 0.01, 0.8, 400
+MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.8
 _BLOCK = "=block"
 
 
@@ -55,18 +58,19 @@ def mine(labelled: DataFrame) -> DataFrame:
     """antecedent and confidence of rules for ``block`` from (tokens, verdict); no antecedent holds another rule's tokens."""
     items = F.when(F.col("verdict") == "block", F.concat("tokens", F.array(F.lit(_BLOCK)))).otherwise(F.col("tokens"))
     fitted = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(labelled.select(items.alias("items")))
-    found = fitted.associationRules.where(F.array_contains("consequent", _BLOCK)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    return found.orderBy(F.size("antecedent"), F.desc("confidence"), F.desc("support"), "antecedent").limit(MAX_RULES)
+    found = fitted.associationRules.where(F.array_contains("consequent", _BLOCK)).select(F.array_sort("antecedent").alias("antecedent"), "confidence")
+    ordered = F.array_sort(F.collect_list(F.struct(F.size("antecedent").alias("n"), "antecedent", "confidence")))
+    fewest = F.expr("aggregate(ordered, slice(ordered, 1, 0), (kept, r) -> if(exists(kept, k -> size(array_except(k.antecedent, r.antecedent)) = 0), kept, array_append(kept, r)))")
+    return found.agg(ordered.alias("ordered")).select(F.explode(fewest).alias("r")).select("r.antecedent", "r.confidence")
 
 
 def inverted_index(rules: DataFrame) -> DataFrame:
-    """One row: ``sizes`` of the rules' token sets by rule, and ``index``, from a token to its rules. At most MAX_RULES rules."""
-    numbered = rules.select("antecedent", (F.row_number().over(Window.orderBy(F.size("antecedent"), "antecedent")) - 1).alias("rule"))
-    sizes = F.transform(F.array_sort(F.collect_list(F.struct("rule", F.size("antecedent").alias("n")))), lambda x: x["n"])
-    by_token = numbered.select("rule", F.explode("antecedent").alias("token")).groupBy("token").agg(F.array_sort(F.collect_list("rule")).alias("rules"))
-    entries = F.array_sort(F.collect_list(F.struct("token", "rules")))
-    index = by_token.agg(F.map_from_entries(entries).alias("index"))
-    return numbered.agg(sizes.alias("sizes")).select("sizes", index.select("index").scalar().alias("index"))
+    """One row: ``index``, from a token to the antecedents kept under it; each is under that of its tokens that the fewest rules hold."""
+    tokens = rules.select("antecedent", F.explode("antecedent").alias("token"))
+    held = tokens.withColumn("n", F.count("*").over(Window.partitionBy("token")))
+    under = held.groupBy("antecedent").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
+    by_token = under.groupBy("token").agg(F.array_sort(F.collect_list("antecedent")).alias("rules"))
+    return by_token.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "rules")))).alias("index"))
 
 
 def judge(pages: DataFrame) -> DataFrame:
@@ -88,10 +92,10 @@ def judge(pages: DataFrame) -> DataFrame:
         labelled = labelled.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < int(1_000_000 * MINED_ROWS / rows))
     if not rows:
         return parsed.select("page_id", "host", "path", "rule", F.coalesce("listed", F.lit("allow")).alias("verdict"), F.lit(0).alias("by_rules"))
-    index = inverted_index(mine(labelled))
-    with_index = parsed.select("*", index.select("index").scalar().alias("index"), index.select("sizes").scalar().alias("sizes"))
-    hits = F.expr("flatten(transform(filter(tokens, t -> coalesce(map_contains_key(index, t), false)), t -> element_at(index, t)))")
-    full = F.expr("size(filter(array_distinct(hits), r -> size(filter(hits, x -> x = r)) = get(sizes, r)))")
-    matched = with_index.withColumn("hits", F.when(F.col("listed").isNull(), hits).otherwise(F.expr("cast(array() as array<int>)"))).withColumn("by_rules", full)
+    index = inverted_index(shared.cut_lineage(mine(labelled)))
+    with_index = parsed.select("*", index.scalar().alias("index"))
+    near = "flatten(transform(tokens, t -> coalesce(try_element_at(index, t), cast(array() as array<array<string>>))))"
+    full = F.expr(f"size(filter({near}, r -> forall(r, x -> array_contains(tokens, x))))")
+    matched = with_index.withColumn("by_rules", F.when(F.col("listed").isNull(), full).otherwise(F.lit(0)))
     said = F.coalesce("listed", F.when(F.col("by_rules") > 0, "block").otherwise("allow"))
     return matched.select("page_id", "host", "path", "rule", said.alias("verdict"), "by_rules")

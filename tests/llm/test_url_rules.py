@@ -62,3 +62,22 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "http://a.net/es/1"), (2, "http://b.com/x"), (3, "http://c.org/es/3")], "page_id long, url string")
     plan = url_rules.judge(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_every_rule_counts_where_constant_paths_make_many(spark):
+    """Rules that hold another's tokens go, no others: {h:example, p:en}, below many of confidence 1, still judges."""
+    deep = [f"https://host{k}.net/es/" + "/".join(f"{c}{k}" for c in "abcdefg") + f"/{i}" for k in range(8) for i in range(40)]
+    listed = [f"https://example.com/en/{i}" for i in range(100)] + [f"https://www.example.com/en/{i}" for i in range(10)]
+    listed += [f"https://example.com/de/{i}" for i in range(60)] + [f"https://other.com/en/{i}" for i in range(60)]
+    open_urls = [f"https://example.org/en/{i}" for i in range(1000, 1020)] + [f"https://example.org/de/{i}" for i in range(1000, 1020)]
+    urls = deep + listed + open_urls
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    first = len(deep + listed)
+    host, path = url_rules.host_and_path(F.col("url"))
+    said = url_rules.listed_rule(host, path)[1]
+    labelled = df.where(F.col("page_id") < first).select(url_rules.url_tokens(F.col("url"), host, path).alias("tokens"), said.alias("verdict"))
+    rules = {frozenset(r.antecedent): r.confidence for r in url_rules.mine(labelled).collect()}
+    assert abs(rules[frozenset({"h:example", "p:en"})] - 100 / 110) < 1e-9
+    assert not any(a < b for a in rules for b in rules)
+    got = {r.page_id: r for r in url_rules.judge(df).collect() if r.page_id >= first}
+    assert {i: r.verdict for i, r in got.items()} == {first + i: "block" if "/en/" in u else "allow" for i, u in enumerate(open_urls)}
