@@ -72,12 +72,15 @@ def indel_ratio(a: str, b: str) -> float:
     """100 times twice the longest common subsequence over both lengths."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    short, long = sorted((a, b), key=len)
+    at: dict[str, int] = {}
+    for i, x in enumerate(long):
+        at[x] = at.get(x, 0) | 1 << i
+    full = row = (1 << len(long)) - 1  # bits of a row of the table of lengths; 0 where the length grows
+    for y in short:
+        met = row & at.get(y, 0)
+        row = (row + met | row - met) & full
+    return 200.0 * (len(long) - row.bit_count()) / (len(a) + len(b))
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -87,8 +90,25 @@ def token_set_ratio(a: str, b: str) -> float:
     left, right = (" ".join(filter(None, [both, " ".join(sorted(s - (x & y)))])) for s in (x, y))
     if both and (not x - y or not y - x):
         return 100.0
-    pairs = [(left, right)] + ([(both, left), (both, right)] if both else [])
-    return max(indel_ratio(*p) for p in pairs)
+    best = max(200.0 * len(both) / (len(both) + len(side)) for side in (left, right)) if both else 0.0  # either side begins with what both share
+    if not left and not right or 200.0 * min(len(left), len(right)) / (len(left) + len(right)) > best:
+        best = max(best, indel_ratio(left, right))
+    return best
+
+
+def token_sets_alike(x: set[str], y: set[str], sizes: tuple[int, int], least: float) -> bool:
+    """Whether token_set_ratio is at least ``least``; sizes are the lengths of the joined tokens. Bounds by length come first."""
+    same = x & y
+    if same and (len(same) == len(x) or len(same) == len(y)):
+        return least <= 100
+    short, long = min(sizes), max(sizes)
+    both = sum(map(len, same)) + len(same) - 1 if same else 0
+    if both and 200.0 * both / (both + short) >= least:
+        return True
+    if long and 200.0 * short / (short + long) < least:
+        return False
+    start = sorted(same)
+    return indel_ratio(" ".join(start + sorted(x - same)), " ".join(start + sorted(y - same))) >= least
 
 
 _DIGIT = {c: i for i, c in enumerate("零一二三四五六七八九")} | {c: i for i, c in enumerate("〇壹貳參肆伍陸柒捌玖")} | {str(i): i for i in range(10)} | {"兩": 2}

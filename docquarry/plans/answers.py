@@ -51,11 +51,10 @@ def named_documents(spark, sf_dir):
 
 
 def fuzzy_dedup(spark, sf_dir):
-    """Lines of documents that are nearly another line of their document and language."""
+    """Lines of documents that are not nearly an earlier line of their document; documents have no pages, so each is one."""
     own = views.pages(spark, sf_dir).where(F.trim("text") != "")
-    left = own.where("page % 2 = 1").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.col("page").alias("pos"), "text")
-    right = own.where("page % 2 = 0").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.substring("text", 1, 40).alias("text"))
-    return evidence.without_table_echoes(left.withColumn("text", F.substring("text", 1, 40)), right)
+    lines = own.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.col("page").alias("pos"), "text")
+    return evidence.without_table_echoes(lines, lines)
 
 
 def numeral_pages(spark, sf_dir):
