@@ -26,8 +26,11 @@ def packed(text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP, segment: C
     """Chunks of whole sentences, at most ``most`` tokens before the overlap.
 
     No chunk spans a blank line. A chunk starts with the last ``overlap``
-    tokens of the one before it in its paragraph. A longer sentence stays whole.
+    tokens of the one before it in its paragraph. A longer sentence stays whole,
+    so a chunk has at most ``overlap`` tokens and the larger of ``most`` and one sentence.
     """
+    if not 0 <= overlap < most:
+        raise ValueError("the overlap must be smaller than a chunk")
     out = []
     for part in filter(str.strip, _BLANK.split(text or "")):
         held: list[str] = []

@@ -1,6 +1,10 @@
 import pytest
+from hypothesis import settings
 from pyspark.sql import SparkSession
 
+settings.register_profile("same", derandomize=True, deadline=None)
+settings.load_profile("same")
+
 
 @pytest.fixture(scope="session")
 def spark():

@@ -19,13 +19,19 @@ def test_segments_join_to_the_text(value):
 
 
 @settings(max_examples=100)
-@given(st.lists(st.integers(1, 40), min_size=1, max_size=20), st.integers(5, 60), st.integers(0, 10))
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=20), st.integers(5, 60), st.integers(0, 4))
 def test_packed_chunks(sizes, most, overlap):
     body = "".join("字" * (n - 1) + "。" if n > 1 else "。" for n in sizes)
     chunks = chunking.packed(body, most, overlap)
     rebuilt = chunks[0] + "".join(c[overlap:] if len(p) >= overlap else c[len(p) :] for p, c in zip(chunks, chunks[1:]))
     assert rebuilt == body
-    assert all(len(c) <= most + max(sizes) for c in chunks)
+    assert all(len(c) <= overlap + max(most, *sizes, 0) for c in chunks)
+
+
+def test_an_overlap_as_large_as_a_chunk_is_refused():
+    for most, overlap in ((5, 5), (5, 6), (5, -1)):
+        with pytest.raises(ValueError, match="overlap"):
+            chunking.packed("a。", most, overlap)
 
 
 def test_chunks_stop_at_blank_lines_and_keep_long_sentences():
