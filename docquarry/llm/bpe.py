@@ -16,8 +16,10 @@ import numpy as np
 import regex
 import tiktoken
 
-#: Words that a worker keeps; later ones are encoded each time they come.
-MEMO_WORDS = 1_000_000
+#: Bytes of a worker's memo of words, about; later ones are encoded each time they come. Words over MEMO_LONGEST characters are not kept.
+MEMO_BYTES, MEMO_LONGEST = 64_000_000, 200
+#: Bytes that an entry takes besides its key and its value: two objects and a place in a table.
+ENTRY_BYTES = 200
 _BOUNDARY = re.compile(r" (?=\S)")
 _UNSAFE = re.compile(r" (?=\s)")
 _ASCII_UNSAFE = (" \n", " \t", " \r", " \x0b", " \x0c")
@@ -39,18 +41,23 @@ def parts_of(text: str) -> list[str]:
 
 
 class Words(dict):
-    """A memo from a part (without its space) to what ``make`` gives for it, bounded by MEMO_WORDS."""
+    """A memo from a part (without its space) to what ``make`` gives for it, bounded by MEMO_BYTES."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.room = make, MEMO_BYTES
 
     def __missing__(self, part: str):
         made = self.make(" " + part)
-        if len(self) < MEMO_WORDS:
+        if self.room > 0 and len(part) <= MEMO_LONGEST:
             self[part] = made
+            self.room -= ENTRY_BYTES + len(part) + len(made or b"")
         return made
 
+    def clear(self) -> None:
+        super().clear()
+        self.room = MEMO_BYTES
+
 
 class Vocabulary:
     """Ranks of byte strings, special strings and the splitting pattern."""

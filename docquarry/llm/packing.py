@@ -57,9 +57,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int =
                 start = stop
         return out
 
+    done = lambda: bpe.from_json(tokenizer, pattern).words.clear()
     if keep_ids:
-        return shared.map_texts(docs, cut, PIECES + ", ids binary", _ARROW.append(pa.field("ids", pa.binary())))
-    return shared.map_texts(docs, cut, PIECES, _ARROW)
+        return shared.map_texts(docs, cut, PIECES + ", ids binary", _ARROW.append(pa.field("ids", pa.binary())), done=done)
+    return shared.map_texts(docs, cut, PIECES, _ARROW, done=done)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

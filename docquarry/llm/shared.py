@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -40,8 +41,21 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int = 1, most: int = SLIC
             yield tuple(c.slice(first).to_pylist() for c in batch.columns)
 
 
-def filter_texts(df: DataFrame, accept: Callable[..., list[bool]], others: tuple | list = ()) -> DataFrame:
-    """The rows, with all their columns, whose text is accepted, in Python workers over Arrow; accept takes lists of the texts and of the other columns."""
+def give_back(done: Callable[[], None] | None = None) -> None:
+    """At a task's end: ``done`` empties memos, and unused memory goes to the system, as the worker lives on for other stages."""
+    if done:
+        done()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def filter_texts(df: DataFrame, accept: Callable[..., list[bool]], others: tuple | list = (), done: Callable[[], None] | None = None) -> DataFrame:
+    """The rows, with all their columns, whose text is accepted, in Python workers over Arrow.
+
+    accept takes lists of the texts and of the other columns; done runs at the end of a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,18 +63,20 @@ def filter_texts(df: DataFrame, accept: Callable[..., list[bool]], others: tuple
             for part in slices([pa.RecordBatch.from_arrays([batch.column(i) for i in at], names=names)], 0):
                 verdicts += accept(*part)
             yield batch.filter(pa.array(verdicts, pa.bool_()))
+        give_back(done)
 
     names = ["text", *others]
     at = [df.columns.index(n) for n in names]
     return df.mapInArrow(run, df.schema)
 
 
-def map_texts(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str, arrow: pa.Schema, columns: list | None = None, text_at: int = 1) -> DataFrame:
-    """fn(column lists) to a dict of column lists, slice by slice, in Python workers over Arrow."""
+def map_texts(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str, arrow: pa.Schema, columns: list | None = None, text_at: int = 1, done: Callable[[], None] | None = None) -> DataFrame:
+    """fn(column lists) to a dict of column lists, slice by slice, in Python workers over Arrow; done runs at the end of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_at):
             yield pa.RecordBatch.from_pydict(fn(*part), schema=arrow)
+        give_back(done)
 
     picked = df.select(*(columns or [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]))
     return picked.mapInArrow(run, schema)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from docquarry.llm import bpe, shared
 
 LIMIT = 512
+#: Pairs of tokens of which a worker keeps whether one may follow the other; some 200 bytes each.
+FOLLOWS = 500_000
 _SPACE_BEFORE = re.compile(r"\s(?= \S)")
 
 
@@ -35,6 +37,7 @@ class PrefixCounts:
         self.longest = max(map(len, vocabulary.ranks))
         self.follows: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, list[int]] = {}
+        self.room = bpe.MEMO_BYTES
         self.words = bpe.Words(self._steps)
 
     def _steps(self, part: str) -> bytes | None:
@@ -50,7 +53,7 @@ class PrefixCounts:
         known = self.follows.get((last, token))
         if known is None:
             known = self.encode_piece(self.names.get(last, b"") + self.names[token]) == ([token] if last < 0 else [last, token])
-            if len(self.follows) < 4 * bpe.MEMO_WORDS:
+            if len(self.follows) < FOLLOWS:
                 self.follows[last, token] = known
         return known
 
@@ -74,8 +77,9 @@ class PrefixCounts:
                             break
             ends = np.cumsum([len(c.encode()) for c in piece]) if len(raw) != len(piece) else range(1, len(raw) + 1)
             found = [count[e] for e in ends]
-            if len(self.pieces) < bpe.MEMO_WORDS:
+            if self.room > 0 and len(piece) <= bpe.MEMO_LONGEST:
                 self.pieces[piece] = found
+                self.room -= bpe.ENTRY_BYTES + 9 * len(piece)
         return found
 
     def segment(self, text: str) -> list[int]:

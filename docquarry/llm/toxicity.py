@@ -32,7 +32,8 @@ EPOCHS = 60
 FIT_ROWS = 500
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
-_MEMO = 500_000
+#: Words of at most MEMO_LONGEST characters whose place a task keeps; 150 to 350 bytes each.
+_MEMO, MEMO_LONGEST = 200_000, 100
 
 
 @dataclass
@@ -153,7 +154,7 @@ def lookup(terms: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.nd
 
 
 def scorer(model: Model) -> Callable[[list], np.ndarray]:
-    """The function from texts to scores."""
+    """The function from texts to scores; its ``done`` drops what it keeps of words."""
     places = {int(t): i for i, t in enumerate(model.terms)}
     memo: list[_Places] = []
 
@@ -167,6 +168,7 @@ def scorer(model: Model) -> Callable[[list], np.ndarray]:
         starts = np.cumsum([0, *map(len, rows)])
         return model.score(starts, np.concatenate(rows) if rows else np.zeros(0, np.int64))
 
+    scores.done = memo.clear
     return scores
 
 
@@ -179,7 +181,7 @@ class _Places(dict):
 
     def __missing__(self, word: str) -> int:
         at = self.places.get(zlib.crc32(word.encode()), -1)
-        if len(self) < _MEMO:
+        if len(self) < _MEMO and len(word) <= MEMO_LONGEST:
             self[word] = at
         return at
 
@@ -188,14 +190,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted; null and empty texts get the score of no terms. Repeated rows and null ids (not held out) stay."""
     arrow = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     scores = scorer(model)
-    scored = shared.map_texts(docs, lambda ids, texts: {"doc_id": ids, "score": scores(texts)}, "doc_id long, score double", arrow)
+    scored = shared.map_texts(docs, lambda ids, texts: {"doc_id": ids, "score": scores(texts)}, "doc_id long, score double", arrow, done=scores.done)
     return scored.select("doc_id", F.coalesce(is_held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with a score under THRESHOLD, with all their columns."""
     scores = scorer(model)
-    return shared.filter_texts(docs, lambda texts: (scores(texts) < THRESHOLD).tolist())
+    return shared.filter_texts(docs, lambda texts: (scores(texts) < THRESHOLD).tolist(), done=scores.done)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
