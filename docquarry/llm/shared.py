@@ -21,12 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint in the folder that the cluster names; a temporary one only where none is named."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="docquarry-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or else that of checkpoints; a temporary one only in local mode, as executors elsewhere do not see it."""
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir", ""):
+        return named
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="docquarry-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def new_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, in whatever case."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_at: int = 1, most: int = SLICE_CHARS) -> Iterator[tuple[list, ...]]:
     """Columns of the batches as lists, at most ``most`` bytes of text at a time if documents are shorter."""
     for batch in batches:

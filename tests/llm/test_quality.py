@@ -60,30 +60,56 @@ def test_junk_goes_and_clean_stays(spark):
     assert kept.columns == df.columns and sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == sorted([-1, 1, *range(60)])
     empty = df.limit(0)
     assert quality.judge(empty, quality.references(empty)).count() == 0
-    assert quality.judge(df, {}).where("kept").count() == 70
+    none = spark.createDataFrame([], "lang string, ref string")
+    assert quality.judge(df, none).where("kept").count() == 70
 
 
-def test_one_document_of_another_language_changes_no_verdict(spark):
-    """Words of every length are counted, and a document's words are held against its own language."""
+def test_verdicts_against_a_plain_version(spark):
+    """References, distances and verdicts by the definition; languages without enough words, or without common ones, give no verdict about words."""
     r = np.random.default_rng(3)
     common = ["который", "потому", "сейчас", "человек", "вместе", "сегодня"]
 
     def prose(n):
         return " ".join(common[r.integers(6)] if r.random() < 0.5 else "".join(r.choice(list("абвгдежз"), 9)) for _ in range(n))
 
-    clean = [(i, prose(200), "ru") for i in range(40)]
-    odd = [(100, " ".join(common[0] if i % 3 else "".join(r.choice(list("абвгдежз"), 9)) for i in range(200)), "ru")]
-    odd.append((101, odd[0][1], None))
-    lone = [(200, " ".join("".join(r.choice(list("pqrstuvw"), 9)) for _ in range(60)), "zz")]
-    unspaced = [(300 + i, " ".join("".join(r.choice(list("天地玄黄宇宙洪荒"), 12)) for _ in range(60)), "zh") for i in range(30)]
-    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    for rows in (clean + odd, clean + odd + lone + unspaced):
-        df = docs(rows)
-        refs = quality.references(df)
-        counts = Counter(w for _, t, lang in rows if lang == "ru" for w in t.encode().lower().split())
-        assert refs["ru"][1] == sorted(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON_WORDS]) and refs["ru"][2] == sum(counts.values())
-        got = {x.doc_id: x for x in quality.judge(df, refs).collect()}
-        assert got[100].base_failed is False and got[100].char_distance <= quality.MAX_CHAR_DISTANCE
-        assert {i for i, x in got.items() if not x.kept} == {100, 101}
-        assert {x.doc_id for x in quality.accepted(df, refs).collect()} == {i for i, x in got.items() if x.kept}
-        assert all(x.word_distance is None and x.char_distance is not None for i, x in got.items() if i >= 200)
+    rows = [(i, prose(200), "ru") for i in range(40)]
+    rows += [(100, " ".join(common[0] if i % 3 else "".join(r.choice(list("абвгдежз"), 9)) for i in range(200)), "ru"), (101, rows[0][1], None), (102, rows[0][1].upper(), "RU")]
+    rows += [(103, " ".join(rows[100 % 40][1] for _ in range(1)), "ru"), (103, rows[3][1], "ru"), (104, "", "ru"), (105, None, None), (106, prose(59), "ru"), (107, prose(60), "ru"), (108, "сейчас " * 200, "ru")]
+    rows += [(200, " ".join("".join(r.choice(list("pqrstuvw"), 9)) for _ in range(60)), "zz")]
+    rows += [(300 + i, " ".join("".join(r.choice(list("天地玄黄宇宙洪荒"), 12)) for _ in range(60)), "zh") for i in range(30)]
+    rows += [(400, " ".join(prose(150) for _ in range(300)), "ru")]  # long
+    df = spark.createDataFrame([(*x, "a", "b") for x in rows], "doc_id long, text string, lang string, ref string, __ref string")
+    base = {k: plain(t) if len(t or "") < 50_000 else quality.base_counts(t.encode())[0] for k, (_, t, _) in enumerate(rows)}
+    words, classes = {}, {}
+    for k, (_, t, lang) in enumerate(rows):
+        if not base[k]["base_failed"]:
+            words.setdefault(lang or "", Counter()).update(t.encode().lower().split())
+            classes[lang or ""] = classes.get(lang or "", 0) + quality.class_histogram(np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256))
+
+    def js(a, b):
+        p, q = np.asarray(a, float) / sum(a), np.asarray(b, float) / sum(b)
+        return sum(0.5 * x * np.log2(2 * x / (x + y)) for u, v in ((p, q), (q, p)) for x, y in zip(u, v) if x) ** 0.5 if not np.allclose(p, q) else 0.0
+
+    want = Counter()
+    for k, (i, t, lang) in enumerate(rows):
+        own, n = words.get(lang or "", Counter()), base[k]["n_words"]
+        chars = dist = None
+        if n >= 60 and sum(own.values()) >= 1000:
+            listed = sorted(own.items(), key=lambda x: (-x[1], x[0]))[:40]
+            chars = js(quality.class_histogram(np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256)), classes[lang or ""])
+            if sum(c for _, c in listed) >= 0.1 * sum(own.values()):
+                found = Counter(t.encode().lower().split())
+                here = [found[w] for w, _ in listed]
+                dist = js([*here, n - sum(here)], [*(c for _, c in listed), sum(own.values()) - sum(c for _, c in listed)])
+        kept = not base[k]["base_failed"] and not (chars or 0) > 0.31 and not (dist or 0) > 0.38
+        want[i, n, chars is None, dist is None, round(chars or 0, 6), round(dist or 0, 6), kept] += 1
+    refs = quality.references(df)
+    got = Counter((x.doc_id, x.n_words, x.char_distance is None, x.word_distance is None, round(x.char_distance or 0, 6), round(x.word_distance or 0, 6), x.kept) for x in quality.judge(df, refs).collect())
+    assert got == want and not quality.judge(df, refs).where("doc_id = 100").first().kept
+    kept = quality.accepted(df, refs)
+    assert kept.columns == df.columns and Counter(x.doc_id for x in kept.collect()) == Counter(k[0] for k in want.elements() if k[-1])
+    old, quality.BROADCAST_BYTES = quality.BROADCAST_BYTES, 0
+    try:
+        assert Counter(x.doc_id for x in quality.accepted(df, refs).collect()) == Counter(x.doc_id for x in kept.collect())
+    finally:
+        quality.BROADCAST_BYTES = old
