@@ -34,8 +34,8 @@ SKETCH = BANDS * ROWS
 BROADCAST_IDS = 1_000_000
 #: Shingles of the sets that others are held against at once.
 BLOCK_SHINGLES = 1_000_000
-#: Pairs of full sets that are handed to a Python worker at once.
-PAIRS_AT_ONCE = 256
+#: Full sets that are handed to a Python worker at once, and pairs of one pivot that go to one task, about.
+PAIRS_AT_ONCE, SALT_PAIRS = 256, 2_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -114,24 +114,44 @@ def _sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words_each: int) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) of ids whose full sets are similar enough."""
-    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words_each)
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    """Those of the distinct ``pairs`` (a, b) of a pivot ``a`` and a member ``b`` whose full sets are similar enough.
+
+    A pivot's members are dealt over salts of about SALT_PAIRS pairs, and its set goes to each salt once; a member's set goes to each of its pairs.
+    """
+    pairs = shared.cut_lineage(pairs)
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_PAIRS).cast("int").alias("salts"))
+    salts = shared.cut_lineage(salts)
+    dealt = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
+    lone = salts.select(F.col("a").alias("doc_id"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
+    roles = dealt.unionByName(lone)
+    sets = _sets(docs, roles.select("doc_id"), words_each)
+    here = roles.join(sets, "doc_id").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member")
 
     def compare(batches):
+        group, pivots = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(bool(common) and 100 * common >= PERCENT * (x.size + y.size - common))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            a, b = [], []
+            for doc_id, pivot, salt, member, shingles in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                x = np.frombuffer(shingles.as_py() if not member else shingles.as_buffer(), np.uint64)
+                if (pivot, salt) != group:
+                    group, pivots = (pivot, salt), []
+                if not member:
+                    pivots.append(x)
+                    continue
+                for y in pivots:
+                    common = np.intersect1d(x, y, assume_unique=True).size
+                    if common and 100 * common >= PERCENT * (x.size + y.size - common):
+                        a.append(pivot)
+                        b.append(doc_id)
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        shared.give_back()
 
     conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     usual = conf.get(key)
     conf.set(key, str(PAIRS_AT_ONCE))
     try:
-        return shared.cut_lineage(both.mapInArrow(compare, "a long, b long").distinct())
+        return shared.cut_lineage(here.select("doc_id", "pivot", "salt", "member", "shingles").mapInArrow(compare, "a long, b long").distinct())
     finally:
         conf.set(key, usual)
 
@@ -146,7 +166,8 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         seen = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written first, so that the join with a hub's edges has exchanges of its own, whose large partitions can be split
+        least = shared.cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a")
@@ -154,17 +175,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _pairs(pivots: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct pairs of a bucket's pivot with its other members that sizes allow to be similar."""
+    """Distinct pairs (a, b) of a bucket's pivot with its other members that sizes allow to be similar."""
     p = pivots.select("key", F.col("node").alias("p"), F.col("n").alias("pn"))
     joined = members.join(p, "key").where(F.col("node") != F.col("p")).where(100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn"))
-    return joined.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
+    return joined.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label, odd) of nodes in buckets that hold several labels; odd ones are outside the largest component of one of their buckets."""
     named = members.select("key", "node").join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("main"))
+    mixed = shared.cut_lineage(sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("main")))
     return shared.cut_lineage(named.join(mixed, "key").groupBy("node", "label").agg(F.max((F.col("label") != F.col("main")).cast("int")).alias("odd")))
 
 
@@ -236,13 +257,13 @@ def near_duplicates(docs: DataFrame, words_each: int = 5) -> DataFrame:
     same_id = named.join(versions, "doc_id").select(F.col("node").alias("a"), F.col("lo").alias("b"))
 
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared_keys = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared_keys = shared.cut_lineage(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))  # written first: see components()
     members = shared.cut_lineage(banded.join(shared_keys, "key"))
     company = members.groupBy("node").agg(F.sum("c").alias("company"))
     ranked = members.join(company, "node")
     pivots = ranked.groupBy("key").agg(F.max(F.struct("company", -F.col("node"), "n")).alias("top")).select("key", (-F.col("top.col2")).alias("node"), F.col("top.n").alias("n"))
     pivots = shared.cut_lineage(pivots)
-    links = verified(docs, shared.cut_lineage(_pairs(pivots, members)), words_each)
+    links = verified(docs, _pairs(pivots, members), words_each)
     labels = components(links.unionByName(same_id))
     rest = members.join(pivots.select("key", "node"), ["key", "node"], "left_anti")
     labels = components(_late_links(docs, _unresolved(rest, labels), words_each).unionByName(labels.toDF("a", "b")))
