@@ -16,10 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docquarry.llm import shared
 
 RATE, BLOCK, CHUNK = 8000, 64, 1 << 20
+#: Bytes of coded sound that a worker handles at once, if files are shorter; their PCM takes four to eight times as much.
+SLICE_BYTES = 1_000_000
 #: WAV format tags.
 CODECS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 #: Fixed values of IMA ADPCM: step sizes and what a nibble adds to the step's index.
@@ -75,7 +78,9 @@ def wav(codec: str, data: bytes, rate: int = RATE, block: int = BLOCK) -> bytes:
         form = struct.pack("<HHIIHH", 1, 1, rate, rate * 2, 2, 16)
     else:
         form = struct.pack("<HHIIHHH", CODECS[codec], 1, rate, rate, 1, 8, 0)
-    body = b"WAVE" + b"fmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+    samples = len(data) // block * per_block if codec == "adpcm" else len(data)
+    fact = b"" if codec == "pcm16" else b"fact" + struct.pack("<II", 4, samples)
+    body = b"WAVE" + b"fmt " + struct.pack("<I", len(form)) + form + fact + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
@@ -146,32 +151,36 @@ def store(payload: bytes) -> bytes:
     return wav(sorted(CODECS)[zlib.crc32(payload) % len(CODECS)], payload)
 
 
-def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
-    """One row a document with its stored form, what is read back from it and features of the sound.
+def coded(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and media: each whole text as a WAV file of coded samples; null text counts as empty."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
-    Null text counts as empty: one block of zeros. Equal texts give equal
-    values. With keep_media also the WAV file and the 16 kHz PCM, as binaries.
-    Repeated rows and null ids stay; other columns are ignored.
-    """
-    fields = [("doc_id", "long"), ("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("codec", "string"), ("pcm_bytes", "long"), ("pcm_sha256", "string")]
-    fields += [("media", "binary"), ("pcm", "binary")] * keep_media
+    def build(doc_ids: list, texts: list) -> dict:
+        sizes, payloads = zip(*map(payload_of, texts))
+        return {"doc_id": doc_ids, "n_bytes": sizes, "media": [store(p) for p in payloads]}
+
+    return shared.map_texts(docs, build, "doc_id long, n_bytes long, media binary", arrow)
+
+
+FEATURES = [("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("codec", "string"), ("pcm_bytes", "long"), ("pcm_sha256", "string")]
+
+
+def decoded(stored: DataFrame, keep_media: bool = True) -> DataFrame:
+    """doc_id, n_bytes and what the WAV files of the column ``media`` hold; with keep_media also media and pcm, the 16 kHz sound as a WAV file."""
+    fields = [("doc_id", "long"), ("n_bytes", "long"), *FEATURES] + [("media", "binary"), ("pcm", "binary")] * keep_media
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     arrow = pa.schema([(n, types[t]) for n, t in fields])
 
-    def build(doc_ids: list, texts: list) -> dict:
-        out, stored = defaultdict(list), []
-        for text in texts:
-            n, payload = payload_of(text)
-            stored.append((n, store(payload)))
-        back = [read_wav(m) for _, m in stored]
+    def build(doc_ids: list, sizes: list, files: list) -> dict:
+        out, back = defaultdict(list), [read_wav(m) for m in files]
         small = [k for k, (codec, _, block, data) in enumerate(back) if codec == "adpcm" and len(data) <= CHUNK]
         sound = {}
         if small:  # all their blocks at once
             rows = np.frombuffer(b"".join(back[k][3] for k in small), np.uint8).reshape(-1, BLOCK)
-            decoded = np.concatenate([decode_adpcm(rows[first : first + CHUNK // BLOCK]) for first in range(0, len(rows), CHUNK // BLOCK)])
+            linear_rows = np.concatenate([decode_adpcm(rows[first : first + CHUNK // BLOCK]) for first in range(0, len(rows), CHUNK // BLOCK)])
             ends = np.cumsum([len(back[k][3]) // BLOCK for k in small])
-            sound = {k: part.ravel() for k, part in zip(small, np.split(decoded, ends[:-1]))}
-        for k, (doc_id, (n, media), (codec, _, block, data)) in enumerate(zip(doc_ids, stored, back)):
+            sound = {k: part.ravel() for k, part in zip(small, np.split(linear_rows, ends[:-1]))}
+        for k, (doc_id, n, media, (codec, _, block, data)) in enumerate(zip(doc_ids, sizes, files, back)):
             chunks = (lambda k=k, codec=codec, block=block, data=data: double_rate(iter([sound[k]]) if k in sound else linear(codec, block, data)))
             feature, size, digest = summary(codec, chunks())
             row = (doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, codec, size, digest)
@@ -181,4 +190,14 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
                 out[name].append(v)
         return out
 
-    return shared.map_texts(docs, build, ", ".join(f"{n} {t}" for n, t in fields), arrow)
+    return shared.map_texts(stored, build, ", ".join(f"{n} {t}" for n, t in fields), arrow, [F.col(c) for c in ("doc_id", "n_bytes", "media")], text_at=2, most=SLICE_BYTES)
+
+
+def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
+    """One row a document with its stored form, what is read back from that column and features of the sound.
+
+    Null text counts as empty: one block of zeros. Equal texts give equal
+    values. With keep_media also the WAV file and the 16 kHz PCM, as binaries.
+    Repeated rows and null ids stay; other columns are ignored.
+    """
+    return decoded(coded(docs), keep_media)

@@ -88,11 +88,11 @@ def filter_texts(df: DataFrame, accept: Callable[..., list[bool]], others: tuple
     return df.mapInArrow(run, df.schema)
 
 
-def map_texts(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str, arrow: pa.Schema, columns: list | None = None, text_at: int = 1, done: Callable[[], None] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str, arrow: pa.Schema, columns: list | None = None, text_at: int = 1, done: Callable[[], None] | None = None, most: int = SLICE_CHARS) -> DataFrame:
     """fn(column lists) to a dict of column lists, slice by slice, in Python workers over Arrow; done runs at the end of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_at):
+        for part in slices(batches, text_at, most):
             yield pa.RecordBatch.from_pydict(fn(*part), schema=arrow)
         give_back(done)
 
