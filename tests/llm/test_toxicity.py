@@ -18,6 +18,50 @@ def test_margins_equal_the_pairwise_sum():
     assert np.allclose(m.margins(starts, np.concatenate(rows)), want)
 
 
+def test_rows_are_scored_by_themselves():
+    """Empty rows, ties and any neighbours; also the fit's loop against a plain one."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(int(i % 3 == 0), toxicity.hashed(" ".join(rng.choice(words, 12)) + (" scum" if i % 3 == 0 else ""))) for i in range(300)]
+    model = toxicity.fit(rows)
+    score = toxicity.scorer(model)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40))) + (" scum" if i % 4 == 0 else "") for i in range(200)] + ["", None, "scum " * 50_000, "x" * 200_000]
+    together = score(texts + texts[::-1])
+    assert (together[: len(texts)] == together[len(texts) :][::-1]).all()
+    assert all(score([t])[0] == p for t, p in zip(texts, together))
+    place = {int(t): i for i, t in enumerate(model.terms)}
+    for t, p in zip(texts, together):
+        at = [place[h] for h in {zlib.crc32(w.encode()) for w in (t or "").lower().split()} if h in place]
+        margin = model.bias + sum(model.weights[i] for i in at) + sum(float(model.vectors[a] @ model.vectors[b]) for k, a in enumerate(at) for b in at[:k])
+        assert abs(p - 1 / (1 + np.exp(-np.clip(margin, -30, 30)))) < 1e-9
+
+
+def test_fit_equals_plain_steps():
+    """One step of Adam from the same start, by gradients taken numerically."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i % 2), toxicity.hashed(" ".join(rng.choice(["a", "b", "c", "d"], 2)) + (" bad" if i % 2 else ""))) for i in range(80)]
+    old, toxicity.EPOCHS = toxicity.EPOCHS, 1
+    try:
+        model = toxicity.fit(rows)
+    finally:
+        toxicity.EPOCHS = old
+    y = np.array([r[0] for r in rows])
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    start = toxicity.Model(0.0, model.terms, np.zeros(model.terms.size), np.random.default_rng(0).normal(0, 0.01, model.vectors.shape))
+    at = toxicity.lookup(model.terms, [t for _, t in rows])
+
+    def loss(bias, weights):
+        p = toxicity.Model(bias, start.terms, weights, start.vectors).score(*at)
+        return -(weight * np.log(np.where(y == 1, p, 1 - p))).sum()
+
+    for k in range(model.terms.size):
+        step = np.zeros(model.terms.size)
+        step[k] = 1e-5
+        slope = (loss(0.0, step) - loss(0.0, -step)) / 2e-5
+        if abs(slope) > 1e-6:
+            assert np.sign(model.weights[k]) == -np.sign(slope) and abs(abs(model.weights[k]) - 0.15) < 0.01
+
+
 def test_learns_a_pair_that_no_single_term_shows():
     rng = np.random.default_rng(2)
     rows = []
