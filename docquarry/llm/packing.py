@@ -2,14 +2,14 @@
 
 Bulk-synchronous best-fit: documents and gaps are sorted by size, each document
 meets its successor (the tightest gap that holds it), conflicts for a gap go by
-rank, gaps shrink, and the rounds repeat.
+rank, gaps shrink, and the steps repeat.
 
 Lengths are whole numbers up to the capacity, so the sorted order of all
 documents is a list of at most ``capacity`` runs of equal length, and so is that
-of gaps. Sweeps go over runs: a run of documents takes as many gaps of its
-successor run as it needs, lower ranks first. The state is bounded by the
-capacity, never by the corpus. Ranks are given out in parallel, with each length
-dealt over salts, and every row finds its sequence by (length, rank).
+of gaps. A step sweeps one run of documents over the runs of gaps. The state is
+bounded by the capacity, never by the corpus, so the driver holds it. Ranks are
+given out in parallel, with each length dealt over salts, and every row finds
+its sequence by (length, rank).
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int =
 
     A document is its ids and ``end_id``. A longer one is cut into full pieces;
     what is left over comes first. With keep_ids the ids are returned as a
-    binary of little-endian unsigned 32-bit integers.
+    binary of little-endian unsigned 32-bit integers. Texts of any length are
+    encoded whole; repeated rows and null ids give pieces of their own; other
+    columns are ignored.
     """
 
     def cut(doc_ids: list, texts: list) -> dict:
@@ -64,65 +66,55 @@ def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int =
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, ranks, first sequence, offset) for runs of documents of one length.
+    """(length, first rank, ranks, first sequence, offset) for runs of documents of one length; as best-fit decreasing places them one by one.
 
-    A round takes documents longer than half of the longest one left. They are
-    swept from the longest down, every gap taking one document a sweep, until no
-    sweep places any; then the longest of the rest open sequences.
+    A step takes the next run of documents, the longest left, and sweeps over the
+    runs of gaps from its successor on. A document goes to the tightest gap, and
+    the next of its length to the same one as long as it fits, so each gap of a
+    run takes equally many, in the order of ranks, and shrinks; what no gap holds
+    opens sequences. A step splits at most one run of gaps and opens at most two.
     """
-    left = {n: c for n, c in counts.items() if c}
-    taken: dict[int, int] = defaultdict(int)
     gaps: dict[int, list[tuple[int, int]]] = {}
     sizes: list[int] = []
     placed, sequences = [], 0
 
     def add_gap(size: int, first: int, count: int) -> None:
-        if size:
+        if size and count:
             if size not in gaps:
                 gaps[size] = []
                 insort(sizes, size)
             gaps[size].append((first, count))
 
-    def put(length: int, count: int, first: int, offset: int) -> None:
-        placed.append((length, taken[length], count, first, offset))
-        taken[length] += count
-        left[length] -= count
-        if not left[length]:
-            del left[length]
-
-    def sweep(lengths: list[int]) -> bool:
-        shrunk = []
-        for length in lengths:
-            at = bisect_left(sizes, length)
-            while left.get(length) and at < len(sizes):
-                size = sizes[at]
-                first, count = gaps[size].pop()
-                used = min(count, left[length])
-                put(length, used, first, capacity - size)
-                shrunk.append((size - length, first, used))
-                if used < count:
-                    gaps[size].append((first + used, count - used))
-                if not gaps[size]:
-                    del gaps[size]
-                    sizes.pop(at)
+    for length in sorted((n for n, c in counts.items() if c), reverse=True):
+        left, shrunk = counts[length], []
+
+        def fill(size: int, first: int, count: int) -> tuple[int, int]:
+            """Puts documents into gaps of a run, as many as fit each; how many documents are placed, and in how many gaps."""
+            each, rank = size // length, counts[length] - left
+            whole = min(count, left // each)
+            over = left - whole * each if whole < count else 0  # fewer than fit the next gap
+            for take, start, bins in ((each, first, whole), (over, first + whole, int(over > 0))):
+                for k in range(take if bins else 0):  # the k-th document of each of these gaps
+                    placed.append((length, rank, bins, start, capacity - size + k * length))
+                    rank += bins
+                if bins:
+                    shrunk.append((size - take * length, start, bins))
+            return whole * each + over, whole + int(over > 0)
+
+        at = bisect_left(sizes, length)
+        while left and at < len(sizes):
+            first, count = gaps[sizes[at]].pop()
+            done, used = fill(sizes[at], first, count)
+            left -= done
+            if used < count:
+                gaps[sizes[at]].append((first + used, count - used))
+            if not gaps[sizes[at]]:
+                del gaps[sizes.pop(at)]
+        if left:
+            done, used = fill(capacity, sequences, left)
+            left, sequences = left - done, sequences + used
         for gap in shrunk:
             add_gap(*gap)
-        return bool(shrunk)
-
-    while left:
-        longest = max(left)
-        band = sorted((n for n in left if 2 * n > longest), reverse=True)
-        while sweep([n for n in band if n in left]):
-            pass
-        rest = [n for n in band if n in left]
-        fresh = -(-sum(n * left[n] for n in rest) // capacity)
-        for length in rest:
-            opened = left[length] if 2 * length > capacity else min(fresh, left[length])
-            if opened > 0:
-                put(length, opened, sequences, 0)
-                add_gap(capacity - length, sequences, opened)
-                sequences += opened
-                fresh -= opened
     return placed
 
 

@@ -1,7 +1,10 @@
 import zlib
-from collections import defaultdict
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -11,35 +14,50 @@ from docquarry.llm import packing
 PATH = P.path("byte_bpe_50k.json")
 
 
-def first_fit_decreasing(lengths, capacity):
-    gaps = []
+def best_fit_decreasing(lengths, capacity):
+    """Gaps after each document has gone to the tightest one that holds it."""
+    gaps, sequences = [], 0
     for n in sorted(lengths, reverse=True):
-        fitting = [i for i, g in enumerate(gaps) if g >= n]
-        if fitting:
-            gaps[min(fitting, key=gaps.__getitem__)] -= n
+        at = bisect_left(gaps, n)
+        if at < len(gaps):
+            insort(gaps, gaps.pop(at) - n)
         else:
-            gaps.append(capacity - n)
-    return len(gaps)
+            insort(gaps, capacity - n)
+            sequences += 1
+    assert sequences == len(gaps)
+    return gaps
+
+
+def used(counts, capacity):
+    """Checks that each rank has one place and places do not overlap; the room left by sequence, sorted."""
+    ranks, places = defaultdict(list), []
+    for length, first, count, sequence, offset in packing.plan(counts, capacity):
+        ranks[length].append((first, count))
+        places += [(sequence + k, offset, length) for k in range(count)]
+    for n, c in counts.items():
+        at = 0
+        for first, count in sorted(ranks.pop(n, [])):
+            assert first == at and count > 0
+            at += count
+        assert at == c
+    ends = {}
+    for sequence, offset, length in sorted(places):
+        assert offset == ends.get(sequence, 0)
+        ends[sequence] = offset + length
+    assert not ranks and set(ends) == set(range(len(ends))) and max(ends.values(), default=0) <= capacity
+    return sorted(capacity - x for x in ends.values())
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=200))
-def test_plan_places_each_rank_once_and_packs_as_well_as_best_fit(lengths):
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    cells, ranks = set(), defaultdict(list)
-    for length, first, count, sequence, offset in packing.plan(counts, 64):
-        for k in range(count):
-            own = {(sequence + k, offset + x) for x in range(length)}
-            assert offset + length <= 64 and not own & cells
-            cells |= own
-            ranks[length].append(first + k)
-    assert {n: sorted(r) for n, r in ranks.items()} == {n: list(range(c)) for n, c in counts.items()}
-    used = defaultdict(int)
-    for sequence, _ in cells:
-        used[sequence] += 1
-    assert all((s, u - 1) in cells for s, u in used.items())
-    best = first_fit_decreasing(lengths, 64)
-    assert len(used) <= max(best + 1, round(1.05 * best))
+def test_plan_equals_best_fit_decreasing(lengths):
+    assert used(Counter(lengths), 64) == best_fit_decreasing(lengths, 64)
+
+
+@pytest.mark.parametrize("low, high", [(200, 400), (300, 600), (1, 1024), (1, 60)])
+def test_plan_equals_best_fit_decreasing_on_many(low, high):
+    lengths = np.random.default_rng(low).integers(low, high + 1, 40_000).tolist()
+    assert used(Counter(lengths), 1024) == best_fit_decreasing(lengths, 1024)
 
 
 def test_pieces_and_places(spark):
