@@ -22,6 +22,8 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 #: Labelled URLs that FP-growth sees, about; more are thinned by a hash of the URL and page_id.
 MINED_ROWS = 200_000
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.8
+#: Blocked rows that a rule needs at least, and how many times the odds of ``block`` among all labelled rows its odds must be.
+MIN_ROWS, MIN_ODDS = 20, 3.0
 _BLOCK = "=block"
 
 
@@ -55,9 +57,20 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine(labelled: DataFrame) -> DataFrame:
-    """antecedent and confidence of rules for ``block`` from (tokens, verdict); no antecedent holds another rule's tokens."""
+    """antecedent and confidence of rules for ``block`` from (tokens, verdict); no antecedent holds another rule's tokens.
+
+    A rule's tokens stand in MIN_SUPPORT of the rows and MIN_ROWS blocked ones;
+    its confidence is MIN_CONFIDENCE and MIN_ODDS times the odds of ``block``
+    among all rows, or more. Where all rows are blocked there is nothing to tell
+    them by, and no rule.
+    """
+    blocked, rows = labelled.agg(F.sum((F.col("verdict") == "block").cast("int")), F.count("*")).first()
+    if not blocked or blocked == rows:
+        return labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double")
+    odds = MIN_ODDS * blocked / (rows - blocked)
+    support, confidence = min(1.0, max(MIN_SUPPORT, MIN_ROWS / rows)), max(MIN_CONFIDENCE, odds / (1 + odds))
     items = F.when(F.col("verdict") == "block", F.concat("tokens", F.array(F.lit(_BLOCK)))).otherwise(F.col("tokens"))
-    fitted = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(labelled.select(items.alias("items")))
+    fitted = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled.select(items.alias("items")))
     found = fitted.associationRules.where(F.array_contains("consequent", _BLOCK)).select(F.array_sort("antecedent").alias("antecedent"), "confidence")
     ordered = F.array_sort(F.collect_list(F.struct(F.size("antecedent").alias("n"), "antecedent", "confidence")))
     fewest = F.expr("aggregate(ordered, slice(ordered, 1, 0), (kept, r) -> if(exists(kept, k -> size(array_except(k.antecedent, r.antecedent)) = 0), kept, array_append(kept, r)))")

@@ -18,7 +18,16 @@ def plain(url):
     return host, path, *rule
 
 
-ODD = [None, "", "no scheme", "http://", "://x.com", "HTTP://WWW.Example.COM/en/1?x#y", "http://example.com/en", "http://example.com/en/", "http://com", "http://com/", "http://xcom/", "a://b.net/es/x://y", "http://É.net/fr/1", "http://h.net?/es/", "http://h.com#/x", "http://a.b.com/\n/q?z", "x\ny://m.com/p"]
+def test_no_rule_from_few_rows_or_from_one_verdict(spark):
+    df = lambda rows: spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    few = [(["h:a"], "block")] * 19 + [(["h:b"], "allow")] * 19
+    assert url_rules.mine(df(few)).count() == 0 and url_rules.mine(df(few + few[:1])).count() == 1
+    assert url_rules.mine(df([(["h:a"], "block")] * 50)).count() == 0
+    weak = [(["h:a"], "block")] * 90 + [(["h:a"], "allow")] * 10 + [(["h:b"], "block")] * 90 + [(["h:b"], "allow")] * 20
+    assert url_rules.mine(df(weak)).count() == 0  # confidence 0.9 where 0.86 of all are blocked
+
+
+ODD = [None, "", "no scheme", "http://", "://x.com", "HTTP://WWW.Example.COM/en/1?x#y", "http://example.com/en", "http://example.com/en/", "http://com", "http://com/", "http://xcom/", "a://b.net/es/x://y", "http://É.net/fr/1", "http://h.net?/es/", "http://h.com#/x", "http://a.b.com/\n/q?z", "x\ny://m.com/p", "http://long.net/es/" + "x/" * 50_000, "http://long.org/" + "y" * 100_000]
 
 
 def test_rows(spark):
@@ -51,6 +60,8 @@ def test_matching_equals_brute_force(spark):
     for tokens, confidence in rules:
         having = [r for r in rows if tokens <= set(r.tokens)]
         blocked = sum(r.verdict == "block" for r in having)
+        base = sum(r.verdict == "block" for r in rows) / len(rows)
+        assert confidence / max(1e-9, 1 - confidence) >= url_rules.MIN_ODDS * base / (1 - base) - 1e-9 and blocked >= url_rules.MIN_ROWS
         assert confidence >= url_rules.MIN_CONFIDENCE and blocked >= url_rules.MIN_SUPPORT * len(rows) and abs(confidence - blocked / len(having)) < 1e-9
     by = {r.page_id: r.by_rules for r in url_rules.judge(df).collect()}
     for r in own.collect():
