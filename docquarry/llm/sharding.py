@@ -17,6 +17,8 @@ from docquarry.llm import shared
 
 #: Bytes of text in a shard at most.
 LIMIT = 1 << 20
+#: The same for shards that are written: each is a folder.
+WRITE_LIMIT = 1 << 28
 HASH_BITS, STEP = 32, 8
 
 
@@ -50,11 +52,18 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     return reduce(DataFrame.unionByName, placed).withColumn("fits", F.col("shard_bytes") <= limit)
 
 
-def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """The rows of ``docs`` as Parquet, one folder a shard."""
-    places = shard(docs, limit).select(F.col("doc_id").alias("__id"), "depth", "shard").distinct()
-    named = docs.join(places, docs["doc_id"].eqNullSafe(F.col("__id"))).drop("__id")
-    named.write.partitionBy("depth", "shard").parquet(path)
+def write(docs: DataFrame, path: str, limit: int = WRITE_LIMIT) -> None:
+    """The rows of ``docs``, with all their columns, as Parquet, one folder and one file a shard.
+
+    The rows of a shard meet in one task, which its limit allows. The folders
+    are named by two columns that ``docs`` does not have: __depth and __shard,
+    or these with more underscores. Null and repeated ids are written like any
+    others.
+    """
+    depth, number, own = (shared.new_name(docs, n) for n in ("depth", "shard", "id"))
+    places = shard(docs, limit).select(F.col("doc_id").alias(own), F.col("depth").alias(depth), F.col("shard").alias(number)).distinct()
+    named = docs.join(places, docs["doc_id"].cast("long").eqNullSafe(F.col(own))).drop(own)
+    named.repartition(depth, number).sortWithinPartitions(depth, number).write.partitionBy(depth, number).parquet(path)
 
 
 ORACLE = f"""
