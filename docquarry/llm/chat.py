@@ -1,8 +1,9 @@
 """Chat formatting: a hidden Markov model recovers the roles of a transcript's lines.
 
-The states are roles. A line shows a speaker marker, a size and a number of
-lines; the model's shares are counted from lines whose role is known. Viterbi
-runs over all lines of a conversation. The table is sorted over ranges, so a
+A transcript is cut into lines. The states are roles. A line shows a speaker
+marker or none, a size and how it ends; the model's shares are counted from
+lines whose role is known. Viterbi runs over all lines of a conversation, and
+lines of one role that follow each other become one canonical turn. The table is sorted over ranges, so a
 conversation may span many tasks: each task first reduces its part of the
 conversations at its two edges to a matrix of best scores from state to state,
 the driver chains these (two a task), and each task then decodes its own part
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +27,9 @@ from docquarry.llm import shared
 ROLES = ("system", "user", "assistant")
 #: Words that name a speaker at the start of a line.
 MARKERS = {"system": "system", "user": "user|human|customer|q", "assistant": "assistant|ai|bot|agent|a"}
+#: Names that transcribed() gives to speakers; one turn in MARK_EVERY has none.
+NAMES = {"system": ("System",), "user": ("User", "Human", "Q"), "assistant": ("Assistant", "AI", "A")}
+MARK_EVERY = 4
 SIZES = (80, 160, 320, 640)
 #: Share of conversations, of 16, from which the model is counted.
 TRAIN_SIXTEENTHS = 8
@@ -40,36 +45,76 @@ def marker_role(text: Column) -> Column:
 
 
 def observation(text: Column) -> Column:
-    """What a line shows: marker, size class, one line or more, and whether it asks."""
+    """What a line shows: marker, size class, one line or more (of a text that is not cut), and whether it asks."""
     text = F.coalesce(text, F.lit(""))
     size = sum((F.length(text) > n).cast("int") for n in SIZES)
     return F.concat_ws("|", marker_role(text), size.cast("string"), text.contains("\n").cast("string"), text.rlike(r"\?\s*$").cast("string"))
 
 
+def cut_lines(text: Column) -> Column:
+    """Array of the lines that are not blank; of a blank or null text one empty line."""
+    lines = F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), "\r?\n"), lambda x: F.trim(x) != "")
+    return F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("")))
+
+
 def lines_of(transcripts: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) with a row for each line that is not blank of (conv_id, text); roles are unknown."""
-    lines = transcripts.select("conv_id", F.posexplode(F.split("text", "\n")).alias("turn", "text"))
-    return lines.where(F.trim("text") != "").select("conv_id", F.col("turn").cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), "text")
+    """(conv_id, turn, line, role, text): the lines of (conv_id, text), all as one turn of unknown role."""
+    lines = transcripts.select("conv_id", F.posexplode(cut_lines(F.col("text"))).alias("line", "text"))
+    return lines.select("conv_id", F.lit(0).cast("long").alias("turn"), "line", F.lit(None).cast("string").alias("role"), "text")
+
+
+def transcribed(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, line, role, text): the lines of a plain transcript of (conv_id, turn, role, text).
+
+    As people write them down: a hash of conversation and turn leaves about one
+    turn in MARK_EVERY without its speaker's name, and takes a name at random
+    from those of NAMES otherwise; the name stands on the first line only. The
+    lines of a conversation are rows and never one string, as one conversation
+    may hold any share of the table. ``role`` is what there is to recover.
+    """
+    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    chance = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(1 << 20))
+    names = F.array(F.lit(""))
+    for role, words in NAMES.items():
+        names = F.when(F.col("role") == role, F.array(*map(F.lit, words))).otherwise(names)
+    name = F.when(chance % MARK_EVERY == 0, F.lit("")).otherwise(F.get(names, (chance % F.size(names)).cast("int")))
+    lines = own.select("conv_id", "turn", "role", name.alias("name"), F.posexplode(cut_lines(F.col("text"))).alias("line", "text"))
+    marked = F.when((F.col("line") == 0) & (F.col("name") != ""), F.concat("name", F.lit(": "), "text")).otherwise(F.col("text"))
+    return lines.select("conv_id", "turn", "line", "role", marked.alias("text"))
+
+
+def with_lines(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, line (0 where there is no such column), role and text."""
+    line = F.col("line").cast("int") if "line" in rows.columns else F.lit(0)
+    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), line.alias("line"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def in_training(conv: Column) -> Column:
+    return F.pmod(F.xxhash64(conv), F.lit(16)) < TRAIN_SIXTEENTHS
 
 
-def count_model(turns: DataFrame) -> dict:
+def count_model(rows: DataFrame) -> dict:
     """Log shares of first roles, of a role after another and of what lines of a role show, with one added everywhere.
 
-    From rows of known role in TRAIN_SIXTEENTHS/16 of the conversations. The
-    result has at most |roles|^2 + |roles| * |what a line may show| numbers.
+    From lines of known role in TRAIN_SIXTEENTHS/16 of the conversations; lines
+    of one turn follow each other in one role. The result has at most
+    |roles|^2 + |roles| * |what a line may show| numbers.
     """
-    known = turns.select("conv_id", "turn", "role", observation(F.col("text")).alias("seen")).where(F.col("role").isin(*ROLES) & (F.pmod(F.xxhash64("conv_id"), F.lit(16)) < TRAIN_SIXTEENTHS))
-    before = known.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("was")).groupBy("conv_id", "turn").agg(F.max("was").alias("was"))
-    moves = known.join(before, ["conv_id", "turn"], "left").groupBy("was", "role").count().collect()
-    shown = known.groupBy("role", "seen").count().collect()
-    move = {(r["was"] or "", r["role"]): r["count"] for r in moves}
+    known = with_lines(rows).where(F.col("role").isin(*ROLES) & in_training(F.col("conv_id")))
+    known = known.select("conv_id", "turn", "line", "role", observation(F.col("text")).alias("seen"))
+    turns = known.where("line = 0")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("was")).groupBy("conv_id", "turn").agg(F.max("was").alias("was"))
+    moves = turns.join(before, ["conv_id", "turn"], "left").groupBy("was", "role").count().collect()
+    shown = known.groupBy("role", "seen").agg(F.count("*").alias("count"), F.sum((F.col("line") > 0).cast("int")).alias("inner")).collect()
+    move: Counter = Counter({(r["was"] or "", r["role"]): r["count"] for r in moves})
+    move.update(Counter({r: sum(x["inner"] for x in shown if x["role"] == r[1]) for r in zip(ROLES, ROLES)}))
     show = {(r["role"], r["seen"]): r["count"] for r in shown}
     seen = sorted({s for _, s in show})
-    rows = {was: sum(move.get((was, r), 0) + 1 for r in ROLES) for was in ("", *ROLES)}
+    rows_after = {was: sum(move[was, r] + 1 for r in ROLES) for was in ("", *ROLES)}
     totals = {r: sum(show.get((r, s), 0) + 1 for s in seen) + 1 for r in ROLES}
     return {
-        "first": [math.log((move.get(("", r), 0) + 1) / rows[""]) for r in ROLES],
-        "move": [[math.log((move.get((was, r), 0) + 1) / rows[was]) for r in ROLES] for was in ROLES],
+        "first": [math.log((move["", r] + 1) / rows_after[""]) for r in ROLES],
+        "move": [[math.log((move[was, r] + 1) / rows_after[was]) for r in ROLES] for was in ROLES],
         "show": {s: [math.log((show.get((r, s), 0) + 1) / totals[r]) for r in ROLES] for s in seen},
         "unseen": [math.log(1 / totals[r]) for r in ROLES],
     }
@@ -159,8 +204,8 @@ def _edges(model: dict):
     return reduce_edges
 
 
-def chain(edges: list, model: dict) -> dict[tuple[int, int], tuple[int | None, int | None]]:
-    """By (task, conversation of the task): the state before it and at its end, for conversations that go on over tasks."""
+def chain(edges: list, model: dict) -> dict[tuple[int, int], tuple[int | None, int | None, bool]]:
+    """By (task, conversation of the task): the state before it, at its end, and whether it ends there, for conversations that go on over tasks."""
     runs: list[list] = []
     for e in sorted(edges, key=lambda r: (r["part"], r["at"])):
         last = runs[-1][-1] if runs else None
@@ -177,44 +222,51 @@ def chain(edges: list, model: dict) -> dict[tuple[int, int], tuple[int | None, i
             scores = [max(o) for o in options]
         path = trace(scores, backs, None)
         for k, e in enumerate(run):
-            out[e["part"], e["at"]] = (path[k - 1] if k else None, path[k])
+            out[e["part"], e["at"]] = (path[k - 1] if k else None, path[k], k == len(run) - 1)
     return out
 
 
-def recover_roles(turns: DataFrame, model: dict | None = None) -> DataFrame:
-    """conv_id, turn, role, found_role and rendered for each row of (conv_id, turn, role, text).
+def recover_roles(rows: DataFrame, model: dict | None = None) -> DataFrame:
+    """conv_id, turn, line, role, found_role, held_out, starts_turn and rendered for each line of (conv_id, turn, line, role, text).
 
-    Lines go by turn, then by a hash of role and text. Null turns come first;
-    rows with a null conv_id make one conversation; null text counts as empty;
-    repeated rows are lines of their own. ``role`` is only for training and for
+    ``rendered`` is the line's piece of the canonical transcript: a tag opens
+    where the role found is another than on the line before, and closes the turn
+    before; joined in order the pieces are the whole transcript. Lines go by
+    turn, line, then by a hash of role and text. Without a column ``line`` each
+    row is one line. Null turns come first; rows with a null conv_id make one
+    conversation; null text counts as empty; repeated rows are lines of their
+    own. ``role`` is only for training, outside held_out conversations, and for
     comparison. Other columns are ignored.
     """
-    model = model or count_model(turns)
-    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = own.withColumns({"seen": observation(F.col("text")), "tie": F.xxhash64("role", "text")})
-    order = ["conv_id", "turn", "tie"]
+    model = model or count_model(rows)
+    own = with_lines(rows).withColumns({"seen": observation(F.col("text")), "tie": F.xxhash64("role", "text")})
+    order = ["conv_id", "turn", "line", "tie"]
     ranged = shared.cut_lineage(own.repartitionByRange(*order).sortWithinPartitions(*order))
     edges = ranged.select("conv_id", "seen").mapInArrow(_edges(model), "part int, at int, conv_id long, whole boolean, fresh array<double>, matrix array<array<double>>").collect()  # two rows a task
     between = chain(edges, model)
-    arrow = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("found_role", pa.string()), ("rendered", pa.string())])
+    fields = [("conv_id", "long", pa.int64()), ("turn", "long", pa.int64()), ("line", "int", pa.int32()), ("role", "string", pa.string()), ("found_role", "string", pa.string()), ("starts_turn", "boolean", pa.bool_()), ("rendered", "string", pa.string())]
+    arrow = pa.schema([(n, t) for n, _, t in fields])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out = TaskContext.get().partitionId(), []
-        for at, (conv, rows) in enumerate(_runs(batches, 5)):
-            before, end = between.get((part, at), (None, None))
-            for (_, turn, role, text, _), state in zip(rows, viterbi(model, [r[4] for r in rows], before, end)):
-                out.append((conv, turn, role, ROLES[state], render(ROLES[state], text)))
-            if len(out) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
-                out = []
+        for at, (conv, lines) in enumerate(_runs(batches, 6)):
+            was, end, ends = between.get((part, at), (None, None, True))
+            states = viterbi(model, [r[5] for r in lines], was, end)
+            for k, ((_, turn, line, role, text, _), state) in enumerate(zip(lines, states)):
+                piece = rendered(text, ROLES[state], None if was is None else ROLES[was], ends and k == len(lines) - 1)
+                out.append((conv, turn, line, role, ROLES[state], state != was, piece))
+                was = state
+                if len(out) >= 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+                    out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
 
-    columns = ranged.select("conv_id", "turn", "role", "text", "seen")
-    return columns.mapInArrow(decode, "conv_id long, turn long, role string, found_role string, rendered string")
+    found = ranged.select("conv_id", "turn", "line", "role", "text", "seen").mapInArrow(decode, ", ".join(f"{n} {t}" for n, t, _ in fields))
+    return found.select("conv_id", "turn", "line", "role", "found_role", (~in_training(F.col("conv_id"))).alias("held_out"), "starts_turn", "rendered")
 
 
-def render(role: str, text: str) -> str:
-    """A canonical turn: role tag, text without its speaker marker and with tags taken apart, end tag."""
-    body = _MARK.sub("", text, count=1).strip().replace("<|", "< |")
-    return f"<|{role}|>\n{body}<|end|>"
+def rendered(text: str, role: str, was: str | None, last: bool) -> str:
+    """A line's piece of the canonical transcript: without its speaker marker, tags in it taken apart."""
+    opened = f"<|{role}|>\n" if was is None else f"<|end|>\n<|{role}|>\n" if role != was else "\n"
+    return opened + _MARK.sub("", text, count=1).strip().replace("<|", "< |") + ("<|end|>" if last else "")

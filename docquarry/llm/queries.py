@@ -50,7 +50,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.recover_roles(table(spark, sf_dir, "conversations"))
+    return chat.recover_roles(chat.transcribed(table(spark, sf_dir, "conversations")))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
