@@ -19,25 +19,31 @@ SHINGLE_WORDS = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the language references accept."""
+    """Documents that the base rules and the references of their languages accept; null texts go, repeated rows and null ids stay or go as any others."""
     return quality.accepted(docs, quality.references(docs))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score under the threshold, by a machine fitted on labelled rows of ``docs``."""
+    """Documents with a score under the threshold, by a machine fitted on labelled rows of ``docs``; without labels of both kinds all are alike."""
     return toxicity.accepted(docs, toxicity.train(docs, shared.table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near-duplicates; one row of those with one doc_id. Null ids stay."""
-    kept = near_dups.near_duplicates(docs, SHINGLE_WORDS).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    first = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__id"), "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
-    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document, that with the smallest doc_id, of each group of near-duplicates.
+
+    Rows with one doc_id are one document, of which the first row in the order
+    of its JSON stays. Rows without an id cannot be named in a group and stay.
+    Columns may have any names and types.
+    """
+    own, at = shared.new_name(docs, "id"), shared.new_name(docs, "row")
+    kept = near_dups.near_duplicates(docs, SHINGLE_WORDS).where("kept and doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
+    order = Window.partitionBy("doc_id").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    first = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(own), "left_semi").withColumn(at, F.row_number().over(order)).where(F.col(at) == 1).drop(at)
+    return first.unionByName(docs.where("doc_id is null"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of op1_best_fit_packing for the documents that are left."""
+    """The rows of op1_best_fit_packing for the documents that are left; other columns than doc_id and text are not read."""
     return packing.pack(packing.token_pieces(docs, BPE_JSON, PATTERN))
 
 

@@ -85,7 +85,8 @@ def filter_texts(df: DataFrame, accept: Callable[..., list[bool]], others: tuple
 
     names = ["text", *others]
     at = [df.columns.index(n) for n in names]
-    return df.mapInArrow(run, df.schema)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # a name may hold a dot
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def map_texts(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str, arrow: pa.Schema, columns: list | None = None, text_at: int = 1, done: Callable[[], None] | None = None, most: int = SLICE_CHARS) -> DataFrame:

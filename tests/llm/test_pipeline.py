@@ -44,3 +44,19 @@ def test_repeated_and_null_rows(spark):
     kept = corpus_pipeline.near_dedup(spark, df, "")
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, -1, 1, 4, 5]
     assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
+
+
+def test_stages_with_odd_rows_and_columns(spark, tmp_path):
+    """Null and clashing columns, maps, dotted names, long texts, ties and no rows pass every stage."""
+    words = " ".join(f"word{i} and the other{i % 7}" for i in range(60))
+    rows = [(i, f"{words} end{i % 3}", "en", {"k": i}, 0.5, "r") for i in range(20)] + [(None, words, None, None, None, None), (40, None, "en", None, None, None), (41, "", "xx", {}, 0.0, ""), (42, words * 300, "en", {"a": 1}, 1.0, "z"), (3, f"{words} end0", "en", {"k": 3}, 0.5, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, `a.b` map<string,long>, score double, __ref string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == df.columns and out.count() <= docs.count()
+        assert (stage := corpus_pipeline.STAGES[-1][1])(spark, docs, str(tmp_path)).count() >= docs.count()
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 0, 40, 41]  # the long text repeats the same shingles
