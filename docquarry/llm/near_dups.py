@@ -35,7 +35,7 @@ BROADCAST_IDS = 1_000_000
 #: Shingles of the sets that others are held against at once.
 BLOCK_SHINGLES = 1_000_000
 #: Full sets that are handed to a Python worker at once, and pairs of one pivot that go to one task, about.
-PAIRS_AT_ONCE, SALT_PAIRS = 256, 2_000
+PAIRS_AT_ONCE, SALT_PAIRS = 256, 250
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
