@@ -41,11 +41,11 @@ def parts_of(text: str) -> list[str]:
 
 
 class Words(dict):
-    """A memo from a part (without its space) to what ``make`` gives for it, bounded by MEMO_BYTES."""
+    """A memo from a part (without its space) to what ``make`` gives for it, bounded by ``most`` bytes."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = MEMO_BYTES):
         super().__init__()
-        self.make, self.room = make, MEMO_BYTES
+        self.make, self.most, self.room = make, most, most
 
     def __missing__(self, part: str):
         made = self.make(" " + part)
@@ -56,7 +56,7 @@ class Words(dict):
 
     def clear(self) -> None:
         super().clear()
-        self.room = MEMO_BYTES
+        self.room = self.most
 
 
 class Vocabulary:

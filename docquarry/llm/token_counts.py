@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from docquarry.llm import bpe, shared
 
 LIMIT = 512
+#: Bytes that a worker keeps of words' counts, and as many of pieces', about: counting a word again takes a hundred times as long as finding it.
+MEMO_BYTES = 220_000_000
 #: Pairs of tokens of which a worker keeps whether one may follow the other; some 200 bytes each.
 FOLLOWS = 500_000
 _SPACE_BEFORE = re.compile(r"\s(?= \S)")
@@ -37,8 +39,8 @@ class PrefixCounts:
         self.longest = max(map(len, vocabulary.ranks))
         self.follows: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.room = bpe.MEMO_BYTES
-        self.words = bpe.Words(self._steps)
+        self.room = MEMO_BYTES
+        self.words = bpe.Words(self._steps, MEMO_BYTES)
 
     def _steps(self, part: str) -> bytes | None:
         """Differences of a part's counts, one byte each; None where one needs more."""
