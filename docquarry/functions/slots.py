@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 64
@@ -139,6 +139,22 @@ def numeral(text: str) -> int | None:
 _DEFAULTS = {"embed": embed, "complete": complete, "segment": segment, "triples": triples, "rewrite": rewrite, "ocr": ocr}
 
 
+def registered() -> set[str]:
+    """Names of slots that hold functions of one's own."""
+    return set(_SLOTS)
+
+
+def reranking(query: Column, text: Column) -> Column:
+    """Scores of the slot ``rerank``: lists of queries and of texts to a list of numbers."""
+    function = slot("rerank")
+
+    @F.pandas_udf("double")
+    def scores(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series(function(queries.fillna("").tolist(), texts.fillna("").tolist()), dtype=float)
+
+    return scores(query, text)
+
+
 def embedded(rows: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
     """The rows with the vector of a text column."""
     function = slot("embed")

@@ -61,10 +61,10 @@ def pairs_line(entries: Column, joiner: str) -> Column:
     return F.array_join(F.transform(shown, lambda e: F.concat(e["key"], F.lit(": "), F.trim(e["value"]))), joiner)
 
 
-def column_sentence(name: Column, values: Column, shown: int = 10) -> Column:
-    """``name: a, b, c`` with at most ``shown`` values and the number of the rest."""
-    more = F.size(values) - shown
-    return F.concat(name, F.lit(": "), F.array_join(F.slice(values, 1, shown), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise(""))
+def column_sentence(name: Column, first: Column, n: Column) -> Column:
+    """``name: a, b, c`` with the first of ``n`` values, and the number of the rest."""
+    more = n - F.size(first)
+    return F.concat(name, F.lit(": "), F.array_join(first, ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise(""))
 
 
 def page_of_file(name: Column) -> Column:

@@ -60,30 +60,35 @@ def named_documents(queries: DataFrame, known: DataFrame) -> DataFrame:
     exact = _compared(queries, known, lambda q, ids: [d for d in ids if d.lower() in q.lower()])
     rest = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
 
-    def alike(question: str, doc_ids: list[str]) -> list[str]:
+    def alike(question: str, doc_ids: list[str]) -> list[tuple[str, float, str]]:
+        """For each longer word the best of these ids, with its ratio; the smaller id of equal ones."""
         out = []
-        for word in (w for w in slots.slot("segment")(question) if len(w) >= 5 and w.lower() not in COMMON):
-            best = max(doc_ids, key=lambda d: slots.indel_ratio(word, d), default=None)
-            if best is not None and slots.indel_ratio(word, best) > FUZZY_ID:
-                out.append(best)
-        return list(dict.fromkeys(out))
+        for word in dict.fromkeys(w for w in slots.slot("segment")(question) if len(w) >= 5 and w.lower() not in COMMON):
+            ratio, doc_id = min(((-slots.indel_ratio(word, d), d) for d in doc_ids), default=(0.0, ""))
+            if -ratio > FUZZY_ID:
+                out.append((word, -ratio, doc_id))
+        return out
 
-    return exact.unionByName(_compared(rest, known, alike))
+    near = _compared(rest, known, alike, "word string, ratio double, doc_id string")
+    best = F.row_number().over(Window.partitionBy("query_id", "word").orderBy(F.desc("ratio"), "doc_id"))  # over all blocks
+    return exact.unionByName(near.withColumn("at", best).where("at = 1").select("query_id", "doc_id").distinct())
 
 
-def _compared(queries: DataFrame, known: DataFrame, matches) -> DataFrame:
+def _compared(queries: DataFrame, known: DataFrame, matches, fields: str = "doc_id string") -> DataFrame:
     """Questions against blocks of known ids, each sent to all tasks."""
     ids = known.select("doc_id").where("doc_id is not null").distinct()
     blocks = max(1, -(-ids.count() // BLOCK))
+    names = ["query_id", *(f.split(" ")[0] for f in fields.split(", "))]
     found = []
     for b in range(blocks):
         part = sorted(r[0] for r in ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).collect())
 
         def run(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield pd.DataFrame([(q, d) for q, t in zip(pdf["query_id"], pdf["query"]) for d in matches(t or "", part)], columns=["query_id", "doc_id"])
+                rows = [(q, *(m if isinstance(m, tuple) else (m,))) for q, t in zip(pdf["query_id"], pdf["query"]) for m in matches(t or "", part)]
+                yield pd.DataFrame(rows, columns=names)
 
-        found.append(queries.select("query_id", "query").mapInPandas(run, "query_id long, doc_id string"))
+        found.append(queries.select("query_id", "query").mapInPandas(run, f"query_id long, {fields}"))
     return reduce(DataFrame.unionByName, found).distinct()
 
 

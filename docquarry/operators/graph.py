@@ -97,17 +97,42 @@ def with_temporary_seeds(edges: DataFrame, hits: DataFrame, chunks: DataFrame, m
 
 
 def communities(edges: DataFrame, checkpoint) -> DataFrame:
-    """(id, community) with the smallest id reachable, by repeated least labels of neighbours and jumps."""
-    both = checkpoint(undirected(edges).select("a", "b").distinct())
-    labels = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    """(id, community) with the smallest id reachable, by alternating large and small stars.
+
+    Least neighbours are summed up before a shuffle and written before they are
+    joined with a hub's edges, whose partitions can be split then.
+    """
+    now = checkpoint(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    mark = None
     while True:
-        near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, "a").select("a", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = labels.select(F.col("a").alias("label"), F.col("label").alias("far"))
-        new = checkpoint(step.join(jump, "label").select("a", F.least("label", "far").alias("label"), "old"))
-        if new.where("label <> old").isEmpty():
-            return new.select(F.col("a").alias("id"), F.col("label").alias("community"))
-        labels = new.select("a", "label")
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if seen == mark or not seen[0]:
+            linked = now.select(F.col("a").alias("id"), F.col("b").alias("community")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("community")).distinct())
+            alone = edges.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("community")).distinct()
+            return linked.unionByName(alone.join(linked.select("id"), "id", "left_anti"))
+        mark = seen
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = checkpoint(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        down = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(down, "a")
+        now = checkpoint(small.select("a", F.col("m").alias("b")).unionByName(small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+
+
+def evidence(edges: DataFrame, hits: DataFrame, k: int, checkpoint) -> DataFrame:
+    """(query_id, id, score, rank): the k chunks of each query with the best bonus, two edges from its hits (query_id, id), hits themselves left out as seeds of their own.
+
+    Chunks are vertices ``c`` and a number. The two edges meet in a document;
+    its chunks are counted once for a query, whatever hits lead there.
+    """
+    near = edges.where("rel = 'HAS_CHUNK'").select(F.col("src").alias("doc"), F.col("dst").alias("node"))
+    weight = F.round(2 * numeric.relation_weight(F.lit("HAS_CHUNK")), 6)
+    seeds = hits.select("query_id", F.concat(F.lit("c"), F.col("id").cast("string")).alias("node")).distinct()
+    docs = checkpoint(seeds.join(near, "node").groupBy("query_id", "doc").agg(F.count("*").alias("seeds"), F.min("node").alias("seed")))
+    found = docs.join(near, "doc").where((F.col("seeds") > 1) | (F.col("node") != F.col("seed"))).select("query_id", "node").distinct()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("node"))
+    ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.substring("node", 2, 20).cast("long").alias("id"), weight.alias("score"), "rank")
 
 
 def star(nodes: DataFrame) -> DataFrame:

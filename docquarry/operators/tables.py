@@ -94,12 +94,12 @@ def row_texts(cells: DataFrame) -> DataFrame:
 
 
 def table_texts(obs: DataFrame, most: int = 400) -> DataFrame:
-    """A text for each table: its panels, metrics and first values, cut to ``most`` characters."""
-    panels = F.array_join(F.sort_array(F.collect_set("panel")), ", ")
-    metrics = F.array_join(F.sort_array(F.collect_set("metric_leaf")), ", ")
-    first = F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("row_idx", "col_idx", "value_raw"))), 1, 3), lambda x: x["value_raw"]), ", ")
-    own = obs.groupBy(*TABLE).agg(F.concat_ws(" | ", panels, metrics, first).alias("t"))
-    return own.select(*TABLE, F.substring("t", 1, most).alias("text"))
+    """A text for each table: its panels, metrics and first three values, cut to ``most`` characters."""
+    names = obs.groupBy(*TABLE).agg(F.array_join(F.sort_array(F.collect_set("panel")), ", ").alias("p"), F.array_join(F.sort_array(F.collect_set("metric_leaf")), ", ").alias("m"))
+    at = F.row_number().over(Window.partitionBy(*TABLE).orderBy("row_idx", "col_idx"))
+    top = obs.select(*TABLE, "value_raw", at.alias("at")).where("at <= 3")  # each task hands on three a table
+    first = top.groupBy(*TABLE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value_raw"))), lambda x: x["value_raw"]), ", ").alias("v"))
+    return names.join(first, TABLE, "left").select(*TABLE, F.substring(F.concat_ws(" | ", "p", "m", "v"), 1, most).alias("text"))
 
 
 def capped_rows(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
@@ -108,11 +108,14 @@ def capped_rows(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     return rows.withColumn("at", at).where((F.col("at") <= most) | F.col("aggregate")).drop("at")
 
 
-def column_texts(cells: DataFrame) -> DataFrame:
-    """A sentence for each column with its first values."""
-    values = F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "val"))), lambda x: x["val"])
-    own = cells.where("trim(val) <> ''").groupBy(*TABLE, "col").agg(values.alias("v"))
-    return own.select(*TABLE, "col", text.column_sentence(F.col("col"), F.col("v")).alias("text"))
+def column_texts(cells: DataFrame, shown: int = 10) -> DataFrame:
+    """A sentence for each column with its first values and how many more there are."""
+    own = cells.where("trim(val) <> ''")
+    at = F.row_number().over(Window.partitionBy(*TABLE, "col").orderBy("row_idx", "val"))
+    top = own.select(*TABLE, "col", "val", at.alias("at")).where(F.col("at") <= shown)  # each task hands on that many a column
+    first = top.groupBy(*TABLE, "col").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "val"))), lambda x: x["val"]).alias("v"))
+    sized = own.groupBy(*TABLE, "col").agg(F.count("*").alias("n")).join(first, [*TABLE, "col"])
+    return sized.select(*TABLE, "col", text.column_sentence(F.col("col"), F.col("v"), F.col("n")).alias("text"))
 
 
 def summaries(cells: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import ids, numeric, text
 from docquarry.operators import chat, chunking, evaluate, html_tables, layout, search, state, tables
 from docquarry.plans import views
-from docquarry.plans.graphs import CHUNKS
+from docquarry.plans.graphs import CHUNKS, TABLE_SUMMARIES
 from docquarry.plans.retrieval import _topk
 
 P, M, T = views.PAGES, views.MESSAGES, views.TASKS
@@ -124,19 +124,25 @@ def summary_plan(spark, sf_dir):
 
 
 def compression(spark, sf_dir):
-    own = _docs(spark, sf_dir).select("lang", F.length("text").alias("n"), F.length(F.substring("text", 1, 400)).alias("s"))
-    return own.groupBy("lang").agg(F.sum("n").alias("chars"), F.sum("s").alias("summary_chars"), F.round(F.sum("s") / F.sum("n"), 6).alias("ratio"))
+    """Characters of tables' cells and of their offline summaries."""
+    cells = views.records(spark, sf_dir)
+    summaries = tables.summaries(cells).select("table_id", F.length("text").alias("s")).groupBy("table_id").agg(F.sum("s").alias("summary_chars"))
+    own = cells.groupBy("table_id").agg(F.sum(F.length("val")).alias("chars")).join(summaries, "table_id")
+    return own.select("table_id", "chars", "summary_chars", F.round(F.col("summary_chars") / F.col("chars"), 6).alias("ratio"))
 
 
 def truncations(spark, sf_dir):
     t = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", text.truncated(t, 100).alias("preview"), text.room_title(t).alias("title"), text.model_title(F.substring("text", 1, 60)).alias("model_title"))
+    return _docs(spark, sf_dir).select("doc_id", text.truncated(t, 100).alias("preview"), text.room_title(t).alias("title"), text.model_title(t).alias("model_title"))
 
 
 def header_footer_lines(spark, sf_dir):
-    """First lines of documents as margin lines of their source."""
-    first = views.pages(spark, sf_dir).where("page <= 1").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.substring("text", 1, 3).alias("text"))
-    return layout.repeated_lines(first, first.where("page % 10 = 0"))
+    """First and last lines of documents as margin lines of their source's pages."""
+    own = views.pages(spark, sf_dir)
+    last = own.groupBy("doc_id").agg(F.max("page").alias("page"))
+    ends = own.where("page = 1").unionByName(own.where("page > 1").join(last, ["doc_id", "page"], "left_semi").select(own.columns))
+    margin = ends.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text")
+    return layout.repeated_lines(margin, margin)
 
 
 def strip_headers(spark, sf_dir):
@@ -343,9 +349,10 @@ QUERIES = {
       CASE WHEN regexp_matches(val, '^-?[0-9]{{1,3}}(,[0-9]{{3}})*(\.[0-9]+)?$') THEN replace(val, ',', '')::DOUBLE END AS strict, coalesce(regexp_matches(val, '^[0-9,.%]+$'), false) AS pure, coalesce(regexp_matches(val, '^[\s()+\-0-9.,%]*[0-9][\s()+\-0-9.,%]*$'), false) AS looks
       FROM (SELECT *, regexp_replace(regexp_replace(val, '[,\s]', '', 'g'), '[%元萬億千]+$', '') AS v FROM ({views.RECORDS}))"""),
     "summary_plan": (summary_plan, "SELECT doc_id, CASE WHEN length(text) > 6000 THEN round((length(text) // 1800) * 0.075::DOUBLE, 6) END AS refused_minutes, CASE WHEN length(text) // 4 > 600 THEN 'chunked' ELSE 'direct' END AS strategy, CASE WHEN strlen(text) > 5242880 THEN 'large' WHEN strlen(text) > 1048576 THEN 'medium' ELSE 'small' END AS size FROM documents"),
-    "compression": (compression, "SELECT lang, sum(length(text))::BIGINT AS chars, sum(length(substr(text, 1, 400)))::BIGINT AS summary_chars, round(sum(length(substr(text, 1, 400)))::DOUBLE / sum(length(text)), 6) AS ratio FROM documents GROUP BY lang"),
+    "compression": (compression, f"""WITH s AS (SELECT table_id, sum(length(text))::BIGINT AS summary_chars FROM ({TABLE_SUMMARIES}) GROUP BY table_id), c AS (SELECT table_id, sum(length(val))::BIGINT AS chars FROM ({views.RECORDS}) GROUP BY table_id)
+      SELECT table_id, chars, summary_chars, round(summary_chars::DOUBLE / chars, 6) AS ratio FROM c JOIN s USING (table_id)"""),
     "truncations": (truncations, None),
-    "header_footer_lines": (header_footer_lines, f"""WITH f AS (SELECT source AS doc_id, doc_id AS page, substr(text, 1, 3) AS text FROM ({P}) WHERE page <= 1), s AS (SELECT doc_id, count(DISTINCT page) AS pages FROM f WHERE page % 10 = 0 GROUP BY doc_id)
+    "header_footer_lines": (header_footer_lines, f"""WITH p AS ({P}), f AS (SELECT source AS doc_id, doc_id AS page, text FROM (SELECT *, max(page) OVER (PARTITION BY doc_id) AS last FROM p) WHERE page = 1 OR page = last), s AS (SELECT doc_id, count(DISTINCT page) AS pages FROM f GROUP BY doc_id)
       SELECT f.doc_id, trim(text, ' ') AS text, count(*) AS n FROM f JOIN s ON s.doc_id = f.doc_id WHERE trim(text, ' ') <> '' GROUP BY f.doc_id, 2, pages HAVING count(*) >= greatest(2, floor(0.7::DOUBLE * pages))"""),
     "strip_headers": (strip_headers, rf"""WITH p AS ({P}), r AS (SELECT doc_id, trim(text, ' ') AS t FROM p WHERE trim(text, ' ') <> '' GROUP BY 1, 2 HAVING count(*) >= 2)
       SELECT doc_id, md5(trim(regexp_replace(string_agg(text, ' ' ORDER BY page), '\s+', ' ', 'g'), ' ')) AS digest FROM p WHERE (doc_id, trim(text, ' ')) NOT IN (SELECT (doc_id, t) FROM r) GROUP BY doc_id"""),

@@ -35,11 +35,11 @@ def entity_counts(spark, sf_dir):
     return graph.entity_counts(views.edges(spark, sf_dir))
 
 
-def _khop(hops, relations=("LOCATED_IN", "OPERATES_IN", "REPORTED")):
+def _khop(hops):
     def khop(spark, sf_dir):
-        return graph.expand(views.edges(spark, sf_dir), _seeds(spark, sf_dir), hops, 15, chunk_prefix="src", relations=relations)
+        return graph.expand(views.edges(spark, sf_dir), _seeds(spark, sf_dir), hops, 15, chunk_prefix="src")
 
-    sql = f"""WITH RECURSIVE u AS (SELECT *, {WEIGHT} AS w FROM ({UNDIRECTED}) WHERE rel IN ('LOCATED_IN', 'OPERATES_IN', 'REPORTED')),
+    sql = f"""WITH RECURSIVE u AS (SELECT *, {WEIGHT} AS w FROM ({UNDIRECTED})),
     p AS (SELECT id AS seed, id AS node, []::BIGINT[] AS used, 0.0::DOUBLE AS bonus, 0 AS hop FROM ({SEEDS})
       UNION ALL SELECT p.seed, u.b, list_append(p.used, u.eid), p.bonus + u.w, hop + 1 FROM p JOIN u ON u.a = p.node WHERE hop < {hops} AND NOT list_contains(p.used, u.eid)),
     c AS (SELECT seed, CASE WHEN regexp_matches(node, '^src[0-9]+$') THEN node ELSE seed END AS chunk, round(max(bonus), 6) AS bonus FROM p WHERE hop > 0 GROUP BY 1, 2)
@@ -69,11 +69,10 @@ UNION ALL SELECT 'temp_' || h.id, 'c' || d.doc_id::VARCHAR, 'RELATED_TO' FROM h
 
 
 def graph_communities(spark, sf_dir):
-    edges = views.edges(spark, sf_dir).where("rel <> 'REPORTED'")
-    return graph.communities(edges, cut_lineage)
+    return graph.communities(views.edges(spark, sf_dir), cut_lineage)
 
 
-COMMUNITIES = f"""WITH RECURSIVE u AS (SELECT DISTINCT a, b FROM ({UNDIRECTED}) WHERE rel <> 'REPORTED'),
+COMMUNITIES = f"""WITH RECURSIVE u AS (SELECT DISTINCT a, b FROM ({UNDIRECTED})),
 r AS (SELECT DISTINCT a AS id, a AS seen FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.seen)
 SELECT id, min(seen) AS community FROM r GROUP BY id"""
 
@@ -130,7 +129,7 @@ def row_texts(spark, sf_dir):
 
 
 def table_texts(spark, sf_dir):
-    return tables.table_texts(_obs(spark, sf_dir).where("table_id <> 'part'"))
+    return tables.table_texts(_obs(spark, sf_dir))
 
 
 def row_cap(spark, sf_dir):
@@ -168,7 +167,7 @@ def constant_fill(spark, sf_dir):
 
 
 def modal_label(spark, sf_dir):
-    return tables.modal_first_column(_cells(spark, sf_dir).withColumn("val", F.substring("val", 1, 3)))
+    return tables.modal_first_column(_cells(spark, sf_dir))
 
 
 def header_rows(spark, sf_dir):
@@ -216,6 +215,7 @@ def largest_candidate(spark, sf_dir):
     return tables.largest_candidate(parts.select(F.col("p_brand").alias("key"), F.col("p_partkey").alias("candidate"), F.col("p_size").alias("rows")))
 
 
+TABLE_SUMMARIES = f"SELECT doc_id, table_id, '表格 ' || table_id || '，包含 ' || count(DISTINCT col)::VARCHAR || ' 欄位: ' || array_to_string(list_transform(list_sort(list(DISTINCT (col_idx, col))), lambda x: x[2]), ', ') || '，共 ' || count(DISTINCT row_idx)::VARCHAR || ' 筆記錄。' AS text FROM ({R}) GROUP BY doc_id, table_id"
 _K1, _K2, _K3 = _khop(1), _khop(2), _khop(3)
 QUERIES = {
     "rel_types": (rel_types, f"SELECT DISTINCT rel FROM ({E})"),
@@ -234,11 +234,11 @@ QUERIES = {
     "numeric_density": (numeric_density, f"SELECT doc_id, table_id, density, CASE WHEN density > 0.3 THEN 'fact_quant' ELSE 'generic' END AS kind, CASE WHEN density > 0.3 THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence FROM (SELECT doc_id, table_id, round(avg(CASE WHEN {NUM} THEN 1.0 ELSE 0.0 END), 6) AS density FROM ({R}) WHERE trim(val) <> '' GROUP BY ALL)"),
     "kg_summary": (kg_summary, f"WITH {DIMS}, o AS (SELECT c.*, coalesce(panel, '') AS panel FROM c LEFT JOIN pan USING (doc_id, table_id, row_idx)) SELECT doc_id, table_id, count(*) AS observations, count(value_num) AS numbers, count(DISTINCT panel) AS panels, count(DISTINCT col) AS metrics, (SELECT count(DISTINCT k) FROM dims d WHERE d.doc_id = o.doc_id AND d.table_id = o.table_id) AS dimension_keys FROM o GROUP BY doc_id, table_id"),
     "row_texts": (row_texts, f"SELECT doc_id, table_id, row_idx, string_agg(col || ': ' || trim(val), ' | ' ORDER BY col_idx) FILTER (WHERE trim(val) <> '') AS text, count(*) FILTER (WHERE trim(val) <> '') AS value_count FROM ({R}) GROUP BY ALL"),
-    "table_texts": (table_texts, f"""WITH {OBS}, o AS (SELECT c.*, coalesce(panel, '') AS panel FROM c LEFT JOIN pan USING (doc_id, table_id, row_idx) WHERE table_id <> 'part')
+    "table_texts": (table_texts, f"""WITH {OBS}, o AS (SELECT c.*, coalesce(panel, '') AS panel FROM c LEFT JOIN pan USING (doc_id, table_id, row_idx))
       SELECT doc_id, table_id, substr(array_to_string(list_sort(list(DISTINCT panel)), ', ') || ' | ' || array_to_string(list_sort(list(DISTINCT col)), ', ') || ' | ' || array_to_string(list_slice(list(val ORDER BY row_idx, col_idx), 1, 3), ', '), 1, 400) AS text FROM o GROUP BY doc_id, table_id"""),
     "row_cap": (row_cap, f"SELECT doc_id, table_id, row_idx, aggregate FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, table_id ORDER BY aggregate DESC, row_idx) AS pos FROM (SELECT DISTINCT doc_id, table_id, row_idx, row_idx % 97 = 0 AS aggregate FROM ({R}))) WHERE pos <= 20 OR aggregate"),
     "column_texts": (column_texts, f"SELECT doc_id, table_id, col, col || ': ' || array_to_string(list_slice(v, 1, 10), ', ') || CASE WHEN len(v) > 10 THEN ' (+' || (len(v) - 10)::VARCHAR || ')' ELSE '' END AS text FROM (SELECT doc_id, table_id, col, list(val ORDER BY row_idx, val) AS v FROM ({R}) WHERE trim(val) <> '' GROUP BY ALL)"),
-    "table_summaries": (table_summaries, f"SELECT doc_id, table_id, '表格 ' || table_id || '，包含 ' || count(DISTINCT col)::VARCHAR || ' 欄位: ' || array_to_string(list_transform(list_sort(list(DISTINCT (col_idx, col))), lambda x: x[2]), ', ') || '，共 ' || count(DISTINCT row_idx)::VARCHAR || ' 筆記錄。' AS text FROM ({R}) GROUP BY doc_id, table_id"),
+    "table_summaries": (table_summaries, TABLE_SUMMARIES),
     "table_nodes": (table_nodes, None),
     "cube_vertices": (cube_vertices, f"""WITH {DIMS} SELECT DISTINCT * FROM (SELECT doc_id AS id, 'Dataset' AS label FROM c UNION ALL SELECT doc_id || '#' || table_id, 'Table' FROM c UNION ALL SELECT col, 'Metric' FROM c UNION ALL SELECT source_hash, 'Observation' FROM c
       UNION ALL SELECT k, 'DimType' FROM dims UNION ALL SELECT k || '=' || v, 'DimVal' FROM dims)"""),
@@ -247,7 +247,7 @@ QUERIES = {
     "linked_rows": (linked_rows, f"WITH {OBS} SELECT doc_id || '#' || table_id || '#' || row_idx::VARCHAR AS src, source_hash AS dst, 'HAS_OBSERVATION' AS rel FROM c"),
     "constant_fill": (constant_fill, f"""WITH r AS (SELECT doc_id, table_id, row_idx, col_idx, col, nullif(trim(CASE WHEN row_idx % 3 = 0 THEN '' ELSE val END), '') AS v FROM ({R})), o AS (SELECT doc_id, table_id, col_idx, max(v) AS single FROM r GROUP BY ALL HAVING count(DISTINCT v) = 1)
       SELECT r.doc_id, r.table_id, r.row_idx, r.col_idx, r.col, coalesce(v, single, '') AS val FROM r LEFT JOIN o USING (doc_id, table_id, col_idx)"""),
-    "modal_label": (modal_label, f"SELECT doc_id, table_id, arg_max(v, (n, -first)) AS label FROM (SELECT doc_id, table_id, substr(val, 1, 3) AS v, count(*) AS n, min(row_idx) AS first FROM ({R}) WHERE col_idx = 0 AND trim(substr(val, 1, 3)) <> '' GROUP BY ALL) GROUP BY doc_id, table_id"),
+    "modal_label": (modal_label, f"SELECT doc_id, table_id, arg_max(v, (n, -first)) AS label FROM (SELECT doc_id, table_id, val AS v, count(*) AS n, min(row_idx) AS first FROM ({R}) WHERE col_idx = 0 AND trim(val) <> '' GROUP BY ALL) GROUP BY doc_id, table_id"),
     "header_rows": (header_rows, f"""WITH r AS ({R}), h AS (SELECT doc_id, table_id, row_idx, max(regexp_matches(val, '^[0-9,.%]+$')::INTEGER) AS has FROM r GROUP BY ALL),
       b AS (SELECT *, sum(has) OVER (PARTITION BY doc_id, table_id ORDER BY row_idx) = 0 AS is_header FROM h) SELECT doc_id, table_id, count(*) FILTER (WHERE is_header) AS header_cells, count(*) AS cells FROM r JOIN b USING (doc_id, table_id, row_idx) GROUP BY doc_id, table_id"""),
     "note_rows": (note_rows, f"SELECT DISTINCT doc_id, table_id, row_idx FROM ({R}) WHERE row_idx % 5 = 0"),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.operators import search
+from docquarry.operators import graph, search
 from docquarry.plans import views
+from docquarry.plans.shared_folder import cut_lineage
 
 K = 10
 DOCS = ("d1", "d2,", "d5.")
@@ -66,23 +67,27 @@ bmr AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION
 
 
 def keyword_match(spark, sf_dir):
-    docs, queries = _texts(spark, sf_dir), views.text_queries(spark, sf_dir)
-    first = queries.select("query_id", F.array_join(F.slice(search.tokens(F.col("query")), 1, 2), " ").alias("query"))
-    return search.keyword_topk(search.postings(docs), search.query_terms(first), 3 * K)
+    """Documents that have all tokens of a passage of the benchmark."""
+    terms = search.query_terms(views.text_queries(spark, sf_dir))
+    return search.keyword_topk(search.postings(_texts(spark, sf_dir), terms), terms, 3 * K)
 
 
 KEYWORD = f"""WITH {INDEX},
-few AS (SELECT DISTINCT query_id, unnest(w) AS token FROM (SELECT item_id AS query_id, list_slice({_WORDS.format('text')}, 1, 2) AS w FROM benchmark)),
-hit AS (SELECT query_id, id FROM few JOIN idx USING (token) GROUP BY query_id, id
-  HAVING count(*) = (SELECT count(*) FROM few f WHERE f.query_id = few.query_id))
+hit AS (SELECT query_id, id FROM terms JOIN idx USING (token) GROUP BY query_id, id
+  HAVING count(*) = (SELECT count(*) FROM terms f WHERE f.query_id = terms.query_id))
 SELECT query_id, id, 0.0::DOUBLE AS score, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id)::INTEGER AS rank FROM hit) WHERE rank <= 30"""
 
 
-def _bm25(spark, sf_dir, k=20):
-    docs, queries = _texts(spark, sf_dir), views.text_queries(spark, sf_dir)
-    index = search.postings(docs)
-    size = docs.select("id", F.size(search.tokens(F.col("text"))).alias("dl"))
-    return search.top_of(search.bm25_scores(index, search.query_terms(queries), size), k)
+def _index(spark, sf_dir):
+    """The queries' terms, their postings and the statistics of the corpus, written once for all lists."""
+    docs = _texts(spark, sf_dir)
+    terms = cut_lineage(search.query_terms(views.text_queries(spark, sf_dir)))
+    return terms, cut_lineage(search.postings(docs, terms)), cut_lineage(search.corpus_stats(docs))
+
+
+def _bm25(spark, sf_dir, k=20, index=None):
+    terms, postings, stats = index or _index(spark, sf_dir)
+    return search.top_of(search.bm25_scores(postings, terms, stats), k)
 
 
 def bm25_topk(spark, sf_dir):
@@ -95,9 +100,9 @@ def _dense_for_items(spark, sf_dir, k=20):
 
 
 def _fused(spark, sf_dir, k=K):
-    docs, queries = _texts(spark, sf_dir), views.text_queries(spark, sf_dir)
-    keyword = search.keyword_topk(search.postings(docs), search.query_terms(queries), 60)
-    return search.fuse([_dense_for_items(spark, sf_dir), keyword, _bm25(spark, sf_dir)], k)
+    index = _index(spark, sf_dir)
+    keyword = search.keyword_topk(index[1], index[0], 60)
+    return search.fuse([_dense_for_items(spark, sf_dir), keyword, _bm25(spark, sf_dir, 20, index)], k)
 
 
 def rrf_fusion(spark, sf_dir):
@@ -156,16 +161,16 @@ _OVERLAP = f"""round(CASE WHEN len(list_distinct({_WORDS.format('b.text')})) = 0
 
 
 def hybrid_retrieve(spark, sf_dir):
-    """Dense, keyword and BM25 lists fused, merged by place, preferred types first, reranked by the lexical stub."""
+    """Dense, keyword and BM25 lists fused and reranked by the lexical stub; vector i stands for document i."""
     docs, queries = _texts(spark, sf_dir), views.text_queries(spark, sf_dir)
     fused = _fused(spark, sf_dir, 30).join(docs, "id").join(queries, "query_id")
     return search.reranked(fused, K).select("query_id", "id", "rrf", "rerank", "final_rank")
 
 
 def hybrid_integrate(spark, sf_dir):
-    vector = _near(spark, sf_dir, 6)
-    graph = _near(spark, sf_dir, 12, 0.25).where("rank % 2 = 0")
-    return search.integrate(vector, graph, K).select("query_id", "id", "score", "engine", "final_rank")
+    """The best texts of each passage first, then chunks that the graph finds two edges from them, by bonus."""
+    vector = _bm25(spark, sf_dir, 6)
+    return search.integrate(vector, graph.evidence(views.edges(spark, sf_dir), vector, max(1, K // 2), cut_lineage), K).select("query_id", "id", "score", "engine", "final_rank")
 
 
 def request_clamps(spark, sf_dir):
@@ -175,8 +180,10 @@ def request_clamps(spark, sf_dir):
 
 
 def table_expand(spark, sf_dir):
+    """All rows of the tables that have a supplier in debt."""
     cells = views.records(spark, sf_dir).select(F.concat_ws("#", "table_id", F.col("row_idx").cast("string")).alias("id"), "doc_id", "table_id").distinct()
-    hits = cells.where("id IN ('supplier#1', 'part#3', 'nation#2')")
+    in_debt = views.records(spark, sf_dir).where("table_id = 'supplier' and col = 'balance' and val like '-%'")
+    hits = in_debt.select(F.concat_ws("#", "table_id", F.col("row_idx").cast("string")).alias("id"), "doc_id", "table_id").distinct()
     return search.expand_tables(hits, cells, 200)
 
 
@@ -203,12 +210,14 @@ QUERIES = {
     "hybrid_retrieve": (hybrid_retrieve, f"""WITH {FUSED.replace(f'rank <= {K})', 'rank <= 30)')},
       r AS (SELECT h.query_id, h.id, h.rrf, h.rank, {_OVERLAP} AS rerank FROM fused h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.id)
       SELECT query_id, id, rrf, rerank, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC NULLS LAST, rank, id)::INTEGER AS final_rank FROM r) WHERE final_rank <= {K}"""),
-    "hybrid_integrate": (hybrid_integrate, f"""WITH v AS ({_topk(6)}), g AS (SELECT * FROM ({_topk(12, 'true', 0.25)}) WHERE rank % 2 = 0),
-      b AS (SELECT query_id, id, score, rank, 'vector' AS engine FROM v UNION ALL SELECT query_id, id, score, rank, 'graph' FROM g WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM v))
+    "hybrid_integrate": (hybrid_integrate, f"""WITH {INDEX}, {BM25}, v AS (SELECT * FROM bmr WHERE rank <= 6),
+      n AS (SELECT DISTINCT v.query_id, e.doc_id AS id FROM v JOIN documents d ON d.doc_id = v.id JOIN documents e ON e.source = d.source AND e.doc_id <> d.doc_id),
+      g AS (SELECT query_id, id, 0.1::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY 'c' || id::VARCHAR)::INTEGER AS rank FROM n),
+      b AS (SELECT query_id, id, score, rank, 'vector' AS engine FROM v UNION ALL SELECT query_id, id, score, rank, 'graph' FROM g WHERE rank <= 5 AND (query_id, id) NOT IN (SELECT (query_id, id) FROM v))
       SELECT query_id, id, score, engine, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY engine DESC, rank, id)::INTEGER AS final_rank FROM b) WHERE final_rank <= {K}"""),
     "request_clamps": (request_clamps, """WITH c AS (SELECT item_id AS query_id, greatest(1, least(50, item_id * 3 - 5))::INTEGER AS top_k, round(greatest(0.0, least(1.0, item_id / 10.0 - 1)), 6)::DOUBLE AS threshold, text AS query FROM benchmark WHERE trim(text) <> '')
       SELECT query_id, top_k, threshold, (CASE WHEN regexp_matches(lower(query), '表|table|列表|圖表') THEN least(3 * top_k, 30) ELSE top_k END)::INTEGER AS widened_k FROM c"""),
-    "table_expand": (table_expand, f"""WITH c AS ({_CELLS}), h AS (SELECT * FROM c WHERE id IN ('supplier#1', 'part#3', 'nation#2')),
+    "table_expand": (table_expand, f"""WITH c AS ({_CELLS}), h AS (SELECT DISTINCT table_id || '#' || row_idx::VARCHAR AS id, doc_id, table_id FROM ({views.RECORDS}) WHERE table_id = 'supplier' AND col = 'balance' AND val LIKE '-%'),
       r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, table_id ORDER BY id) AS pos FROM c WHERE (doc_id, table_id) IN (SELECT (doc_id, table_id) FROM h))
       SELECT id, doc_id, table_id FROM r WHERE pos <= 200 AND id NOT IN (SELECT id FROM h)"""),
 }

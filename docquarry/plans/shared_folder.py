@@ -1,15 +1,25 @@
-"""Checkpoints in the folder that the cluster names."""
+"""The folder that all executors share, and checkpoints in it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in spark.checkpoint.dir; in a temporary folder only where none is named, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or else that of checkpoints; a temporary one only in local mode, as executors elsewhere do not see it."""
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir", ""):
+        return named
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="docquarry-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from docquarry.plans import views
+from docquarry.plans.shared_folder import shared_folder
 from docquarry.streaming import events
 
 
@@ -29,8 +29,7 @@ def events_session(spark, sf_dir):
 
 def stream_room_counts(spark, sf_dir):
     """Counts of rooms, by a stream over the file of conversations that upserts each batch."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="docquarry-")
-    folder = f"{folder}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = views.table(spark, sf_dir, "conversations")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/conversations.parque[t]")  # a pattern, as a single file is no source folder
     messages = stream.select(F.col("conv_id").alias("room_id"), F.timestamp_seconds(F.col("turn") * 60).alias("ts"))

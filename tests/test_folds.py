@@ -117,3 +117,41 @@ def test_index_and_ask(spark, tmp_path):
     assert "board" in answers[0]
     with pytest.raises(ValueError):
         service.Request("  ")
+
+
+def test_retrieval_end_to_end(spark):
+    """Constraints from the question, relaxation, table evidence, own rerankers and several requests in one plan."""
+    rows = [("a.pdf", 1, "paragraph", "cash flow grew in the north"), ("a.pdf", 2, "table_summary", "table of revenue by year"), ("a.pdf", 2, "table_row", "revenue: 10 | year: 2023"), ("a.pdf", 2, "table_row", "costs: 7 | year: 2024"), ("b.pdf", 1, "paragraph", "wind power in the south"), ("b.pdf", 3, "paragraph", "solar power and revenue")]
+    chunks = spark.createDataFrame([(f"{d}{p}{i}", d, p, t, x) for i, (d, p, t, x) in enumerate(rows)], "id string, doc_id string, page int, type string, text string")
+    points = service.index(chunks)
+    known = chunks.select("doc_id")
+    requests = [service.Request("solar power", 2), service.Request("revenue table in a.pdf", 5), service.Request("wind", 1, doc_ids=("none.pdf",)), service.Request("what is on page 3", 3)]
+    got = {}
+    for r in service.retrieve(points, requests, known=known).orderBy("query_id", "final_rank").collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert got[0][0].text == "solar power and revenue" and len(got[0]) == 2
+    assert {r.type for r in got[1]} == {"table_summary", "table_row"} and {r.doc_id for r in got[1]} == {"a.pdf"} and len(got[1]) == 3
+    assert got[2][0].text == "wind power in the south"
+    assert {(r.doc_id, r.page) for r in got[3]} == {("b.pdf", 3)}
+    for engine in ("vector", "keyword"):
+        assert service.retrieve(points, requests[:1], engine).first().text == "solar power and revenue"
+    slots.register("rerank", lambda queries, texts: [-float(len(t)) for t in texts])
+    try:
+        texts = [r.text for r in service.retrieve(points, requests[:1]).orderBy("final_rank").collect()]
+    finally:
+        slots._SLOTS.pop("rerank")
+    assert texts == sorted(texts, key=len)
+
+
+def test_fuzzy_ids_are_the_best_over_all_blocks(spark):
+    from docquarry.operators import evidence
+
+    known = spark.createDataFrame([(f"report{i:03d}x",) for i in range(60)], "doc_id string")
+    queries = spark.createDataFrame([(1, "see report017y please"), (2, "report005x"), (3, "nothing alike")], "query_id long, query string")
+    whole = {tuple(r) for r in evidence.named_documents(queries, known).collect()}
+    old, evidence.BLOCK = evidence.BLOCK, 7
+    try:
+        split = {tuple(r) for r in evidence.named_documents(queries, known).collect()}
+    finally:
+        evidence.BLOCK = old
+    assert whole == split == {(1, "report017x"), (2, "report005x")}
