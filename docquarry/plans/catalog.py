@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules with QUERIES: name to (query, SQL or None).
-GROUPS = ("retrieval", "graphs", "documents", "streams", "answers")
+GROUPS = ("retrieval", "graphs", "documents", "streams", "answers", "rooms")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
