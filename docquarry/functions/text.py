@@ -7,13 +7,8 @@ from pyspark.sql import functions as F
 
 #: Marks that end a sentence, and those that a lossy split drops.
 SENTENCE_END, SENTENCE_DROP = "。！？；…", "。！？；"
-#: Numerals in page references, patterns for pages, tables and paragraphs.
+#: Characters of numerals, and words that ask for tables and for paragraphs.
 NUMERALS = "一二三四五六七八九十百千零壹貳參肆伍陸柒捌玖拾佰仟萬億兆"
-PAGE_WORD = r"(?i)(?:page|页|頁)s?\s*([0-9]+)(?:\s*[-到至]\s*([0-9]+))?"
-PAGE_LETTER = r"(?i)p\.?\s*([0-9]+)(?:\s*[-到至]\s*([0-9]+))?"
-PAGE_RANGE_ZH = r"第\s*([0-9]+)\s*[-到至]\s*([0-9]+)\s*[页頁]"
-PAGE_ZH = r"第\s*([0-9]+)\s*[页頁]"
-PAGE_RANGE = r"([0-9]+)\s*[-到至]\s*([0-9]+)\s*[页頁]"
 TABLE_WORDS = r"(?i)表|tables?|圖表|列表"
 PARAGRAPH_WORDS = r"(?i)段落|paragraphs?|內文|正文"
 NOTE_PREFIXES = ("note:", "註:", "說明:")
@@ -67,17 +62,30 @@ def column_sentence(name: Column, first: Column, n: Column) -> Column:
     return F.concat(name, F.lit(": "), F.array_join(first, ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise(""))
 
 
+def _numbered(name: Column, words: str) -> Column:
+    """The number of the first part of a file name that is one of the words and a number; null without one."""
+    part = rf"^(?:{words})0*([0-9]{{1,4}})$"
+    return F.regexp_extract(F.get(F.filter(F.split(F.lower(name), r"[_\-\s.]"), lambda x: x.rlike(part)), 0), part, 1).cast("int")
+
+
 def page_of_file(name: Column) -> Column:
-    """Page number in a file name, by a page word or as its last number; null without one."""
-    low = F.lower(name)
-    by_word = F.regexp_extract(low, r"(?:^|[_\-\s])(?:page|p|pg|頁)0*([0-9]{1,4})(?=[_\-\s.]|$)", 1)
-    at_end = F.regexp_extract(low, r"[_\-]0*([0-9]{1,4})(?=\.[a-z0-9]+$)", 1)
-    return F.coalesce(F.nullif(by_word, F.lit("")), F.nullif(at_end, F.lit(""))).cast("int")
+    """Page number in a file name, by a page word or else as its last part; null without one."""
+    parts = F.split(F.regexp_replace(F.lower(name), r"\.[a-z0-9]+$", ""), r"[_\-]")
+    last = F.when(F.size(parts) > 1, F.regexp_extract(F.element_at(parts, -1), "^0*([0-9]{1,4})$", 1))
+    return F.coalesce(_numbered(name, "page|pg|p|頁"), F.nullif(last, F.lit("")).cast("int"))
 
 
 def table_of_file(name: Column) -> Column:
     """Table number in a file name; null without one."""
-    return F.nullif(F.regexp_extract(F.lower(name), r"(?:^|[_\-\s])(?:table|tbl|表)0*([0-9]{1,4})(?=[_\-\s.]|$)", 1), F.lit("")).cast("int")
+    return _numbered(name, "table|tbl|表")
+
+
+#: A page reference is numbers, one or two with a word between, after a page word or before a page sign.
+_BETWEEN, _BEFORE, _SIGN = r"\s*[-到至]\s*", r"(?:pages?|p\.?|[页頁]s?)\s*", r"\s*[页頁]"
+
+
+def _numbers(digit: str) -> str:
+    return rf"({digit}+)(?:{_BETWEEN}({digit}+))?"
 
 
 def _span(first: Column, last: Column) -> Column:
@@ -85,13 +93,13 @@ def _span(first: Column, last: Column) -> Column:
 
 
 def page_numbers(text: Column) -> Column:
-    """Sorted distinct pages that a question names in digits; ranges are expanded."""
-    found = []
-    for pattern, ranged in ((PAGE_WORD, True), (PAGE_LETTER, True), (PAGE_RANGE_ZH, True), (PAGE_ZH, False), (PAGE_RANGE, True)):
-        first = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        last = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if ranged else F.transform(first, lambda x: F.lit(""))
-        found.append(F.flatten(_span(first, last)))
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+    """Sorted distinct pages that a question names in digits; ranges are expanded. A lone number before a page sign needs its ordinal mark."""
+    group = lambda pattern, k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    after_word = f"(?i){_BEFORE}{_numbers('[0-9]')}"
+    before_sign = rf"(第\s*)?{_numbers('[0-9]')}{_SIGN}"
+    marked = F.filter(F.arrays_zip(group(before_sign, 1).alias("m"), group(before_sign, 2).alias("a"), group(before_sign, 3).alias("b")), lambda x: (x["m"] != "") | (x["b"] != ""))
+    spans = F.concat(_span(group(after_word, 1), group(after_word, 2)), _span(F.transform(marked, lambda x: x["a"]), F.transform(marked, lambda x: x["b"])))
+    return F.array_sort(F.array_distinct(F.flatten(spans)))
 
 
 def content_types(text: Column) -> Column:
@@ -103,10 +111,10 @@ def content_types(text: Column) -> Column:
 
 def clean_query(text: Column) -> Column:
     """The question without page references and type words, punctuation and white space collapsed."""
-    number = f"[{NUMERALS}0-9]+"
-    for pattern in (r"(?i)(?:page|页|頁)s?\s*[0-9]+(?:\s*[-到至]\s*[0-9]+)?", r"(?i)p\.?\s*[0-9]+(?:\s*[-到至]\s*[0-9]+)?", rf"第\s*{number}\s*(?:[-到至]\s*{number}\s*)?[页頁]", r"表格?[一二三四五六七八九十0-9]*", r"(?i)tables?\s*[0-9]*", "段落", r"(?i)paragraphs?"):
-        text = F.regexp_replace(text, pattern, "")
-    return F.trim(F.regexp_replace(text, r"[，。、\s]+", " "))
+    digit = f"[{NUMERALS}0-9]"
+    reference = rf"{_BEFORE}{_numbers('[0-9]')}|第\s*{_numbers(digit)}{_SIGN}"
+    kinds = rf"(?:表格?|tables?\s*){digit}*|段落|paragraphs?"
+    return F.trim(F.regexp_replace(F.regexp_replace(text, f"(?i){reference}|{kinds}", ""), r"[，。、\s]+", " "))
 
 
 def valid_doc_id(raw: Column) -> Column:
@@ -179,10 +187,17 @@ def parsed_questions(answer: Column, most: int) -> Column:
     return F.aggregate(lines, F.array().cast("array<string>"), step)
 
 
+#: Marks of a question and of its answer, each followed by a colon.
+QA_MARKS = (("Q", "A"), ("問題", "回答"), ("問", "答"))
+
+
 def qa_pairs(text: Column) -> Column:
-    """(question, answer) structs by ``Q: A:`` marks in two scripts; questions over 5 and answers over 10 characters."""
+    """(question, answer) structs by the pairs of QA_MARKS; an answer ends at the next mark. Questions over 5 and answers over 10 characters."""
+    colon = "[:：]"
+    mark = "(?:" + "|".join(q for q, _ in QA_MARKS) + ")" + colon
     out = []
-    for pattern in (r"(?s)[Qq][:：]\s*([^A答]*?)\s*[Aa][:：]\s*([^Q問]*?)(?=[QA問答]|$)", r"(?s)問題[:：]\s*([^回]*?)\s*回答[:：]\s*([^問]*?)(?=問題|$)", r"(?s)問[:：]\s*([^答]*?)\s*答[:：]\s*([^問]*?)(?=問|$)"):
-        q, a = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2))
-        out.append(F.zip_with(q, a, lambda x, y: F.struct(F.trim(x).alias("question"), F.trim(y).alias("answer"))))
+    for q, a in QA_MARKS:
+        pattern = rf"(?si)(?<![A-Za-z]){q}{colon}((?:(?!{mark}).)*?)(?<![A-Za-z]){a}{colon}(.*?)(?=(?<![A-Za-z]){mark}|$)"
+        asked, answered = (F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(k)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")) for k in (1, 2))
+        out.append(F.zip_with(asked, answered, lambda x, y: F.struct(x.alias("question"), y.alias("answer"))))
     return F.filter(F.concat(*out), lambda p: (F.length(p["question"]) > 5) & (F.length(p["answer"]) > 10) & (p["question"] != p["answer"]))

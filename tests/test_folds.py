@@ -155,3 +155,13 @@ def test_fuzzy_ids_are_the_best_over_all_blocks(spark):
     finally:
         evidence.BLOCK = old
     assert whole == split == {(1, "report017x"), (2, "report005x")}
+
+
+def test_marked_pairs_and_file_numbers(spark):
+    body = "Q: what is the revenue? A: it was ten million dollars\nQ: short A: too short question\n問題：今年的營收是多少？ 回答：營收約為一千萬元，比去年成長。"
+    df = spark.createDataFrame([(body, "scan_p012_table3.html"), ("", "scan-7.txt"), (None, "plain.pdf")], "t string, n string")
+    rows = df.select(text.qa_pairs(F.col("t")).alias("q"), text.page_of_file(F.col("n")).alias("p"), text.table_of_file(F.col("n")).alias("k")).collect()
+    assert [(x.question, x.answer) for x in rows[0].q] == [("what is the revenue?", "it was ten million dollars"), ("今年的營收是多少？", "營收約為一千萬元，比去年成長。")]
+    assert [(r.p, r.k) for r in rows] == [(12, 3), (7, None), (None, None)]
+    cleaned = spark.createDataFrame([("Tables on page 3-4 and 第五頁，表2 costs",)], "t string").select(text.clean_query(F.col("t")).alias("c")).first().c
+    assert cleaned == "on and costs"
