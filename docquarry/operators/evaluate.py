@@ -21,11 +21,13 @@ CATEGORIES = {
     "揭露": ["揭露", "公開", "資訊"],
     "證券交易法": ["證券交易法", "第14條", "第14條之3"],
 }
+#: Words that show a failed answer.
+ERROR_WORDS = "error|抱歉|無法"
 CJK_DIGITS = "[一二三四五六七八九十百千萬億]"
 
 
 def quality(answers: DataFrame, categories: dict[str, list[str]] = CATEGORIES) -> DataFrame:
-    """(id, quality and its parts) of (id, question, response, has_error)."""
+    """(id, quality and its parts) of (id, question, response)."""
     q, r = F.lower("question"), F.lower(F.coalesce("response", F.lit("")))
     asked = {c: F.exists(F.array(*map(F.lit, words)), lambda w: q.contains(w)) for c, words in categories.items()}
     met = {c: F.exists(F.array(*map(F.lit, words)), lambda w: r.contains(w)) for c, words in categories.items()}
@@ -33,6 +35,7 @@ def quality(answers: DataFrame, categories: dict[str, list[str]] = CATEGORIES) -
         "response_length": F.length(F.coalesce("response", F.lit(""))),
         "total_keywords": sum(asked[c].cast("int") for c in categories),
         "matched_keywords": sum((asked[c] & met[c]).cast("int") for c in categories),
+        "has_error": r.rlike(ERROR_WORDS),
         "has_numbers": r.rlike("[0-9]"),
         "has_percentage": r.contains("%"),
         "has_cjk_digits": r.rlike(CJK_DIGITS),

@@ -259,15 +259,15 @@ def system_status(spark, sf_dir):
 def _answers(spark, sf_dir):
     own = views.messages(spark, sf_dir)
     ask = own.where("role = 'user'").select("room_id", (F.col("turn") + 1).alias("turn"), F.concat("content", F.lit(" 年度 %")).alias("question"))
-    got = own.where("role = 'assistant'").select("room_id", "turn", F.concat(F.col("content"), F.when(F.col("turn") % 3 == 0, "年 12%").otherwise("")).alias("response"))
-    return ask.join(got, ["room_id", "turn"]).select((F.col("room_id") * 1000 + F.col("turn")).alias("id"), "question", "response", (F.col("room_id") % 11 == 0).alias("has_error"), (F.length("response") / 100).alias("seconds"), F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), (F.col("room_id") % 3 + 1).cast("int")).alias("difficulty"))
+    got = own.where("role = 'assistant'").select("room_id", "turn", F.concat(F.col("content"), F.when(F.col("turn") % 3 == 0, "年 12%").otherwise(""), F.when(F.col("room_id") % 11 == 0, " 無法回答").otherwise("")).alias("response"))
+    return ask.join(got, ["room_id", "turn"]).select((F.col("room_id") * 1000 + F.col("turn")).alias("id"), "question", "response", (F.length("response") / 100).alias("seconds"), F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), (F.col("room_id") % 3 + 1).cast("int")).alias("difficulty"))
 
 
 _CAT = " + ".join("({s})::INTEGER".format(s=" OR ".join(f"contains({{0}}, '{w}')" for w in words)) for words in evaluate.CATEGORIES.values())
 _MET = " + ".join("(({q}) AND ({r}))::INTEGER".format(q=" OR ".join(f"contains(lower(question), '{w}')" for w in words), r=" OR ".join(f"contains(lower(response), '{w}')" for w in words)) for words in evaluate.CATEGORIES.values())
-ANSWERS = f"""a AS (SELECT u.room_id * 1000 + u.turn + 1 AS id, u.content || ' 年度 %' AS question, g.content || CASE WHEN g.turn % 3 = 0 THEN '年 12%' ELSE '' END AS response, u.room_id % 11 = 0 AS has_error, u.room_id
+ANSWERS = f"""a AS (SELECT u.room_id * 1000 + u.turn + 1 AS id, u.content || ' 年度 %' AS question, g.content || CASE WHEN g.turn % 3 = 0 THEN '年 12%' ELSE '' END || CASE WHEN g.room_id % 11 = 0 THEN ' 無法回答' ELSE '' END AS response, u.room_id
   FROM ({M}) u JOIN ({M}) g ON g.room_id = u.room_id AND g.turn = u.turn + 1 WHERE u.role = 'user' AND g.role = 'assistant'),
-b AS (SELECT *, length(response) / 100.0::DOUBLE AS seconds, ['easy', 'medium', 'hard'][(room_id % 3 + 1)::INTEGER] AS difficulty, length(response)::INTEGER AS response_length, ({_CAT.format('lower(question)')}) AS total_keywords, ({_MET}) AS matched_keywords FROM a),
+b AS (SELECT *, regexp_matches(lower(response), '{evaluate.ERROR_WORDS}') AS has_error, length(response) / 100.0::DOUBLE AS seconds, ['easy', 'medium', 'hard'][(room_id % 3 + 1)::INTEGER] AS difficulty, length(response)::INTEGER AS response_length, ({_CAT.format('lower(question)')}) AS total_keywords, ({_MET}) AS matched_keywords FROM a),
 c AS (SELECT *, round(matched_keywords::DOUBLE / greatest(total_keywords, 1), 6) AS relevance FROM b),
 e AS (SELECT *, round(least(10.0::DOUBLE, CASE WHEN has_error THEN 0 ELSE 3 END + CASE WHEN response_length BETWEEN 50 AND 1000 THEN 2 WHEN response_length > 1000 THEN 1 ELSE 0 END + 3 * relevance
   + (regexp_matches(response, '[0-9]') OR contains(response, '%'))::INTEGER + 0.5::DOUBLE * regexp_matches(response, '{evaluate.CJK_DIGITS}')::INTEGER), 6) AS quality FROM c)"""
