@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm import shared
@@ -38,11 +38,14 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         first = 0 if bits == STEP else bits - STEP + 1
         keyed = waiting.withColumn("cell", F.shiftright("h", HASH_BITS - bits))
         cells = keyed.groupBy("cell").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("d"))
-        levels = cells.select("cell", "b", "d", F.explode(F.sequence(F.lit(first), F.lit(bits))).alias("depth"))
-        levels = levels.withColumn("shard", F.expr(f"shiftright(cell, {bits} - depth)"))
-        sums = levels.groupBy("depth", "shard").agg(F.sum("b").alias("shard_bytes"), F.sum("d").alias("shard_docs"))
-        fitting = levels.join(sums, ["depth", "shard"]).where((F.col("shard_bytes") <= limit) | (F.col("depth") == HASH_BITS))
-        leaf = fitting.groupBy("cell").agg(F.min(F.struct("depth", "shard", "shard_bytes", "shard_docs")).alias("leaf"))
+        # sums of the prefixes of a cell: one exchange by the shortest, below which at most 2**STEP cells lie
+        short = F.shiftright("cell", bits - max(first - 1, 0))
+        choices = []
+        for depth in range(first, bits + 1):
+            own = Window.partitionBy("short", F.shiftright("cell", bits - depth))
+            sums = F.struct(F.lit(depth).alias("depth"), F.shiftright("cell", bits - depth).alias("shard"), F.sum("b").over(own).alias("shard_bytes"), F.sum("d").over(own).alias("shard_docs"))
+            choices.append(F.when((F.sum("b").over(own) <= limit) | F.lit(depth == HASH_BITS), sums))
+        leaf = cells.withColumn("short", short).select("cell", F.coalesce(*choices).alias("leaf")).where("leaf is not null")
         # up to 16 bits the directory has at most 65,536 rows
         joined = keyed.join(F.broadcast(leaf) if bits <= 16 else leaf, "cell", "left")
         placed.append(joined.where("leaf is not null").select("doc_id", "n_bytes", "leaf.*"))
