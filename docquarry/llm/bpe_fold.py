@@ -5,7 +5,8 @@ an array of its bytes. Spark's higher-order functions fold the ranked merges
 over these arrays: as long as some neighbours have a rank, the first of the
 lowest merges. The rank map is one constant array of slots, addressed by two
 hashes of a pair. Decoding concatenates the byte strings of the ids of each
-distinct word. A second worker puts the words of each document together.
+distinct word. A second worker puts the words of each document together. A
+slice's words travel in blocks, one a row, and its documents in a last row.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from docquarry.llm import bpe, shared
 FOLD_BYTES = 64
 #: So are pieces that a slice has less often, as a fold costs some thirty times a call of the library (README).
 FOLD_COUNT = 3
-#: Bytes of text whose distinct pieces make one row.
+#: Bytes of text whose distinct pieces are folded once.
 SLICE_BYTES = 6_000_000
+#: Words of a row that is folded; long rows need arrays for which the JVM's heap has to grow.
+BLOCK_WORDS = 2_048
 _BITS = 17
 _NO_RANK = (1 << _BITS) - 1
 _SLOTS = 131_101
@@ -95,6 +98,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) ->
     layout = "doc_ids array<long>, words array<array<long>>, rest_ids array<binary>, sizes array<int>, codes binary"
     small = pa.schema([("doc_ids", pa.list_(pa.int64())), ("words", pa.list_(pa.list_(pa.int64()))), ("rest_ids", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary())])
 
+    def row_of(doc_ids: list, words: pa.Array, rest: list[bytes], sizes: list[int] | None, codes: bytes | None = None) -> pa.RecordBatch:
+        words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        columns = [pa.array([doc_ids], small.types[0]), words, pa.array([rest], small.types[2]), pa.array([sizes], small.types[3]), pa.array([codes], small.types[4])]
+        return pa.RecordBatch.from_arrays(columns, schema=small)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.from_ranks(ranks_path, pattern)
         byte_ids = np.array([own.ranks[bytes([b])] for b in range(256)], np.int64)
@@ -116,34 +124,46 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) ->
             moved = np.where(often, np.cumsum(often) - 1, -np.cumsum(~often)).astype("<i4")
             folded = [w for w, k in zip(words, often.tolist()) if k]
             rest = [np.array(own.core._core_bpe.encode_single_piece(w), "<u4").tobytes() for w, k in zip(words, often.tolist()) if not k]
-            arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, folded)]), pa.int32()), pa.array(byte_ids[np.frombuffer(b"".join(folded), np.uint8)]))
-            one = pa.array([0, len(folded)], pa.int32())
-            columns = [pa.array([doc_ids], small.types[0]), pa.ListArray.from_arrays(one, arrays), pa.array([rest], small.types[2]), pa.array([[len(r) // 4 for r in rows]], small.types[3]), pa.array([moved[codes].tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, schema=small)
+            ends = np.cumsum([0, *map(len, folded)])
+            letters = byte_ids[np.frombuffer(b"".join(folded), np.uint8)]
+            for first in range(0, len(folded), BLOCK_WORDS):
+                block = ends[first : first + BLOCK_WORDS + 1]
+                yield row_of([], pa.ListArray.from_arrays(pa.array(block - block[0], pa.int32()), pa.array(letters[block[0] : block[-1]])), [], None)
+            yield row_of(doc_ids, pa.array([], pa.list_(pa.int64())), rest, [len(r) // 4 for r in rows], moved[codes].tobytes())
+            del texts, doc_ids, rows, codes, moved, memo, places, words, folded, rest, letters
+        shared.give_back()
 
     out_fields = [("doc_id", "long", pa.int64()), ("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())] + [("ids", "binary", pa.binary()), ("decoded", "binary", pa.binary())] * keep
     arrow = pa.schema([(n, t) for n, _, t in out_fields])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.from_ranks(ranks_path, pattern)
+        id_list: list[bytes] = []
+        text_list: list[bytes] = []
         for batch in batches:
             for row in range(batch.num_rows):
                 doc_ids, rest_ids, sizes, codes, ids, decoded = (batch.column(k)[row] for k in range(6))
                 flat, ends = ids.values.flatten().to_numpy().astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(ids.values.value_lengths().to_numpy(zero_copy_only=False))]) * 4
+                id_list += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                text_list += decoded.as_py()
+                if not codes.is_valid:
+                    continue  # a block of words; the slice's documents follow
                 rest = rest_ids.as_py()
-                id_list = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())] + rest[::-1]
-                text_list = decoded.as_py() + [b"".join(map(own.names.__getitem__, np.frombuffer(r, "<u4").tolist())) for r in rest][::-1]
-                places = np.frombuffer(codes.as_py(), "<i4").tolist()
+                id_list += rest[::-1]
+                text_list += [b"".join(map(own.names.__getitem__, np.frombuffer(r, "<u4").tolist())) for r in rest][::-1]
+                places = np.frombuffer(codes.as_py(), "<i4")
                 out: list[list] = [[] for _ in out_fields]
                 start = 0
                 for doc_id, size in zip(doc_ids.as_py(), sizes.as_py()):
-                    at = places[start : start + size]
+                    at = places[start : start + size].tolist()
                     start += size
                     packed, text = b"".join(map(id_list.__getitem__, at)), b"".join(map(text_list.__getitem__, at))
                     made = (doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(text).hexdigest(), packed, text)
                     for column, v in zip(out, made):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, arrow.types)], schema=arrow)
+                id_list, text_list = [], []
+        shared.give_back()
 
     names = bpe.from_ranks(ranks_path, pattern).ranks
     token_bytes: list = [b""] * (max(names.values()) + 1)

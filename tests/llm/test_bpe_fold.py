@@ -10,7 +10,7 @@ PATH = P.path("byte_bpe_50k.tiktoken")
 
 
 def test_fold_equals_the_library(spark):
-    texts = [None, *odd_texts(), "x" * 70, "ab" * 5000, "the the the " * 3000]
+    texts = [None, *odd_texts(), "x" * 70, "ab" * 5000, "the the the " * 3000, " ".join(f"w{i}" for i in range(5000)) * 3]
     ranks = bpe.from_ranks(PATH, P.PATTERN).ranks
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "a b", "y"), (3, texts[3], "z")], "doc_id long, text string, ids string")
