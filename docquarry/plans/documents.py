@@ -94,6 +94,17 @@ def html_cells(spark, sf_dir):
     return html_tables.html_tables(views.table(spark, sf_dir, "pages"))
 
 
+def html_records(spark, sf_dir):
+    """Cells of a page for each customer: a cell that spans all its orders, blanks in a column and a note."""
+    order = F.struct(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus")).alias("s"), F.col("o_orderpriority").alias("p"))
+    rows = views.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(order)).alias("o"))
+    plain = F.transform("o", lambda x: F.format_string("<td>%s</td><td>%s</td><td>%s</td></tr>", x["k"].cast("string"), x["s"], x["p"]))
+    first = F.format_string('<table><tr><th>Customer</th><th>Order</th><th>Status</th><th>Priority</th></tr><tr><td rowspan="%s">C%s</td>', F.size("o").cast("string"), F.col("o_custkey").cast("string"))
+    note = F.lit('<tr><td>Note</td><td colspan="3">Orders of one customer by their key</td></tr></table><table><tr><td>a</td></tr><tr><td>b</td></tr></table>')
+    pages = rows.select(F.col("o_custkey").alias("page_id"), F.concat(first, F.array_join(plain, "<tr>"), note).alias("html"))
+    return html_tables.first_tables(html_tables.html_tables(pages))
+
+
 def parse_constraints(spark, sf_dir):
     """Constraints of questions made of benchmark passages and a page reference."""
     q = F.concat(F.lit("show tables on page "), (F.col("item_id") + 1).cast("string"), F.lit("-"), (F.col("item_id") + 3).cast("string"), F.lit(" and p."), F.col("item_id").cast("string"), F.lit(" "), F.col("text"))
@@ -342,6 +353,11 @@ QUERIES = {
     "token_chunks": (token_chunks, None),
     "table_chunks": (table_chunks, None),
     "html_cells": (html_cells, None),
+    "html_records": (html_records, """WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS s FROM orders),
+      r AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS i, min(s) OVER w AS lo, max(s) OVER w AS hi FROM o WINDOW w AS (PARTITION BY o_custkey))
+      SELECT o_custkey AS page_id, 0::INTEGER AS table_idx, i AS row_idx, c::INTEGER AS col_idx, ['Customer', 'Order', 'Status', 'Priority'][c + 1] AS header,
+      CASE c WHEN 0 THEN 'C' || o_custkey::VARCHAR WHEN 1 THEN o_orderkey::VARCHAR WHEN 2 THEN coalesce(s, CASE WHEN lo = hi THEN lo END, '') ELSE o_orderpriority END AS val, false AS is_note FROM r, range(4) t(c)
+      UNION ALL SELECT DISTINCT o_custkey, 0, 0, 0, 'Note', 'Orders of one customer by their key', true FROM orders"""),
     "parse_constraints": (parse_constraints, None),
     "clean_query": (clean_query, None),
     "file_names": (file_names, r"SELECT doc_id, (doc_id % 100)::INTEGER AS page, (doc_id % 50)::INTEGER AS table_no, 'Report_' || doc_id::VARCHAR || '_table' || (doc_id % 50)::VARCHAR || '_p0' || (doc_id % 100)::VARCHAR || '.html' AS safe, 'Report ' || doc_id::VARCHAR || '_table' || (doc_id % 50)::VARCHAR || '_p0' || (doc_id % 100)::VARCHAR AS stem FROM documents"),

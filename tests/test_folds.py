@@ -48,12 +48,46 @@ HTML = """<table><tr><th rowspan=2>City</th><th colspan=2>Sales</th></tr><tr><th
 def test_html_tables(spark):
     cells = list(html_tables.cells_of(HTML))
     assert (0, 0, 1, "Sales 2023", "1,000", False) in cells and (0, 1, 0, "City", "A", False) in cells
-    assert [c for c in cells if c[5]] == [(0, 2, 0, "City", "figures are not audited", True)]
+    assert [c for c in cells if c[5]] == [(0, 0, 0, "", "figures are not audited", True)]
     assert (1, 0, 0, "k", "a b", False) in cells and (1, 0, 1, "v", "", False) in cells
     rows = html_tables.html_tables(spark.createDataFrame([(1, HTML), (2, None), (3, "<p>")], "page_id long, html string"))
     assert rows.count() == len(cells)
 
 
+def table(*rows):
+    return "<table>" + "".join("<tr>" + "".join(f"<td colspan={c[1]}>{c[0]}</td>" if isinstance(c, tuple) else f"<td>{c}</td>" for c in row) + "</tr>" for row in rows) + "</table>"
+
+
+def records(html):
+    out = {}
+    for t, r, _, header, value, note in html_tables.cells_of(html):
+        if not note:
+            out.setdefault((t, r), {})[header] = value
+    return list(out.values())
+
+
+def test_header_rows_end_at_figures():
+    assert records(table("ab", "cd", "12")) == [{"a c": "1", "b d": "2"}]
+    assert records(table("a1", "bc", "23", "45")) == [{"a b": "2", "1 c": "3"}, {"a b": "4", "1 c": "5"}]  # a figure in the first row: half of a row must be
+    assert records(table("ab", "cd")) == [{"a": "c", "b": "d"}] and records(table("ab")) == []
+    assert records(table("ab", ("x", "5 %"), "cd")) == [{"a": "x", "b": "5 %"}, {"a": "c", "b": "d"}]
+
+
+def test_group_label_constant_column_and_names():
+    rows = table(("", "n", "v", "n"), ("g", "1", "k", "2"), ("g", "3", "", "4"), ("5", "k", "6", ""))
+    assert records(rows) == [{"n": "1", "v": "k", "n_2": "2"}, {"n": "3", "v": "k", "n_2": "4"}, {"n": "5", "v": "k", "n_2": "6"}]
+
+
+def test_inner_header_opens_a_second_part():
+    html = table(["a", "b", "c", "d"], ["1", "2", "3", "4"], ["a", "b", ("e", 2)], ["", "", "f", "g"], ["5", "6", "7", "8"])
+    assert records(html) == [{"a": "1", "b": "2", "c": "3", "d": "4"}, {"a": "5", "b": "6", "f": "7", "g": "8"}]
+
+
+def test_notes_have_a_label():
+    html = table("ab", "12", ["Note", ("all figures are not audited", 2)], [("short", 2)])
+    assert [c[3:5] for c in html_tables.cells_of(html) if c[5]] == [("Note", "all figures are not audited")]
+
+
 def test_packed_rows(spark):
     rng = random.Random(1)
     rows = [("d", "t", i, "x" * rng.randrange(1, 400)) for i in range(60)] + [("d", "u", 0, "y" * 2000), ("d", "u", 1, "z")]
