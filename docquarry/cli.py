@@ -1,8 +1,9 @@
-"""Command line: list the named queries, run one, or ask a question over text files."""
+"""Command line: named queries, and collections of text files to ask, chat with, make QA pairs of, look into or empty."""
 
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,19 @@ def main(argv: list[str] | None = None) -> None:
     ask.add_argument("--engine", choices=("vector", "keyword", "hybrid"), default="hybrid")
     docs = sub.add_parser("list-docs", help="documents of a collection")
     docs.add_argument("collection")
+    chat = sub.add_parser("chat", help="answer each line of the input from a collection, until an empty line")
+    chat.add_argument("collection")
+    chat.add_argument("--engine", choices=("vector", "keyword", "hybrid"), default="hybrid")
+    pairs = sub.add_parser("qa-generate", help="write question-answer pairs of a document as JSON")
+    pairs.add_argument("collection")
+    pairs.add_argument("doc_id")
+    pairs.add_argument("output")
+    pairs.add_argument("-n", "--num", type=int, default=5)
+    debug = sub.add_parser("debug-extract", help="write pages and chunks of files as JSON")
+    debug.add_argument("pattern")
+    debug.add_argument("output")
+    reset = sub.add_parser("reset", help="empty a collection; its columns stay")
+    reset.add_argument("collection")
     args = parser.parse_args(argv)
     if args.command == "list":
         print("\n".join(sorted(catalog.queries())))
@@ -45,6 +59,21 @@ def main(argv: list[str] | None = None) -> None:
         hits = service.retrieve(spark.read.parquet(args.collection), requests, args.engine)
         hits.orderBy("final_rank").show(truncate=100)
         service.answer(hits, requests).show(truncate=False)
+    elif args.command == "chat":
+        points = spark.read.parquet(args.collection)
+        for line in iter(lambda: sys.stdin.readline().strip(), ""):
+            requests = [service.Request(line)]
+            print(service.answer(service.retrieve(points, requests, args.engine), requests).first().answer)
+    elif args.command == "qa-generate":
+        points = spark.read.parquet(args.collection).where(F.col("doc_id") == args.doc_id)
+        files.write_qa(service.qa_pairs(points, args.num), args.output)
+    elif args.command == "debug-extract":
+        pages = files.extract_pages(files.read_files(spark, args.pattern), files.plain_pages)
+        pages.write.mode("overwrite").json(f"{args.output}/pages")
+        service.build_chunks(pages).write.mode("overwrite").json(f"{args.output}/nodes")
+    elif args.command == "reset":
+        schema = spark.read.parquet(args.collection).schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(args.collection)
     else:
         spark.read.parquet(args.collection).groupBy("doc_id").agg(F.count("*").alias("chunks")).orderBy("doc_id").show(1000, truncate=False)
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.functions import numeric, slots, text
-from docquarry.operators import chat, evidence, graph, search
+from docquarry.operators import chat, evidence, generation, graph, search
 from docquarry.plans import views
-from docquarry.plans.retrieval import _topk
+from docquarry.plans.retrieval import COSINE, _topk
 
 P = views.PAGES
 
@@ -128,6 +128,13 @@ def suggestions(spark, sf_dir):
     return own.select("doc_id", F.posexplode(text.parsed_questions(F.regexp_replace("answer", r"\. ", ".\n"), 3)).alias("place", "question"))
 
 
+def scoped_hits(spark, sf_dir):
+    """The best ten points of each document for its first one as a question."""
+    points = views.points(spark, sf_dir)
+    asked = points.groupBy("doc_id").agg(F.min("id").alias("query_id"), F.min_by("embedding", "id").alias("vector"))
+    return generation.scoped_hits(asked, points, 10, 0.1).select("query_id", "doc_id", "id", "score", "rank")
+
+
 def embed_texts(spark, sf_dir):
     """Vectors of benchmark passages by the offline embedder, with their length and width."""
     own = slots.embedded(views.table(spark, sf_dir, "benchmark"))
@@ -164,6 +171,8 @@ QUERIES = {
     "graph_retrieve": (graph_retrieve, None),
     "answer_extractive": (answer_extractive, None),
     "suggestions": (suggestions, None),
+    "scoped_hits": (scoped_hits, f"""WITH p AS ({views.POINTS}), q AS (SELECT doc_id AS asked, min(id) AS query_id, arg_min(embedding, id) AS vector FROM p GROUP BY doc_id)
+      SELECT query_id, doc_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM (SELECT query_id, doc_id, id, {COSINE} AS score FROM q JOIN p ON doc_id = asked) WHERE score >= 0.1) WHERE rank <= 10"""),
     "embed_texts": (embed_texts, "SELECT item_id, 64::INTEGER AS width, 1.0::DOUBLE AS self, 80::INTEGER AS repaired FROM benchmark"),
     "entity_triples": (entity_triples, "SELECT 'Company' || s_suppkey::VARCHAR AS src, 'OPERATES_IN' AS rel, 'Nation' || s_nationkey::VARCHAR AS dst FROM supplier"),
 }

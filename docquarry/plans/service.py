@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import ids, slots, text
-from docquarry.operators import chat, chunking, evaluate, evidence, search, state
+from docquarry.operators import chat, chunking, evaluate, evidence, generation, search, state
 from docquarry.plans.shared_folder import cut_lineage
 from docquarry.sources import files
 
-NO_ANSWER = "No passage answers this question."
+NO_ANSWER = generation.NO_ANSWER
 
 
 @dataclass(frozen=True)
@@ -154,6 +154,12 @@ def suggestions(chunks: DataFrame, most: int = 5) -> DataFrame:
     return asked.select(F.substring(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "question"), 256), 1, 32).alias("suggestion_id"), "doc_id", "question", F.lit(0.0).alias("popularity"))
 
 
+def qa_pairs(points: DataFrame, most: int = 5) -> DataFrame:
+    """Question-answer pairs of each document, up to ``most``; questions are made once and kept, as a model may not repeat itself."""
+    asked = suggestions(points, most).dropDuplicates(["suggestion_id"]).select(F.col("suggestion_id").alias("query_id"), "doc_id", F.col("question").alias("query"))
+    return generation.qa_pairs(cut_lineage(asked), points)
+
+
 def post_message(messages: DataFrame, new: DataFrame) -> DataFrame:
     """The message table after new rows; a message that comes again replaces itself."""
     return state.upserted(messages, new, ["msg_id"])
