@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import bpe_fold, chat, media, near_dups, packing, quality, sharding, token_counts, toxicity, url_rules
+from docquarry.llm import bpe_fold, chat, manifest, media, near_dups, negatives, packing, pieces, quality, sharding, token_counts, toxicity, url_rules
 from docquarry.llm.shared import table
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +58,22 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words_each=2)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify(table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), PIECES, keep=False)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_best_fit_packing, op2_toxicity, op3_media_columns, op4_sharding, op5_url_filters, op6_byte_bpe, op7_quality_rules, op8_token_counts, op9_chat_formatting, op10_minhash_near_dedup)
+    own = (op1_best_fit_packing, op2_toxicity, op3_media_columns, op4_sharding, op5_url_filters, op6_byte_bpe, op7_quality_rules, op8_token_counts, op9_chat_formatting, op10_minhash_near_dedup, op11_merkle_manifest, op12_sentencepiece, op13_hard_negatives)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.ORACLE}
+    return {"op4_sharding": sharding.ORACLE, "op11_merkle_manifest": manifest.ORACLE, "op13_hard_negatives": negatives.ORACLE}
