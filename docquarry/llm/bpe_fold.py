@@ -172,7 +172,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) ->
     constants = spark.createDataFrame([(rank_slots(ranks_path, pattern).tolist(), token_bytes)], "slots array<long>, token_bytes array<binary>")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sliced = texts.mapInArrow(split, layout)
-    folded = sliced.select("*", constants.select("slots").scalar().alias("slots")).withColumn("ids", F.expr(fold_sql())).drop("slots", "words")
-    decoding = "transform(ids, w -> aggregate(w, X'', (t, i) -> concat(t, get(token_bytes, cast(i AS int)))))"
-    decoded = folded.select("*", constants.select("token_bytes").scalar().alias("token_bytes")).withColumn("decoded", F.expr(decoding)).drop("token_bytes")
+    # one expression names each map once and binds it inside, so that the projections collapse: as a column it would be copied into every row
+    names_of = "transform(ids, w -> aggregate(w, X'', (t, i) -> concat(t, get(token_bytes, cast(i AS int)))))"
+    both = f"transform(array({fold_sql()}), ids -> named_struct('ids', ids, 'decoded', {names_of}))"
+    bound = f"get(get(transform(array(slots), slots -> transform(array(token_bytes), token_bytes -> get({both}, 0))), 0), 0)"
+    maps = (constants.select(name).scalar().alias(name) for name in constants.columns)
+    decoded = sliced.select("*", *maps).select("doc_ids", "rest_ids", "sizes", "codes", F.expr(bound).alias("both")).select("*", "both.*")
     return decoded.select("doc_ids", "rest_ids", "sizes", "codes", "ids", "decoded").mapInArrow(join, ", ".join(f"{n} {t}" for n, t, _ in out_fields))
