@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docquarry.operators import state
+from docquarry.sources.upserts import UpsertTable
 
 LATE = "1 hour"
 BUFFER = 1024
@@ -66,32 +66,17 @@ def ring_buffer(messages: DataFrame, most: int = BUFFER) -> DataFrame:
 
 
 def upsert_batches(path: str, key: list[str], order: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink whose table holds one row a key; a batch that is delivered again changes nothing.
-
-    Each batch writes a new version beside the old one, so that a lost executor
-    or a repeated batch never leaves a half-written table behind.
-    """
+    """A foreachBatch sink whose table holds one row a key; a batch that is delivered again changes nothing, and writes follow the batch."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = version(spark, path, before=number)
-        rows = batch if old is None else old
-        merged = state.upserted(rows, batch, key, order) if old is not None else state.upserted(batch.limit(0), batch, key, order)
-        merged.write.mode("overwrite").parquet(f"{path}/v={number:010d}")
+        UpsertTable(batch.sparkSession, path, key, order).commit(batch, writer="stream", batch=number)
 
     return write
 
 
-def version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of the table under ``path``, or that before a batch; null if there is none."""
-    context = spark.sparkContext
-    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(context._jsc.hadoopConfiguration())
-    if not files.exists(hadoop):
-        return None
-    found = sorted(s.getPath().getName() for s in files.listStatus(hadoop) if s.isDirectory() and s.getPath().getName().startswith("v="))
-    found = [v for v in found if files.exists(context._jvm.org.apache.hadoop.fs.Path(f"{path}/{v}/_SUCCESS")) and (before is None or int(v[2:]) < before)]
-    return spark.read.parquet(f"{path}/{found[-1]}") if found else None
+def version(spark: SparkSession, path: str, number: int | None = None) -> DataFrame | None:
+    """The newest version of the table under ``path``, or that of a number; null if there is none."""
+    return UpsertTable(spark, path, []).read(number)
 
 
 def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
