@@ -5,11 +5,18 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.plans import catalog, service
 from docquarry.sources import files
+from docquarry.streaming import ingest
+
+
+def collection(spark: SparkSession, path: str) -> DataFrame:
+    """Points of a store, or of a collection that ``index`` wrote."""
+    rows = ingest.Store(spark, path).points.read()
+    return spark.read.parquet(path) if rows is None else rows
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -23,6 +30,13 @@ def main(argv: list[str] | None = None) -> None:
     index = sub.add_parser("index", help="chunk and embed text files into a Parquet collection")
     index.add_argument("pattern")
     index.add_argument("collection")
+    take = sub.add_parser("ingest", help="take new text files into a store, as a stream; files that cannot be read are kept apart")
+    take.add_argument("pattern")
+    take.add_argument("collection")
+    take.add_argument("--corpus", help="name of the corpus on the edges of the graph")
+    drop = sub.add_parser("delete", help="take documents out of every table of a store")
+    drop.add_argument("collection")
+    drop.add_argument("doc_ids", nargs="+")
     ask = sub.add_parser("query", help="passages and an answer from a collection")
     ask.add_argument("collection")
     ask.add_argument("question")
@@ -54,28 +68,37 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "index":
         pages = files.extract_pages(files.read_files(spark, args.pattern), files.plain_pages)
         service.index(service.build_chunks(pages)).write.mode("append").parquet(args.collection)
+    elif args.command == "ingest":
+        store = ingest.Store(spark, args.collection)
+        ingest.ingest(store, args.pattern, f"{args.collection}/checkpoint", files.strict_pages, corpus=args.corpus)
+        ingest.progress(store).orderBy("batch").show(truncate=False)
+        store.dead_letters.read().show(truncate=100)
+    elif args.command == "delete":
+        ingest.Store(spark, args.collection).delete(spark.createDataFrame([(d,) for d in args.doc_ids], "doc_id string"))
     elif args.command == "query":
         requests = [service.Request(args.question, args.topk)]
-        hits = service.retrieve(spark.read.parquet(args.collection), requests, args.engine)
+        hits = service.retrieve(collection(spark, args.collection), requests, args.engine)
         hits.orderBy("final_rank").show(truncate=100)
         service.answer(hits, requests).show(truncate=False)
     elif args.command == "chat":
-        points = spark.read.parquet(args.collection)
+        points = collection(spark, args.collection)
         for line in iter(lambda: sys.stdin.readline().strip(), ""):
             requests = [service.Request(line)]
             print(service.answer(service.retrieve(points, requests, args.engine), requests).first().answer)
     elif args.command == "qa-generate":
-        points = spark.read.parquet(args.collection).where(F.col("doc_id") == args.doc_id)
+        points = collection(spark, args.collection).where(F.col("doc_id") == args.doc_id)
         files.write_qa(service.qa_pairs(points, args.num), args.output)
     elif args.command == "debug-extract":
         pages = files.extract_pages(files.read_files(spark, args.pattern), files.plain_pages)
         pages.write.mode("overwrite").json(f"{args.output}/pages")
         service.build_chunks(pages).write.mode("overwrite").json(f"{args.output}/nodes")
+    elif args.command == "reset" and (store := ingest.Store(spark, args.collection)).points.manifest():
+        store.reset()
     elif args.command == "reset":
         schema = spark.read.parquet(args.collection).schema
         spark.createDataFrame([], schema).write.mode("overwrite").parquet(args.collection)
     else:
-        spark.read.parquet(args.collection).groupBy("doc_id").agg(F.count("*").alias("chunks")).orderBy("doc_id").show(1000, truncate=False)
+        collection(spark, args.collection).groupBy("doc_id").agg(F.count("*").alias("chunks")).orderBy("doc_id").show(1000, truncate=False)
 
 
 if __name__ == "__main__":

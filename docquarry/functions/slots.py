@@ -139,6 +139,47 @@ def numeral(text: str) -> int | None:
 _DEFAULTS = {"embed": embed, "complete": complete, "segment": segment, "triples": triples, "rewrite": rewrite, "ocr": ocr}
 
 
+#: Texts of a call to a model; tries of a single text.
+CALL, TRIES = 200, 3
+
+
+def salvaged(function: Callable[[list], list], items: list, tries: int = TRIES) -> list[tuple[object, str | None]]:
+    """(result, error) of each item: a call that fails is split in halves down to the item, which has ``tries`` calls."""
+    if not items:
+        return []
+    error = ""
+    for _ in range(tries if len(items) == 1 else 1):
+        try:
+            found = list(function(items))
+            if len(found) != len(items):
+                raise ValueError(f"{len(found)} results for {len(items)} texts")
+            return [(x, None) for x in found]
+        except Exception as e:  # whatever a model raises concerns its own texts only
+            error = f"{type(e).__name__}: {e}"
+    if len(items) == 1:
+        return [(None, error)]
+    half = len(items) // 2
+    return salvaged(function, items[:half], tries) + salvaged(function, items[half:], tries)
+
+
+def called(rows: DataFrame, name: str, column: str, kind: str, out: str = "value", error: str = "error", shape: Callable = lambda x: x) -> DataFrame:
+    """The rows with what the slot ``name`` gives for a text column and, where it fails for one, the error instead.
+
+    A worker calls with CALL texts at a time; kind is the SQL type of a shaped result.
+    """
+    function = slot(name)
+
+    @F.pandas_udf(f"struct<value:{kind},error:string>")
+    def results(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            own = texts.fillna("").tolist()
+            found = [r for i in range(0, len(own), CALL) for r in salvaged(function, own[i : i + CALL])]
+            yield pd.DataFrame({"value": pd.Series([None if e else shape(x) for x, e in found], dtype=object), "error": pd.Series([e for _, e in found], dtype=object)})
+
+    made = f"__{name}"
+    return rows.withColumn(made, results(F.col(column))).withColumns({out: F.col(f"{made}.value"), error: F.col(f"{made}.error")}).drop(made)
+
+
 def registered() -> set[str]:
     """Names of slots that hold functions of one's own."""
     return set(_SLOTS)

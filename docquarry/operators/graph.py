@@ -166,10 +166,10 @@ def cube_edges(observations: DataFrame) -> DataFrame:
     return tables.unionByName(placed).unionByName(metric).unionByName(value).unionByName(kind).distinct()
 
 
-def sanitized(triples: DataFrame) -> DataFrame:
-    """Triples (src, rel, dst) with both ends, names of at most 256 characters and safe labels."""
+def sanitized(triples: DataFrame, *others: str) -> DataFrame:
+    """Triples (src, rel, dst) with both ends, names of at most 256 characters and safe labels; ``others`` are columns that stay."""
     has = triples.where((F.trim(F.coalesce("src", F.lit(""))) != "") & (F.trim(F.coalesce("dst", F.lit(""))) != ""))
-    return has.select(F.substring(F.trim("src"), 1, 256).alias("src"), text.graph_label(F.col("rel"), "RELATED_TO").alias("rel"), F.substring(F.trim("dst"), 1, 256).alias("dst"))
+    return has.select(F.substring(F.trim("src"), 1, 256).alias("src"), text.graph_label(F.col("rel"), "RELATED_TO").alias("rel"), F.substring(F.trim("dst"), 1, 256).alias("dst"), *others)
 
 
 def stamped(nodes: DataFrame, doc_id: str, corpus: str) -> DataFrame:

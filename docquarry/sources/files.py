@@ -60,6 +60,11 @@ def plain_pages(content: bytes) -> list[str]:
     return content.decode("utf-8", "replace").split("\f")
 
 
+def strict_pages(content: bytes) -> list[str]:
+    """Pages of a text file that must be UTF-8."""
+    return content.decode("utf-8").split("\f")
+
+
 def read_qa(spark: SparkSession, path: str) -> DataFrame:
     """Pairs with both sides, as training rows of weight 0.9."""
     rows = spark.read.schema(QA).option("multiLine", True).json(path)
