@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import graph, search
-from docquarry.plans import views
-from docquarry.plans.shared_folder import cut_lineage
+from docquarry.operators.inverted import InvertedIndex
+from docquarry.plans import stored, views
+from docquarry.plans.shared_folder import cut_lineage, shared_folder
 
 K = 10
 DOCS = ("d1", "d2,", "d5.")
@@ -68,8 +71,8 @@ bmr AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION
 
 def keyword_match(spark, sf_dir):
     """Documents that have all tokens of a passage of the benchmark."""
-    terms = search.query_terms(views.text_queries(spark, sf_dir))
-    return search.keyword_topk(search.postings(_texts(spark, sf_dir), terms), terms, 3 * K)
+    terms = cut_lineage(search.query_terms(views.text_queries(spark, sf_dir)))
+    return stored.documents_index(spark, sf_dir).keyword(terms, 3 * K)
 
 
 KEYWORD = f"""WITH {INDEX},
@@ -79,10 +82,10 @@ SELECT query_id, id, 0.0::DOUBLE AS score, rank FROM (SELECT query_id, id, row_n
 
 
 def _index(spark, sf_dir):
-    """The queries' terms, their postings and the statistics of the corpus, written once for all lists."""
-    docs = _texts(spark, sf_dir)
+    """The queries' terms, their postings out of the stored index and the statistics of the corpus, written once for all lists."""
+    index = stored.documents_index(spark, sf_dir)
     terms = cut_lineage(search.query_terms(views.text_queries(spark, sf_dir)))
-    return terms, cut_lineage(search.postings(docs, terms)), cut_lineage(search.corpus_stats(docs))
+    return terms, cut_lineage(index.wanted(terms)), index.stats()
 
 
 def _bm25(spark, sf_dir, k=20, index=None):
@@ -94,6 +97,16 @@ def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir)
 
 
+def bm25_after_changes(spark, sf_dir):
+    """The same lists from an index that first has some documents wrong, too many or not at all, and then takes three batches."""
+    index = InvertedIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    docs = _texts(spark, sf_dir)
+    index.add(docs.where("id % 3 <> 0").withColumn("text", F.when(F.col("id") % 5 == 0, F.concat(F.lit("draft of "), F.reverse("text"))).otherwise(F.col("text"))))
+    index.add(docs.where("id % 3 = 0").unionByName(docs.where("id % 10 = 0").withColumn("id", -F.col("id") - 1)))
+    index.add(docs.where("id % 5 = 0"), docs.where("id % 10 = 0").select((-F.col("id") - 1).alias("id")))
+    return index.bm25(cut_lineage(search.query_terms(views.text_queries(spark, sf_dir))), 20)
+
+
 def _dense_for_items(spark, sf_dir, k=20):
     """Dense lists for benchmark items: item i goes with vector 100 i."""
     return _near(spark, sf_dir, k).withColumn("query_id", F.floor(F.col("query_id") / 100).cast("long"))
@@ -196,6 +209,7 @@ QUERIES = {
     "vector_relaxed": (vector_relaxed, f"WITH s AS ({_topk(K, 'p.doc_id IN (' + chr(39) + 'd1' + chr(39) + ', ' + chr(39) + 'd2' + chr(39) + ', ' + chr(39) + 'd5' + chr(39) + ')', 0.25)}), l AS ({_topk(K, 'true', 0.2)}) SELECT * FROM s UNION ALL SELECT * FROM l WHERE query_id NOT IN (SELECT query_id FROM s)"),
     "keyword_match": (keyword_match, KEYWORD),
     "bm25_topk": (bm25_topk, f"WITH {INDEX}, {BM25} SELECT * FROM bmr"),
+    "bm25_after_changes": (bm25_after_changes, f"WITH {INDEX}, {BM25} SELECT * FROM bmr"),
     "rrf_fusion": (rrf_fusion, f"WITH {FUSED} SELECT query_id, id, rrf, rank FROM fused"),
     "merge_dedup": (merge_dedup, f"""WITH u AS (SELECT query_id, id, score, 0 AS l FROM ({_topk(40)}) UNION ALL SELECT query_id, id, round(score * 0.9, 6), 1 FROM ({_topk(10)})),
       b AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY score DESC, l) AS pos FROM u) WHERE pos = 1),

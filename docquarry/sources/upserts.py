@@ -75,6 +75,7 @@ class Manifest:
     schema: T.StructType
     sets: dict[int, list[tuple[str, int, bool]]] = field(default_factory=dict)
     writers: dict[str, int] = field(default_factory=dict)
+    by: list[str] = field(default_factory=list)
     written: int = 0
 
     def dump(self) -> str:
@@ -90,8 +91,10 @@ class Manifest:
 class UpsertTable:
     """A table under ``path`` with a row, or with ``groups`` all rows of one commit, for each key."""
 
-    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], order: str | None = None, groups: bool = False, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], order: str | None = None, groups: bool = False, buckets: int = BUCKETS, by: Sequence[str] = (), files: int = 1):
+        """``by``: columns of the key that tell the bucket, all without it; files: tasks that write a bucket."""
         self.spark, self.path, self.key, self.order, self.groups, self.buckets = spark, path, list(key), order, groups, buckets
+        self.by, self.files = list(by) or self.key, files
         self.folder = Folder(spark, path)
 
     def versions(self) -> list[int]:
@@ -104,36 +107,44 @@ class UpsertTable:
             return None
         return Manifest.load(self.folder.text(f"manifests/v={found[-1] if version is None else version:010d}.json"))
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        """The rows of a version, or of the newest; null for a table without any."""
+    def read(self, version: int | None = None, only: set[int] | None = None) -> DataFrame | None:
+        """The rows of a version, or of the newest, perhaps of some buckets only; null for a table without any."""
         own = self.manifest(version)
         if own is None:
             return None
         self.key = own.key
         plain, mixed = [], []
-        for entries in own.sets.values():
+        for bucket, entries in own.sets.items():
+            if only is not None and bucket not in only:
+                continue
             (plain if len(entries) == 1 and not entries[0][2] else mixed).extend(f for f, _, _ in entries)
         rows = self._newest(self._load(own, mixed)).where(~F.col(_DELETED))
         return self._load(own, plain).unionByName(rows).drop(_SEQ, _DELETED)
 
-    def commit(self, rows: DataFrame | None, gone: DataFrame | None = None, writer: str = "", batch: int | None = None) -> Manifest:
+    def buckets_of(self, rows: DataFrame) -> set[int]:
+        """The buckets that these rows lie in; at most as many as the table has."""
+        own = self.manifest()
+        return {r[0] for r in rows.select(self._bucket(own).alias("b")).distinct().collect()} if own else set()
+
+    def commit(self, rows: DataFrame | None, gone: DataFrame | None = None, writer: str = "", batch: int | None = None, distinct: bool = False) -> Manifest:
         """A new version with these rows in the place of their keys' own and without the keys of ``gone``.
 
         A batch number of a writer that is not above its last one changes
         nothing. Of several rows of a key the one with the greatest ``order``
         counts, of equal ones the greatest by its text; with ``groups`` all do.
-        A key that is both in the rows and gone stays.
+        A key that is both in the rows and gone stays. distinct: no two rows
+        share a key, and none of them is gone.
         """
         old = self.manifest()
         if old and batch is not None and old.writers.get(writer, -1) >= batch:
             return old
         if rows is None and gone is None:
             raise ValueError("neither rows nor keys")
-        new = self._batch(rows, gone, old)
+        new = self._batch(rows, gone, old, distinct)
         version = old.version + 1 if old else 0
         names = {f.name for f in old.schema} if old else set()
         fields = [*(old.schema.fields if old else []), *(f for f in new.schema.fields if f.name not in names and f.name not in (_SEQ, _DELETED))]
-        own = Manifest(version, old.key if old else self.key, old.buckets if old else self.buckets, T.StructType(fields), dict(old.sets) if old else {}, dict(old.writers) if old else {})
+        own = Manifest(version, old.key if old else self.key, old.buckets if old else self.buckets, T.StructType(fields), dict(old.sets) if old else {}, dict(old.writers) if old else {}, old.by if old else self.by)
         if own.key != self.key:
             raise ValueError(f"the table's key is {own.key}")
         added = self._write(new.withColumn(_SEQ, F.lit(version).cast("long")), f"data/v{version:010d}", own)
@@ -168,18 +179,19 @@ class UpsertTable:
                 went += 1
         return went
 
-    def _batch(self, rows: DataFrame | None, gone: DataFrame | None, old: Manifest | None) -> DataFrame:
+    def _batch(self, rows: DataFrame | None, gone: DataFrame | None, old: Manifest | None, distinct: bool) -> DataFrame:
         parts = []
         if rows is not None:
             own = rows
-            if not self.groups:
+            if not self.groups and not distinct:
                 rank = [*([F.desc_nulls_last(self.order)] if self.order else []), F.desc(F.to_json(F.struct(*rows.columns)))]
                 own = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*self.key).orderBy(*rank))).where("__at = 1").drop("__at")
             parts.append(own.withColumn(_DELETED, F.lit(False)))
         if gone is not None:
             keys = gone.select(*self.key).distinct().withColumn(_DELETED, F.lit(True))
             if rows is not None:
-                keys = keys.join(rows.select(*self.key).distinct(), self.key, "left_anti")
+                if not distinct:
+                    keys = keys.join(rows.select(*self.key).distinct(), self.key, "left_anti")
                 keys = keys.select(*(F.col(f.name) if f.name in (*self.key, _DELETED) else F.lit(None).cast(f.dataType).alias(f.name) for f in parts[0].schema))
             elif old is not None:
                 keys = keys.select(*(F.col(f.name) if f.name in self.key else F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema), _DELETED)
@@ -187,7 +199,7 @@ class UpsertTable:
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def _bucket(self, own: Manifest):
-        return F.pmod(F.xxhash64(*own.key), F.lit(own.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*own.by), F.lit(own.buckets)).cast("int")
 
     def _load(self, own: Manifest, folders: list[str]) -> DataFrame:
         schema = T.StructType([*own.schema.fields, T.StructField(_SEQ, T.LongType()), T.StructField(_DELETED, T.BooleanType())])
@@ -200,7 +212,9 @@ class UpsertTable:
 
     def _write(self, rows: DataFrame, folder: str, own: Manifest) -> dict[int, int]:
         """Bytes by bucket."""
-        rows.withColumn(_BUCKET, self._bucket(own)).repartition(own.buckets, _BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
+        part = [F.col(_BUCKET), *([F.pmod(F.hash(*own.key), F.lit(self.files))] if self.files > 1 else [])]
+        dealt = rows.withColumn(_BUCKET, self._bucket(own)).repartition(own.buckets * self.files, *part)
+        dealt.sortWithinPartitions(_BUCKET, *own.by).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
         return {int(n.partition("=")[2]): self.folder.size(f"{folder}/{n}") for n in self.folder.names(folder) if n.startswith(_BUCKET)}
 
     def _compact(self, own: Manifest) -> None:
