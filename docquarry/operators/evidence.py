@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import slots, text
+from docquarry.operators import echoes
 from docquarry.operators.chunking import char_windows
 
 #: Words that are never document ids.
@@ -92,31 +93,15 @@ def _compared(queries: DataFrame, known: DataFrame, matches, fields: str = "doc_
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _sized(line: str | None) -> tuple[set[str], int]:
-    """The tokens of a line, and the length of them joined."""
-    tokens = set((line or "").split())
-    return tokens, len(" ".join(tokens))
-
-
 def without_table_echoes(sentences: DataFrame, rows: DataFrame) -> DataFrame:
     """Sentences (doc_id, page, pos, text) that are not nearly a table row (doc_id, page, text) of their page.
 
-    Both sides come together by page, and a page's size bounds a group. Where
-    rows have a ``pos`` too, only those before a sentence count.
+    Where rows have a ``pos`` too, only those before a sentence count.
     """
-    placed = "pos" in rows.columns
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[~group["is_row"]].drop(columns="is_row"), group[group["is_row"]]
-        own = [_sized(t) for t in left["text"]]
-        texts = [(p, *_sized(t)) for p, t in zip(right["pos"], right["text"]) if t]
-        good = [not any((not placed or p < pos) and slots.token_sets_alike(x, y, (n, m), FUZZY_ROW) for p, y, m in texts) for pos, (x, n) in zip(left["pos"], own)]
-        return left[pd.Series(good, left.index, dtype=bool)]
-
-    keys = ["doc_id", "page"]
-    own = sentences.select(*keys, "pos", "text")
-    both = own.withColumn("is_row", F.lit(False)).unionByName(rows.select(*keys, (F.col("pos") if placed else F.lit(0)).alias("pos"), "text", F.lit(True).alias("is_row")))
-    return both.groupBy(*keys).applyInPandas(keep, own.schema)
+    own = sentences.select("doc_id", "page", "pos", "text")
+    gone = echoes.echoes(own, rows, FUZZY_ROW)
+    same = own["doc_id"].eqNullSafe(gone["doc_id"]) & own["page"].eqNullSafe(gone["page"]) & (echoes.digest_of() == gone["digest"])
+    return own.join(gone, same, "left_anti")
 
 
 _ZH_PAGE = re.compile(f"第?([{text.NUMERALS}]+)(?:[到至\\-]第?([{text.NUMERALS}]+))?頁")

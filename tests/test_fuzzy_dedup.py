@@ -1,9 +1,14 @@
 """Fuzzy echoes of lines against a plain version with the full table of common subsequences."""
 
+import random
+
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docquarry.functions import slots
+from docquarry.operators import echoes, evidence
 from docquarry.plans import catalog
 
 
@@ -47,3 +52,55 @@ def test_whole_lines_against_brute_force(spark, tmp_path):
     lines = [(str(i), k, t) for i, text in enumerate(texts) for k, t in enumerate(text.split("\n"), 1) if t.strip()]
     want = {x for x in lines if not any(y[0] == x[0] and y[1] < x[1] and plain_set_ratio(x[2], y[2]) >= 85 for y in lines)}
     assert got == want and len(texts) < len(want) < len(lines)
+
+
+def near(words, rnd):
+    """A line with a few of its letters changed, or a word more or fewer."""
+    out = list(words)
+    for _ in range(rnd.randrange(1, 4)):
+        k = rnd.randrange(len(out))
+        kind = rnd.randrange(4)
+        if kind == 0:
+            out[k] = out[k][:-1] + "q"
+        elif kind == 1:
+            out.insert(k, "more")
+        elif kind == 2 and len(out) > 1:
+            del out[k]
+        else:
+            rnd.shuffle(out)
+    return " ".join(out)
+
+
+def test_bounds_never_lose_a_pair():
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdeé字") for _ in range(rnd.randrange(1, 12))) for _ in range(60)]
+    texts = [[rnd.choice(words) for _ in range(rnd.randrange(1, 14))] for _ in range(120)]
+    texts = [" ".join(t) for t in texts] + [near(t, rnd) for t in texts] + ["", " ", "a", "ab", "x" * 4000, "x" * 3000 + "y" * 500]
+    lines = echoes.Lines()
+    for t in texts:
+        lines.number(t)
+    lines.count()
+    own = list(lines.at)
+    i, j = (x.ravel() for x in np.indices((len(own), len(own))))
+    may = lines.may_be_alike(i, j, 85)
+    alike = np.array([plain_set_ratio(own[a], own[b]) >= 85 for a, b in zip(i, j)])
+    assert not (alike & ~may).any() and may.sum() < 0.2 * len(may)
+    assert all(lines.alike(a, b, 85) == want for a, b, want in zip(i.tolist(), j.tolist(), alike.tolist()))
+
+
+@pytest.mark.parametrize("placed, block", [(True, 2_000), (False, 2_000), (True, 7)])
+def test_sentences_against_rows_by_brute_force(spark, monkeypatch, placed, block):
+    for name, value in (("BLOCK", block), ("LINES", 30), ("PAIRS", 64)):
+        monkeypatch.setattr(echoes, name, value)
+    rnd = random.Random(block)
+    words = ["".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(2, 9))) for _ in range(40)]
+    base = [[rnd.choice(words) for _ in range(rnd.randrange(2, 9))] for _ in range(30)]
+    sentences = [(rnd.choice(["d", "e", None]), rnd.choice([1, 2, None]), k, rnd.choice([" ".join(rnd.choice(base)), near(rnd.choice(base), rnd)])) for k in range(150)] + [("d", 1, 200, None), ("d", 1, 201, ""), ("d", 1, 202, " ")]
+    rows = [(rnd.choice(["d", "e", None]), rnd.choice([1, 2, None]), rnd.randrange(150), rnd.choice([" ".join(rnd.choice(base)), near(rnd.choice(base), rnd)])) for k in range(80)] + [("d", 1, 3, None), ("d", 1, 4, ""), ("d", 1, 5, "  ")]
+    left = spark.createDataFrame(sentences, "doc_id string, page int, pos int, text string")
+    right = spark.createDataFrame(rows, "doc_id string, page int, pos int, text string")
+    got = sorted(map(tuple, evidence.without_table_echoes(left, right if placed else right.drop("pos")).collect()), key=repr)
+    echo = lambda s, r: s[:2] == r[:2] and s[3] is not None and r[3] and (not placed or r[2] < s[2]) and plain_set_ratio(s[3], r[3]) >= 85
+    want = sorted((s for s in sentences if not any(echo(s, r) for r in rows)), key=repr)
+    assert got == want and 5 < len(want) < 150
+    assert evidence.without_table_echoes(left.limit(0), right).count() == 0 and evidence.without_table_echoes(left, right.limit(0)).count() == len(sentences)
