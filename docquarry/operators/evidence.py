@@ -93,15 +93,13 @@ def _compared(queries: DataFrame, known: DataFrame, matches, fields: str = "doc_
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def without_table_echoes(sentences: DataFrame, rows: DataFrame) -> DataFrame:
+def without_table_echoes(sentences: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Sentences (doc_id, page, pos, text) that are not nearly a table row (doc_id, page, text) of their page.
 
-    Where rows have a ``pos`` too, only those before a sentence count.
+    Where rows have a ``pos`` too, only those before a sentence count; without
+    rows, other sentences before it do.
     """
-    own = sentences.select("doc_id", "page", "pos", "text")
-    gone = echoes.echoes(own, rows, FUZZY_ROW)
-    same = own["doc_id"].eqNullSafe(gone["doc_id"]) & own["page"].eqNullSafe(gone["page"]) & (echoes.digest_of() == gone["digest"])
-    return own.join(gone, same, "left_anti")
+    return echoes.without_echoes(sentences, rows, FUZZY_ROW)
 
 
 _ZH_PAGE = re.compile(f"第?([{text.NUMERALS}]+)(?:[到至\\-]第?([{text.NUMERALS}]+))?頁")

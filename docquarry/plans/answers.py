@@ -54,7 +54,7 @@ def fuzzy_dedup(spark, sf_dir):
     """Lines of documents that are not nearly an earlier line of their document; documents have no pages, so each is one."""
     own = views.pages(spark, sf_dir).where(F.trim("text") != "")
     lines = own.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.col("page").alias("pos"), "text")
-    return evidence.without_table_echoes(lines, lines)
+    return evidence.without_table_echoes(lines)
 
 
 def numeral_pages(spark, sf_dir):

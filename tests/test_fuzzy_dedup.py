@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docquarry.functions import slots
+from docquarry.functions import slots, subsequences
 from docquarry.operators import echoes, evidence
 from docquarry.plans import catalog
 
@@ -85,12 +85,18 @@ def test_bounds_never_lose_a_pair():
     may = lines.may_be_alike(i, j, 85)
     alike = np.array([plain_set_ratio(own[a], own[b]) >= 85 for a, b in zip(i, j)])
     assert not (alike & ~may).any() and may.sum() < 0.2 * len(may)
-    assert all(lines.alike(a, b, 85) == want for a, b, want in zip(i.tolist(), j.tolist(), alike.tolist()))
+    assert (lines.alike(i, j, 85) == alike).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ab字 é", max_size=150), st.text("abc字", max_size=150)), max_size=8))
+def test_common_lengths(pairs):
+    assert subsequences.common_lengths(pairs).tolist() == [round(plain_ratio(a, b) * (len(a) + len(b)) / 200) for a, b in pairs]
 
 
 @pytest.mark.parametrize("placed, block", [(True, 2_000), (False, 2_000), (True, 7)])
 def test_sentences_against_rows_by_brute_force(spark, monkeypatch, placed, block):
-    for name, value in (("BLOCK", block), ("LINES", 30), ("PAIRS", 64)):
+    for name, value in (("BLOCK", block), ("LINES", 30), ("PAIRS", 64), ("EXACT", 20)):
         monkeypatch.setattr(echoes, name, value)
     rnd = random.Random(block)
     words = ["".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(2, 9))) for _ in range(40)]
