@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import slots, text
-from docquarry.operators import echoes
+from docquarry.operators import echoes, naming
 from docquarry.operators.chunking import char_windows
 
 #: Words that are never document ids.
@@ -22,8 +20,6 @@ TERM_PAIRS = (
     ("市場佔有率", "市場份額", 0.9), ("競爭優勢", "核心競爭力", 0.8), ("業務成長", "營業成長", 0.85), ("營業收入", "員工人數", 0.1), ("股價", "天氣", 0.0), ("財務報表", "產品介紹", 0.2),
 )
 FUZZY_ID, FUZZY_ROW, GAP = 80, 85, 18.0
-#: Known ids or table rows that are sent to every task; more of them are compared in blocks of this size.
-BLOCK = 20_000
 
 
 def valid_hits(hits: DataFrame) -> DataFrame:
@@ -58,39 +54,7 @@ def merged_constraints(parsed: DataFrame, override: DataFrame) -> DataFrame:
 
 def named_documents(queries: DataFrame, known: DataFrame) -> DataFrame:
     """(query_id, doc_id): known ids (doc_id) that a question (query_id, query) contains; without one, those most like one of its words."""
-    exact = _compared(queries, known, lambda q, ids: [d for d in ids if d.lower() in q.lower()])
-    rest = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-
-    def alike(question: str, doc_ids: list[str]) -> list[tuple[str, float, str]]:
-        """For each longer word the best of these ids, with its ratio; the smaller id of equal ones."""
-        out = []
-        for word in dict.fromkeys(w for w in slots.slot("segment")(question) if len(w) >= 5 and w.lower() not in COMMON):
-            ratio, doc_id = min(((-slots.indel_ratio(word, d), d) for d in doc_ids), default=(0.0, ""))
-            if -ratio > FUZZY_ID:
-                out.append((word, -ratio, doc_id))
-        return out
-
-    near = _compared(rest, known, alike, "word string, ratio double, doc_id string")
-    best = F.row_number().over(Window.partitionBy("query_id", "word").orderBy(F.desc("ratio"), "doc_id"))  # over all blocks
-    return exact.unionByName(near.withColumn("at", best).where("at = 1").select("query_id", "doc_id").distinct())
-
-
-def _compared(queries: DataFrame, known: DataFrame, matches, fields: str = "doc_id string") -> DataFrame:
-    """Questions against blocks of known ids, each sent to all tasks."""
-    ids = known.select("doc_id").where("doc_id is not null").distinct()
-    blocks = max(1, -(-ids.count() // BLOCK))
-    names = ["query_id", *(f.split(" ")[0] for f in fields.split(", "))]
-    found = []
-    for b in range(blocks):
-        part = sorted(r[0] for r in ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).collect())
-
-        def run(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = [(q, *(m if isinstance(m, tuple) else (m,))) for q, t in zip(pdf["query_id"], pdf["query"]) for m in matches(t or "", part)]
-                yield pd.DataFrame(rows, columns=names)
-
-        found.append(queries.select("query_id", "query").mapInPandas(run, f"query_id long, {fields}"))
-    return reduce(DataFrame.unionByName, found).distinct()
+    return naming.named(queries, known, COMMON, FUZZY_ID)
 
 
 def without_table_echoes(sentences: DataFrame, rows: DataFrame | None = None) -> DataFrame:
