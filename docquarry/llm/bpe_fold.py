@@ -93,6 +93,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) ->
 
     Null text counts as empty and has no tokens. Strings of special tokens are
     ordinary text. Repeated rows and null ids stay; other columns are ignored.
+    Whole texts count, however long, each in one task; an empty table gives no rows.
     """
     spark = docs.sparkSession
     layout = "doc_ids array<long>, words array<array<long>>, rest_ids array<binary>, sizes array<int>, codes binary"

@@ -236,7 +236,8 @@ def recover_roles(rows: DataFrame, model: dict | None = None) -> DataFrame:
     row is one line. Null turns come first; rows with a null conv_id make one
     conversation; null text counts as empty; repeated rows are lines of their
     own. ``role`` is only for training, outside held_out conversations, and for
-    comparison. Other columns are ignored.
+    comparison. Other columns are ignored. Whole texts count, however long, and
+    long conversations span tasks; an empty table gives no rows.
     """
     model = model or count_model(rows)
     own = with_lines(rows).withColumns({"seen": observation(F.col("text")), "tie": F.xxhash64("role", "text")})

@@ -198,6 +198,7 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
 
     Null text counts as empty: one block of zeros. Equal texts give equal
     values. With keep_media also the WAV file and the 16 kHz PCM, as binaries.
-    Repeated rows and null ids stay; other columns are ignored.
+    Repeated rows and null ids stay; other columns are ignored. Whole texts count, however long, each in one task;
+    an empty table gives no rows.
     """
     return decoded(coded(docs), keep_media)

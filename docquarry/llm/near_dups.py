@@ -248,6 +248,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 5) -> DataFrame:
     with one doc_id are one document. Rows with a null doc_id cannot be named
     in a link: they keep a null component_id and are kept. Other columns are
     ignored. Of equal documents the one with the smallest doc_id is kept.
+    Whole texts count, however long, each in one task; an empty table gives no rows.
     """
     signed = shared.cut_lineage(signatures(docs, words_each))
     real = signed.where("doc_id is not null and print is not null")

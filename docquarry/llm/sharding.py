@@ -28,7 +28,7 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     Null text has no bytes. A null doc_id is hashed as the empty string. Rows
     that share one doc_id share all bits; where these alone exceed the limit,
     or one document does, the bucket stays at HASH_BITS bits with fits false.
-    Other columns are ignored.
+    Other columns are ignored; an empty table gives no rows.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     h = F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")

@@ -182,7 +182,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, limit: int = LIM
     """doc_id, n_bytes, n_tokens, over_limit, chars_in_limit and the stored prefix counts.
 
     Null text counts as empty: no bytes, no tokens. Repeated rows and null ids
-    are kept as they are; other columns are ignored.
+    are kept as they are; other columns are ignored. Whole texts count, however long, each in one task;
+    an empty table gives no rows.
     """
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chars_in_limit long" + ", prefix_counts binary" * keep_prefixes
     arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("chars_in_limit", pa.int64())] + [("prefix_counts", pa.binary())] * keep_prefixes)

@@ -212,7 +212,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts get the score of no terms; equal texts get equal
     scores, and one of exactly THRESHOLD counts as toxic. Repeated rows and null
-    ids (not held out) stay; other columns are ignored.
+    ids (not held out) stay; other columns are ignored. Whole texts count, however long, each in one task;
+    an empty table gives no rows.
     """
     arrow = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     scores = scorer(model)

@@ -92,7 +92,8 @@ def judge(pages: DataFrame) -> DataFrame:
     Null URLs, and those without ``://``, have an empty host and path, and no
     rule; no tokens but an empty scheme, so they are allowed unless that
     scheme is mined. Repeated rows and null ids stay; other columns are
-    ignored. Without labelled URLs everything else is allowed.
+    ignored. Without labelled URLs everything else is allowed. Whole URLs count,
+    however long; an empty table gives no rows.
     """
     url = F.col("url").cast("string")
     host, path = host_and_path(url)
