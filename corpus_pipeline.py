@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score under the threshold, by a machine fitted on labelled rows of ``docs``; without labels of both kinds all are alike."""
+    """Documents with a score under the threshold, by a machine fitted on labelled rows of ``docs``; without labels of both kinds all are alike. Null and empty texts have the score of no terms."""
     return toxicity.accepted(docs, toxicity.train(docs, shared.table(spark, sf_dir, "labels")))
 
 
@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of op1_best_fit_packing for the documents that are left; other columns than doc_id and text are not read."""
+    """The rows of op1_best_fit_packing for the documents that are left; other columns than doc_id and text are not read. Null and empty texts are one end token."""
     return packing.pack(packing.token_pieces(docs, BPE_JSON, PATTERN))
 
 
