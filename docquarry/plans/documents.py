@@ -148,12 +148,16 @@ def truncations(spark, sf_dir):
 
 
 def header_footer_lines(spark, sf_dir):
-    """First and last lines of documents as margin lines of their source's pages."""
-    own = views.pages(spark, sf_dir)
-    last = own.groupBy("doc_id").agg(F.max("page").alias("page"))
-    ends = own.where("page = 1").unionByName(own.where("page > 1").join(last, ["doc_id", "page"], "left_semi").select(own.columns))
-    margin = ends.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text")
-    return layout.repeated_lines(margin, margin)
+    """Documents as pages of their source: their lines from top to bottom, a title above nine in ten, a remark below every second, a disclaimer amid all."""
+    docs, own = views.table(spark, sf_dir, "documents"), views.pages(spark, sf_dir)
+    last = own.groupBy("doc_id").agg(F.max("page").alias("last"))
+    top = F.when(F.col("page") == 1, 40.0).when(F.col("page") == F.col("last"), 745.0).otherwise(400.0)
+    lines = own.join(last, "doc_id").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text", top.alias("y0"))
+    added = ((F.concat(F.lit(" Report of "), F.col("source")), 20.0, "doc_id % 10 <> 0"), (F.lit("Confidential"), 770.0, "doc_id % 2 = 0"), (F.lit("Disclaimer"), 300.0, "true"))
+    for line, y0, where in added:
+        lines = lines.unionByName(docs.where(where).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), line.alias("text"), F.lit(y0).alias("y0")))
+    margin = layout.margin_lines(lines.withColumns({"y1": F.col("y0") + 10, "page_height": F.lit(800.0)}))
+    return layout.repeated_lines(margin, docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page")))
 
 
 def strip_headers(spark, sf_dir):
@@ -368,7 +372,9 @@ QUERIES = {
     "compression": (compression, f"""WITH s AS (SELECT table_id, sum(length(text))::BIGINT AS summary_chars FROM ({TABLE_SUMMARIES}) GROUP BY table_id), c AS (SELECT table_id, sum(length(val))::BIGINT AS chars FROM ({views.RECORDS}) GROUP BY table_id)
       SELECT table_id, chars, summary_chars, round(summary_chars::DOUBLE / chars, 6) AS ratio FROM c JOIN s USING (table_id)"""),
     "truncations": (truncations, None),
-    "header_footer_lines": (header_footer_lines, f"""WITH p AS ({P}), f AS (SELECT source AS doc_id, doc_id AS page, text FROM (SELECT *, max(page) OVER (PARTITION BY doc_id) AS last FROM p) WHERE page = 1 OR page = last), s AS (SELECT doc_id, count(DISTINCT page) AS pages FROM f GROUP BY doc_id)
+    "header_footer_lines": (header_footer_lines, f"""WITH p AS ({P}), f AS (SELECT source AS doc_id, text FROM (SELECT *, max(page) OVER (PARTITION BY doc_id) AS last FROM p) WHERE page = 1 OR page = last
+        UNION ALL SELECT source, 'Report of ' || source FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT source, 'Confidential' FROM documents WHERE doc_id % 2 = 0),
+      s AS (SELECT source AS doc_id, count(DISTINCT doc_id) AS pages FROM documents GROUP BY source)
       SELECT f.doc_id, trim(text, ' ') AS text, count(*) AS n FROM f JOIN s ON s.doc_id = f.doc_id WHERE trim(text, ' ') <> '' GROUP BY f.doc_id, 2, pages HAVING count(*) >= greatest(2, floor(0.7::DOUBLE * pages))"""),
     "strip_headers": (strip_headers, rf"""WITH p AS ({P}), r AS (SELECT doc_id, trim(text, ' ') AS t FROM p WHERE trim(text, ' ') <> '' GROUP BY 1, 2 HAVING count(*) >= 2)
       SELECT doc_id, md5(trim(regexp_replace(string_agg(text, ' ' ORDER BY page), '\s+', ' ', 'g'), ' ')) AS digest FROM p WHERE (doc_id, trim(text, ' ')) NOT IN (SELECT (doc_id, t) FROM r) GROUP BY doc_id"""),
