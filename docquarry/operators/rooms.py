@@ -15,14 +15,19 @@ def created(messages: DataFrame) -> DataFrame:
 
 
 def appended(rooms: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rooms and messages after new messages; one that comes again replaces itself and counts once, and an unknown room is created."""
-    fresh = new.join(messages.select("msg_id"), "msg_id", "left_anti").dropDuplicates(["msg_id"])
+    """Rooms and messages after new messages; one that comes again replaces itself and counts once, and an unknown room is created.
+
+    Of several new ones with one id the latest counts, of equally late ones the greatest by its other columns.
+    """
+    order = [F.desc("ts"), *(F.desc(c) for c in messages.columns if c not in ("msg_id", "ts"))]
+    latest = new.withColumn("__at", F.row_number().over(Window.partitionBy("msg_id").orderBy(*order))).where("__at = 1").drop("__at")
+    fresh = latest.join(messages.select("msg_id"), "msg_id", "left_anti")
     more = fresh.groupBy("room_id").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     both = rooms.join(more, "room_id", "full_outer")
     counted = (F.coalesce("message_count", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long")
     after = both.select("room_id", F.coalesce("created_at", "first").alias("created_at"), F.greatest(F.coalesce("updated_at", "last"), F.coalesce("last", "updated_at")).alias("updated_at"), counted.alias("message_count"))
     kept = messages.join(new.select("msg_id"), "msg_id", "left_anti")
-    return after, kept.unionByName(new.dropDuplicates(["msg_id"]).select(*messages.columns))
+    return after, kept.unionByName(latest.select(*messages.columns))
 
 
 def cleared(rooms: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

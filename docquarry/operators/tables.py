@@ -93,9 +93,19 @@ def row_texts(cells: DataFrame) -> DataFrame:
     return own.select(*ROW, text.pairs_line(F.col("e"), " | ").alias("text"), "value_count")
 
 
+def _first_names(obs: DataFrame, column: str, most: int, out: str) -> DataFrame:
+    """The distinct names of each table in order, joined; no more of them than ``most`` characters can show, as a name comes with two."""
+    named = obs.select(*TABLE, column).where(F.col(column).isNotNull()).distinct()
+    at = F.row_number().over(Window.partitionBy(*TABLE).orderBy(column))
+    few = named.withColumn("at", at).where(F.col("at") <= most // 2 + 1)
+    return few.groupBy(*TABLE).agg(F.array_join(F.sort_array(F.collect_list(column)), ", ").alias(out))
+
+
 def table_texts(obs: DataFrame, most: int = 400) -> DataFrame:
     """A text for each table: its panels, metrics and first three values, cut to ``most`` characters."""
-    names = obs.groupBy(*TABLE).agg(F.array_join(F.sort_array(F.collect_set("panel")), ", ").alias("p"), F.array_join(F.sort_array(F.collect_set("metric_leaf")), ", ").alias("m"))
+    names = obs.select(*TABLE).distinct()
+    for column, out in (("panel", "p"), ("metric_leaf", "m")):
+        names = names.join(_first_names(obs, column, most, out), TABLE, "left").withColumn(out, F.coalesce(out, F.lit("")))
     at = F.row_number().over(Window.partitionBy(*TABLE).orderBy("row_idx", "col_idx"))
     top = obs.select(*TABLE, "value_raw", at.alias("at")).where("at <= 3")  # each task hands on three a table
     first = top.groupBy(*TABLE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value_raw"))), lambda x: x["value_raw"]), ", ").alias("v"))
