@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docquarry.operators import graph, search
 from docquarry.operators.inverted import InvertedIndex
+from docquarry.operators.vectors import VectorIndex
 from docquarry.plans import stored, views
 from docquarry.plans.shared_folder import cut_lineage, shared_folder
 
@@ -44,6 +45,30 @@ def vector_topk_batch(spark, sf_dir):
     return _near(spark, sf_dir)
 
 
+def vector_index_topk(spark, sf_dir):
+    """The lists of vector_topk_batch out of the stored index: the nearest cells first, then those whose bound reaches the last score found."""
+    return stored.vectors_index(spark, sf_dir).topk(views.vector_queries(spark, sf_dir), K, exact=True)
+
+
+def vector_index_after_changes(spark, sf_dir):
+    """The same lists from an index that first has some points wrong, too many or not at all, and then takes three batches."""
+    index = VectorIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    own = views.points(spark, sf_dir).select("id", "embedding")
+    index.add(own.where("id % 3 <> 0").withColumn("embedding", F.when(F.col("id") % 5 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))))
+    index.add(own.where("id % 3 = 0").unionByName(own.where("id % 10 = 0").withColumn("id", -F.col("id") - 1)))
+    index.add(own.where("id % 5 = 0"), own.where("id % 10 = 0").select((-F.col("id") - 1).alias("id")))
+    return index.topk(views.vector_queries(spark, sf_dir), K, exact=True)
+
+
+def vector_index_recall(spark, sf_dir):
+    """How many of the exact hits the probed cells alone give, and whether these are nine in ten."""
+    queries, index = views.vector_queries(spark, sf_dir), stored.vectors_index(spark, sf_dir)
+    exact = vector_topk_batch(spark, sf_dir).select("query_id", "id")
+    got = index.topk(queries, K).select("query_id", "id", F.lit(1).alias("got"))
+    own = exact.join(got, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("hits"), F.count("got").alias("got"))
+    return own.select("queries", "hits", (F.col("got") >= 0.9 * F.col("hits")).alias("enough"))
+
+
 def vector_filtered(spark, sf_dir):
     where = search.payload_filter(DOCS, [0, 1, 2, 3], ["paragraph", "table_row"])
     return _near(spark, sf_dir, K, search.effective_threshold(0.5, DOCS), where)
@@ -205,6 +230,9 @@ _CELLS = f"SELECT DISTINCT table_id || '#' || row_idx::VARCHAR AS id, doc_id, ta
 QUERIES = {
     "vector_topk": (vector_topk, f"SELECT * FROM ({_topk()}) WHERE query_id = 0"),
     "vector_topk_batch": (vector_topk_batch, _topk()),
+    "vector_index_topk": (vector_index_topk, _topk()),
+    "vector_index_after_changes": (vector_index_after_changes, _topk()),
+    "vector_index_recall": (vector_index_recall, f"SELECT count(DISTINCT query_id) AS queries, count(*) AS hits, true AS enough FROM ({_topk()})"),
     "vector_filtered": (vector_filtered, _topk(K, _FILTER, 0.25)),
     "vector_relaxed": (vector_relaxed, f"WITH s AS ({_topk(K, 'p.doc_id IN (' + chr(39) + 'd1' + chr(39) + ', ' + chr(39) + 'd2' + chr(39) + ', ' + chr(39) + 'd5' + chr(39) + ')', 0.25)}), l AS ({_topk(K, 'true', 0.2)}) SELECT * FROM s UNION ALL SELECT * FROM l WHERE query_id NOT IN (SELECT query_id FROM s)"),
     "keyword_match": (keyword_match, KEYWORD),

@@ -8,10 +8,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators.inverted import InvertedIndex
+from docquarry.operators.vectors import VectorIndex
 from docquarry.plans import views
 from docquarry.plans.shared_folder import shared_folder
 
-_BUILT: dict[tuple, InvertedIndex] = {}
+_BUILT: dict[tuple, InvertedIndex | VectorIndex] = {}
 
 
 def _print(spark: SparkSession, path: str) -> tuple:
@@ -29,3 +30,13 @@ def documents_index(spark: SparkSession, sf_dir: str) -> InvertedIndex:
         index.add(views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
         _BUILT[key] = index
     return _BUILT[key]
+
+
+def vectors_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The index of the vectors of ``embeddings``, in the shared folder."""
+    key = (spark.sparkContext.applicationId, *_print(spark, f"{sf_dir}/embeddings.parquet"))
+    if key not in _BUILT:
+        index = VectorIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+        index.add(views.points(spark, sf_dir).select("id", "embedding"))
+        _BUILT[key] = index
+    return _BUILT[key]
