@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.operators import graph, search
+from docquarry.operators import graph, requests, search
 from docquarry.operators.inverted import InvertedIndex
 from docquarry.operators.vectors import VectorIndex
 from docquarry.plans import stored, views
@@ -205,6 +205,44 @@ def hybrid_retrieve(spark, sf_dir):
     return search.reranked(fused, K).select("query_id", "id", "rrf", "rerank", "final_rank")
 
 
+def retrieve_requests(spark, sf_dir):
+    """Requests whose questions say their constraints, from parsing to reranking, over documents of sources; the words come out of the stored index."""
+    points = views.passages(spark, sf_dir)
+    index = stored.documents_index(spark, sf_dir)
+    known = points.select("doc_id").distinct()
+    return requests.retrieve(points, views.requests(spark, sf_dir), cut_lineage, known, index.wanted).drop("text")
+
+
+RETRIEVE = f"""WITH p AS ({views.PASSAGES}), r0 AS ({views.REQUESTS}), r AS (SELECT *, len(types) > 0 AS typed, CASE WHEN len(types) > 0 THEN greatest(24, least(120, 8 * top_k)) ELSE greatest(18, least(80, 6 * top_k)) END AS pool FROM r0),
+fit AS (SELECT r.query_id, p.id, len(docs) = 0 OR list_contains(docs, p.doc_id) AS strict FROM r JOIN p ON (len(pages) = 0 OR list_contains(pages, p.page)) AND (len(types) = 0 OR list_contains(types, p.type)) AND (len(langs) = 0 OR list_contains(langs, p.lang))),
+sc AS (SELECT f.query_id, f.id, f.strict, r.docs, r.threshold, r.pool, {COSINE.replace('q.vector', 'r.vector')} AS score FROM fit f JOIN r USING (query_id) JOIN p ON p.id = f.id WHERE r.vector IS NOT NULL AND p.embedding IS NOT NULL),
+strict AS (SELECT * FROM (SELECT query_id, id, score, pool, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc WHERE strict AND score >= CASE WHEN len(docs) > 0 THEN least(threshold, 0.25) ELSE threshold END) WHERE rank <= pool),
+free AS (SELECT * FROM (SELECT query_id, id, score, pool, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc WHERE len(docs) > 0 AND score >= threshold AND query_id NOT IN (SELECT query_id FROM strict)) WHERE rank <= pool),
+dense0 AS (SELECT query_id, id, score, rank FROM strict UNION ALL SELECT query_id, id, score, rank FROM free),
+named AS (SELECT * FROM (SELECT r.query_id, p.id, 0.0::DOUBLE AS score, greatest(top_k, 3) AS most, row_number() OVER (PARTITION BY r.query_id ORDER BY p.id) AS rank FROM r JOIN p ON list_contains(docs, p.doc_id) WHERE r.query_id NOT IN (SELECT query_id FROM dense0)) WHERE rank <= most),
+dense AS (SELECT * FROM dense0 UNION ALL SELECT query_id, id, score, rank FROM named),
+tok AS (SELECT id, {_WORDS.format('text')} AS words FROM p), idx AS (SELECT DISTINCT id, unnest(words) AS token FROM tok),
+terms AS (SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest({_WORDS.format('text')}) AS token FROM r) GROUP BY query_id, token), need AS (SELECT query_id, count(*) AS n FROM terms GROUP BY query_id),
+words AS (SELECT t.query_id, i.id FROM terms t JOIN idx i USING (token) JOIN need ON need.query_id = t.query_id GROUP BY t.query_id, i.id, n HAVING count(*) = n),
+kw AS (SELECT * FROM (SELECT query_id, id, 0.0::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank, top_k FROM words JOIN fit USING (query_id, id) JOIN r USING (query_id) WHERE strict) WHERE rank <= 3 * top_k),
+cand AS (SELECT query_id, id FROM dense UNION SELECT query_id, id FROM kw), cw AS (SELECT query_id, id, words FROM cand JOIN tok USING (id)), sizes AS (SELECT query_id, count(*) AS n, avg(len(words)) AS avgdl FROM cw GROUP BY query_id),
+tf AS (SELECT query_id, id, dl, token, count(*) AS tf FROM (SELECT query_id, id, len(words) AS dl, unnest(words) AS token FROM cw) GROUP BY query_id, id, dl, token),
+idf AS (SELECT query_id, token, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf JOIN sizes USING (query_id) GROUP BY query_id, token, n), mean AS (SELECT query_id, avg(idf) AS mean FROM idf GROUP BY query_id),
+bm0 AS (SELECT query_id, tf.id, round(sum(qtf * CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM terms JOIN idf USING (query_id, token) JOIN mean USING (query_id) JOIN tf USING (query_id, token) JOIN sizes USING (query_id) GROUP BY query_id, tf.id),
+bm AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, pool FROM bm0 JOIN r USING (query_id)) WHERE rank <= pool),
+rrf AS (SELECT query_id, id, round(sum(1 / (60.0::DOUBLE + rank)), 8) AS rrf FROM (SELECT query_id, id, rank FROM dense UNION ALL SELECT query_id, id, rank FROM kw UNION ALL SELECT query_id, id, rank FROM bm) GROUP BY query_id, id),
+fused AS (SELECT * FROM (SELECT query_id, id, rrf, top_k, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM rrf JOIN r USING (query_id)) WHERE rank <= 5 * top_k),
+best AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM dense UNION ALL SELECT query_id, id, score FROM kw) GROUP BY query_id, id),
+place AS (SELECT * FROM (SELECT f.query_id, f.id, f.rrf, b.score, p.doc_id, p.page, p.type, row_number() OVER (PARTITION BY f.query_id, p.doc_id, p.page, CASE WHEN p.type LIKE 'table%' THEN p.type ELSE '' END ORDER BY b.score DESC, f.id) AS pos FROM fused f JOIN best b USING (query_id, id) JOIN p ON p.id = f.id) WHERE pos = 1),
+gate AS (SELECT * FROM (SELECT g.*, r.threshold, r.types, r.top_k, r.typed, max(score) OVER (PARTITION BY query_id) AS top, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS best_at FROM place g JOIN r USING (query_id)) WHERE top >= threshold OR best_at = 1),
+ranked AS (SELECT * FROM (SELECT query_id, id, doc_id, page, type, rrf AS score, top_k, typed, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN list_contains(types, type) THEN 0 ELSE 1 END, rrf DESC, id) AS rank FROM gate) WHERE rank <= 5 * top_k),
+tp AS (SELECT query_id, doc_id, page, top_k, max(rank) AS after FROM ranked WHERE typed AND type LIKE 'table%' GROUP BY query_id, doc_id, page, top_k),
+more AS (SELECT * FROM (SELECT tp.query_id, p.id, p.doc_id, p.page, p.type, top_k, after, row_number() OVER (PARTITION BY tp.query_id, p.doc_id, p.page, p.type ORDER BY p.id) AS pos FROM p JOIN tp ON tp.doc_id = p.doc_id AND tp.page = p.page WHERE p.type LIKE 'table%' AND (tp.query_id, p.id) NOT IN (SELECT (query_id, id) FROM ranked)) WHERE type = 'table_summary' OR pos <= top_k),
+every AS (SELECT query_id, id, doc_id, page, type, rank FROM ranked UNION ALL SELECT query_id, id, doc_id, page, type, after + pos FROM more),
+final AS (SELECT e.*, r.top_k, {_OVERLAP.replace('b.text', 'r.text').replace('d.text', 'p.text')} AS score FROM every e JOIN r USING (query_id) JOIN p ON p.id = e.id)
+SELECT query_id, id, doc_id, page, type, score, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, rank, id)::INTEGER AS final_rank FROM final) WHERE final_rank <= top_k"""
+
+
 def hybrid_integrate(spark, sf_dir):
     """The best texts of each passage first, then chunks that the graph finds two edges from them, by bonus."""
     vector = _bm25(spark, sf_dir, 6)
@@ -252,6 +290,7 @@ QUERIES = {
     "hybrid_retrieve": (hybrid_retrieve, f"""WITH {FUSED.replace(f'rank <= {K})', 'rank <= 30)')},
       r AS (SELECT h.query_id, h.id, h.rrf, h.rank, {_OVERLAP} AS rerank FROM fused h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.id)
       SELECT query_id, id, rrf, rerank, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC NULLS LAST, rank, id)::INTEGER AS final_rank FROM r) WHERE final_rank <= {K}"""),
+    "retrieve_requests": (retrieve_requests, RETRIEVE),
     "hybrid_integrate": (hybrid_integrate, f"""WITH {INDEX}, {BM25}, v AS (SELECT * FROM bmr WHERE rank <= 6),
       n AS (SELECT DISTINCT v.query_id, e.doc_id AS id FROM v JOIN documents d ON d.doc_id = v.id JOIN documents e ON e.source = d.source AND e.doc_id <> d.doc_id),
       g AS (SELECT query_id, id, 0.1::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY 'c' || id::VARCHAR)::INTEGER AS rank FROM n),

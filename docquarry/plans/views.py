@@ -107,6 +107,33 @@ UNION ALL SELECT s_suppkey * 10 + 3, 's' || s_suppkey::VARCHAR, 'src' || (s_supp
 """
 
 
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as points of their source, thirty numbers a page, with the vectors that share their number; a page has a table of one summary and nine rows."""
+    at = F.col("doc_id") % 30
+    kind = F.when(at == 0, "table_summary").when(at < 10, "table_row").otherwise("paragraph")
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc_id"), F.floor(F.col("doc_id") / 30).cast("int").alias("page"), kind.alias("type"), "text", "lang")
+    return own.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+
+
+PASSAGES = """SELECT doc_id AS id, source AS doc_id, (doc_id // 30)::INTEGER AS page, CASE WHEN doc_id % 30 = 0 THEN 'table_summary' WHEN doc_id % 30 < 10 THEN 'table_row' ELSE 'paragraph' END AS type, text, lang, embedding::DOUBLE[] AS embedding
+FROM documents LEFT JOIN embeddings ON vec_id = doc_id"""
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as requests that name a page in two ways, a table, a source or nothing; some have a language or further sources as constraints."""
+    n, page = F.col("item_id"), F.floor(F.col("item_id") / 3).cast("string")
+    said = F.when(n % 6 == 0, F.concat(F.lit(" page "), page)).when(n % 6 == 1, F.lit(" 表格")).when(n % 6 == 2, F.concat(F.lit(" src"), (n % 20).cast("string"))).when(n % 6 == 3, F.concat(F.lit("，第"), page, F.lit("頁"))).otherwise("")
+    equal = F.when(n % 5 == 4, F.create_map(F.lit("lang"), F.array(F.lit("en"), F.lit("de"))))
+    own = table(spark, sf_dir, "benchmark").select(n.alias("query_id"), F.concat("text", said).alias("query"), (n % 12 + 1).cast("int").alias("top_k"), F.element_at(F.array(F.lit(0.0), F.lit(0.3), F.lit(0.9)), (n % 3 + 1).cast("int")).alias("threshold"), F.when(n % 7 == 3, F.array(F.lit("src3,"), F.lit("nowhere"))).alias("doc_ids"), equal.alias("equal"))
+    return own.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
+
+
+REQUESTS = """SELECT item_id AS query_id, text, (item_id % 12 + 1)::INTEGER AS top_k, [0.0, 0.3, 0.9][(item_id % 3 + 1)::INTEGER]::DOUBLE AS threshold, embedding::DOUBLE[] AS vector,
+  list_distinct(list_concat(CASE WHEN item_id % 7 = 3 THEN ['src3', 'nowhere'] ELSE [] END, CASE WHEN item_id % 6 = 2 THEN (SELECT list(DISTINCT source) FROM documents WHERE contains('src' || (item_id % 20)::VARCHAR, source)) ELSE [] END)) AS docs,
+  CASE WHEN item_id % 6 IN (0, 3) THEN [(item_id // 3)::INTEGER] ELSE [] END AS pages, CASE WHEN item_id % 6 = 1 THEN ['table_row', 'table_summary'] ELSE [] END AS types, CASE WHEN item_id % 5 = 4 THEN ['en', 'de'] ELSE [] END AS langs
+FROM benchmark LEFT JOIN embeddings ON vec_id = item_id"""
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a log of ingestion tasks; the type of event stands for a status."""
     status = F.element_at(F.array(F.lit("pending"), F.lit("processing"), F.lit("completed"), F.lit("failed")), (F.col("event_id") % 4 + 1).cast("int"))
