@@ -151,10 +151,11 @@ def _ranked(hits: DataFrame, limit: Column, *order: Column | str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit)
 
 
-def retrieve(points: DataFrame, requests: DataFrame, cut: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, postings: Callable[[DataFrame], DataFrame] | None = None, engine: str = "hybrid") -> DataFrame:
+def retrieve(points: DataFrame, requests: DataFrame, cut: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, postings: Callable[[DataFrame], DataFrame] | None = None, engine: str = "hybrid", parse: bool = True) -> DataFrame:
     """(query_id, id, doc_id, page, type, text, score, final_rank) of requests; engine is vector, keyword or hybrid.
 
-    Questions are parsed for constraints (documents only with ``known``). Dense
+    With ``parse`` questions are parsed for constraints, documents only with
+    ``known``. Dense
     hits and texts with all tokens come under all sets; a request of documents
     without dense hits gets those of all documents, and failing these the first
     points of its documents. BM25 runs over the pool; the lists are fused by
@@ -165,7 +166,8 @@ def retrieve(points: DataFrame, requests: DataFrame, cut: Callable[[DataFrame],
     stored index perhaps. ``cut`` cuts lineage. The number of steps does not
     depend on how many sets of constraints there are.
     """
-    own = rewritten(parsed(completed(requests), known))
+    own = completed(requests)
+    own = rewritten(parsed(own, known) if parse else own.withColumn("tables", F.lower("query").rlike(search.TABLE_HINTS)))
     if "vector" not in own.columns:
         own = slots.embedded(own, "query", "vector")
     listed = F.map_filter(F.map_concat(F.create_map(F.lit("page"), F.col("pages").cast("array<string>"), F.lit("type"), F.col("types")), "equal"), lambda _, v: F.size(v) > 0)

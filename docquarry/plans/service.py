@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
-from functools import reduce
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import ids, slots, text
-from docquarry.operators import chat, chunking, evaluate, evidence, generation, search, state
+from docquarry.operators import chat, chunking, evaluate, generation, requests, state
 from docquarry.plans.shared_folder import cut_lineage
 from docquarry.sources import files
 
@@ -55,81 +54,24 @@ def index(chunks: DataFrame) -> DataFrame:
     return slots.embedded(chunks).withColumn("num", numbered_id(F.col("id")))
 
 
-ASKED = "query_id long, query string, top_k int, threshold double, tables boolean"
+ASKED = "query_id long, query string, top_k int, threshold double, doc_ids array<string>, pages array<int>, types array<string>, equal map<string,array<string>>"
 
 
-def parsed_requests(spark: SparkSession, requests: list[Request], known: DataFrame | None = None) -> list[Request]:
-    """Requests with what their questions say added to their constraints: pages, content types and, of ``known`` (doc_id), documents."""
-    rows = spark.createDataFrame([(q, r.query) for q, r in enumerate(requests)], "query_id long, query string")
-    said = rows.select("query_id", F.array_union(text.page_numbers(F.col("query")), evidence.numeral_pages(F.col("query"))).alias("pages"), text.content_types(F.col("query")).alias("types"))
-    found = {r.query_id: r for r in said.collect()}  # one row a request, as all that follows
-    named: dict[int, list[str]] = {}
-    if known is not None:
-        for r in evidence.named_documents(rows, known).orderBy("query_id", "doc_id").collect():
-            named.setdefault(r.query_id, []).append(r.doc_id)
-    merge = lambda a, b: tuple(dict.fromkeys([*a, *(b or ())]))
-    return [replace(r, doc_ids=merge(r.doc_ids, named.get(q)), pages=merge(r.pages, found[q].pages), types=merge(r.types, found[q].types)) for q, r in enumerate(requests)]
+def as_rows(spark: SparkSession, asked: list[Request]) -> DataFrame:
+    """Requests as rows, numbered from 0; values of ``equal`` as text."""
+    each = lambda v: [str(x) for x in v] if isinstance(v, (list, tuple)) else [str(v)]
+    return spark.createDataFrame([(q, r.query, r.top_k, r.threshold, list(r.doc_ids), list(r.pages), list(r.types), {n: each(v) for n, v in r.equal.items()}) for q, r in enumerate(asked)], ASKED)
 
 
-def retrieve(points: DataFrame, requests: list[Request], engine: str = "hybrid", known: DataFrame | None = None) -> DataFrame:
+def retrieve(points: DataFrame, asked: list[Request], engine: str = "hybrid", known: DataFrame | None = None) -> DataFrame:
     """(query_id, id, doc_id, page, type, text, score, final_rank) for requests; engine is vector, keyword or hybrid.
 
-    Requests with the same constraints are one plan. With ``known`` (doc_id) the
-    questions themselves are parsed for constraints first.
+    All requests are one plan, whatever their constraints. With ``known`` (doc_id)
+    the questions themselves are parsed for constraints first.
     """
-    spark = points.sparkSession
-    requests = parsed_requests(spark, requests, known) if known is not None else requests
-    alike: dict[tuple, list[int]] = {}
-    for q, r in enumerate(requests):
-        alike.setdefault((r.doc_ids, r.pages, r.types, tuple(sorted(r.equal.items())), r.threshold), []).append(q)
-    rewritten = slots.slot("rewrite")([r.query for r in requests])
-    asked = spark.createDataFrame([(q, new, r.top_k, r.threshold, bool(r.types) or search.names_tables(r.query)) for q, (r, new) in enumerate(zip(requests, rewritten))], ASKED)
-    found = [_retrieved(points, asked.where(F.col("query_id").isin(numbers)), requests[numbers[0]], engine, max(requests[q].top_k for q in numbers)) for numbers in alike.values()]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _retrieved(points: DataFrame, asked: DataFrame, like: Request, engine: str, top_k: int) -> DataFrame:
-    """Hits of requests that share the constraints of ``like``.
-
-    Dense and keyword hits under the filter; without dense ones under a filter
-    of documents, those of all documents, and failing these the documents' first
-    points. BM25 runs over the pool; the lists are fused by rank, the first hit
-    of each place stays, below the threshold only the best, asked types come
-    first, tables that are hit bring their rows and summaries, and the
-    cross-encoder orders the rest.
-    """
-    point = F.col("num").alias("id")
-    own = points.where(search.payload_filter(like.doc_ids, like.pages, like.types, **like.equal))
-    vectors = slots.embedded(asked.select("query_id", F.col("query").alias("text")), out="vector").select("query_id", "vector")
-    pool = search.pool_size(top_k, bool(like.types))
-    dense = search.dense_topk(own.select(point, "embedding"), vectors, pool, search.effective_threshold(like.threshold, like.doc_ids))
-    if like.doc_ids:
-        free = points.where(search.payload_filter((), like.pages, like.types, **like.equal))
-        dense = search.with_relaxation(dense, search.dense_topk(free.select(point, "embedding"), vectors, pool, like.threshold))
-        named = points.where(search.payload_filter(like.doc_ids)).select(point).orderBy("id").limit(max(top_k, 3))
-        first = asked.select("query_id", F.posexplode(named.agg(F.array_sort(F.collect_list("id"))).scalar()).alias("at", "id"))
-        dense = search.with_relaxation(dense, first.select("query_id", "id", F.lit(0.0).alias("score"), (F.col("at") + 1).alias("rank")))
-    terms = cut_lineage(search.query_terms(asked))
-    texts = own.select(point, "text")
-    keyword = search.keyword_topk(search.postings(texts, terms), terms, 3 * top_k)
-    if engine == "vector":
-        keyword = keyword.limit(0)
-    elif engine == "keyword":
-        dense = dense.limit(0)
-    dense, keyword = cut_lineage(dense), cut_lineage(keyword)
-    payload = points.select(point, F.col("id").alias("chunk"), "doc_id", "page", "type", "text")
-    candidates = dense.select("query_id", "id").unionByName(keyword.select("query_id", "id")).distinct()
-    bm25 = search.top_of(search.pool_bm25(candidates.join(payload.select("id", "text"), "id"), terms), pool)
-    lists = [dense, keyword, bm25] if engine != "vector" else [dense]
-    fused = search.fuse(lists, 5 * top_k).select("query_id", "id", "rrf")
-    scored = search.best_per_id([dense, keyword]).select("query_id", "id", "score").join(fused, ["query_id", "id"]).join(payload, "id")
-    places = search.confidence_gate(search.first_per_place(scored), like.threshold)
-    kept = places.select("query_id", "id", "chunk", "doc_id", "page", "type", "text", F.col("rrf").alias("score"))
-    ranked = search.preferring(kept, like.types or ("",), 5 * top_k)
-    tables = search.table_evidence(ranked.join(asked.where("tables").select("query_id"), "query_id"), payload, top_k)
-    named = ranked.unionByName(tables).join(asked.select("query_id", "query", "top_k"), "query_id")
-    best = search.reranked(named, 50).where(F.col("final_rank") <= F.col("top_k"))
-    return best.select("query_id", F.col("chunk").alias("id"), "doc_id", "page", "type", "text", F.col("rerank").alias("score"), "final_rank")
+    numbered = points.withColumnsRenamed({"id": "chunk", "num": "id"})
+    best = requests.retrieve(numbered, as_rows(points.sparkSession, asked), cut_lineage, known, engine=engine, parse=known is not None)
+    return best.join(numbered.select("id", "chunk"), "id").select("query_id", F.col("chunk").alias("id"), "doc_id", "page", "type", "text", "score", "final_rank")
 
 
 def engine_for(mode: Column, room_mode: Column, default: str = "hybrid") -> Column:
