@@ -206,11 +206,13 @@ def hybrid_retrieve(spark, sf_dir):
 
 
 def retrieve_requests(spark, sf_dir):
-    """Requests whose questions say their constraints, from parsing to reranking, over documents of sources; the words come out of the stored index."""
+    """Requests whose questions say their constraints, from parsing to reranking, over documents of sources.
+
+    The words of all requests are looked up in one pass over the texts, as one
+    batch does not repay a stored index.
+    """
     points = views.passages(spark, sf_dir)
-    index = stored.documents_index(spark, sf_dir)
-    known = points.select("doc_id").distinct()
-    return requests.retrieve(points, views.requests(spark, sf_dir), cut_lineage, known, index.wanted).drop("text")
+    return requests.retrieve(points, views.requests(spark, sf_dir), cut_lineage, points.select("doc_id").distinct()).drop("text")
 
 
 RETRIEVE = f"""WITH p AS ({views.PASSAGES}), r0 AS ({views.REQUESTS}), r AS (SELECT *, len(types) > 0 AS typed, CASE WHEN len(types) > 0 THEN greatest(24, least(120, 8 * top_k)) ELSE greatest(18, least(80, 6 * top_k)) END AS pool FROM r0),
