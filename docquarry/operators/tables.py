@@ -64,11 +64,11 @@ def numeric_density(cells: DataFrame) -> DataFrame:
 
 def observations(cells: DataFrame, flag_aggregates: bool = False) -> DataFrame:
     """One row for each cell that is not blank; the row's cells that are no numbers are its dimensions."""
-    shown = cells.where("val IS NOT NULL AND trim(val) <> ''").withColumn("num", numeric.to_number(F.col("val")))
-    # sorted so that of equal keys the last one wins, as a later cell overwrites an earlier one
-    labels = F.sort_array(F.collect_list(F.when(F.col("num").isNull(), F.struct("col_idx", "col", "val"))))
-    rows = shown.groupBy(*ROW).agg(labels.alias("labels"))
-    joined = shown.join(rows, ROW)
+    shown = cells.where("val IS NOT NULL AND trim(val) <> ''").dropna(subset=ROW).withColumn("num", numeric.to_number(F.col("val")))
+    # a row's cells come together once: joined to themselves, one side could be broadcast by the size of its file.
+    # Sorted so that of equal keys the last one wins, as a later cell overwrites an earlier one
+    rows = shown.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("col_idx", "col", "val", "num"))).alias("cells"))
+    joined = rows.select(*ROW, F.filter("cells", lambda x: x["num"].isNull()).alias("labels"), F.inline("cells"))
     others = F.filter("labels", lambda x: x["col_idx"] != F.col("col_idx"))
     last = F.filter(others, lambda x: F.size(F.filter(others, lambda y: (y["col"] == x["col"]) & (y["col_idx"] > x["col_idx"]))) == 0)
     dims = F.map_from_entries(F.transform(last, lambda x: F.struct(x["col"], x["val"])))
@@ -93,23 +93,22 @@ def row_texts(cells: DataFrame) -> DataFrame:
     return own.select(*ROW, text.pairs_line(F.col("e"), " | ").alias("text"), "value_count")
 
 
-def _first_names(obs: DataFrame, column: str, most: int, out: str) -> DataFrame:
-    """The distinct names of each table in order, joined; no more of them than ``most`` characters can show, as a name comes with two."""
-    named = obs.select(*TABLE, column).where(F.col(column).isNotNull()).distinct()
-    at = F.row_number().over(Window.partitionBy(*TABLE).orderBy(column))
-    few = named.withColumn("at", at).where(F.col("at") <= most // 2 + 1)
-    return few.groupBy(*TABLE).agg(F.array_join(F.sort_array(F.collect_list(column)), ", ").alias(out))
+def _first_names(obs: DataFrame, column: str, most: int) -> DataFrame:
+    """(doc_id, table_id, at, name): the distinct names of each table in order; no more of them than ``most`` characters can show, as a name comes with two."""
+    named = obs.select(*TABLE, F.col(column).alias("name")).where("name is not null").distinct()
+    at = F.row_number().over(Window.partitionBy(*TABLE).orderBy("name"))
+    return named.select(*TABLE, at.alias("at"), "name").where(F.col("at") <= most // 2 + 1)
 
 
 def table_texts(obs: DataFrame, most: int = 400) -> DataFrame:
     """A text for each table: its panels, metrics and first three values, cut to ``most`` characters."""
-    names = obs.select(*TABLE).distinct()
-    for column, out in (("panel", "p"), ("metric_leaf", "m")):
-        names = names.join(_first_names(obs, column, most, out), TABLE, "left").withColumn(out, F.coalesce(out, F.lit("")))
     at = F.row_number().over(Window.partitionBy(*TABLE).orderBy("row_idx", "col_idx"))
-    top = obs.select(*TABLE, "value_raw", at.alias("at")).where("at <= 3")  # each task hands on three a table
-    first = top.groupBy(*TABLE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value_raw"))), lambda x: x["value_raw"]), ", ").alias("v"))
-    return names.join(first, TABLE, "left").select(*TABLE, F.substring(F.concat_ws(" | ", "p", "m", "v"), 1, most).alias("text"))
+    top = obs.select(*TABLE, at.alias("at"), F.col("value_raw").alias("name")).where("at <= 3")  # each task hands on three a table
+    # the few names of a table meet by one grouping and by no join, whose side could be sent to the driver
+    each = _first_names(obs, "panel", most).withColumn("part", F.lit(0)).unionByName(_first_names(obs, "metric_leaf", most).withColumn("part", F.lit(1))).unionByName(top.withColumn("part", F.lit(2)))
+    few = each.groupBy(*TABLE).agg(F.sort_array(F.collect_list(F.struct("part", "at", "name"))).alias("few"))
+    shown = lambda part: F.array_join(F.transform(F.filter("few", lambda x: x["part"] == part), lambda x: x["name"]), ", ")
+    return few.select(*TABLE, F.substring(F.concat_ws(" | ", *map(shown, range(3))), 1, most).alias("text"))
 
 
 def capped_rows(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
