@@ -123,13 +123,16 @@ def evidence(edges: DataFrame, hits: DataFrame, k: int, checkpoint) -> DataFrame
     """(query_id, id, score, rank): the k chunks of each query with the best bonus, two edges from its hits (query_id, id), hits themselves left out as seeds of their own.
 
     Chunks are vertices ``c`` and a number. The two edges meet in a document;
-    its chunks are counted once for a query, whatever hits lead there.
+    its chunks are counted once for a query, whatever hits lead there. As a
+    query leaves out one chunk of a document at most, the first k + 1 of each
+    document hold its first k, and no others meet the queries.
     """
     near = edges.where("rel = 'HAS_CHUNK'").select(F.col("src").alias("doc"), F.col("dst").alias("node"))
     weight = F.round(2 * numeric.relation_weight(F.lit("HAS_CHUNK")), 6)
     seeds = hits.select("query_id", F.concat(F.lit("c"), F.col("id").cast("string")).alias("node")).distinct()
     docs = checkpoint(seeds.join(near, "node").groupBy("query_id", "doc").agg(F.count("*").alias("seeds"), F.min("node").alias("seed")))
-    found = docs.join(near, "doc").where((F.col("seeds") > 1) | (F.col("node") != F.col("seed"))).select("query_id", "node").distinct()
+    first = near.withColumn("at", F.dense_rank().over(Window.partitionBy("doc").orderBy("node"))).where(F.col("at") <= k + 1).drop("at")
+    found = docs.join(first, "doc").where((F.col("seeds") > 1) | (F.col("node") != F.col("seed"))).select("query_id", "node").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("node"))
     ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select("query_id", F.substring("node", 2, 20).cast("long").alias("id"), weight.alias("score"), "rank")
