@@ -10,6 +10,8 @@ from docquarry.functions import slots, subsequences
 
 #: Letters of a gram; words shorter than this are like nothing.
 GRAM, SHORTEST = 3, 5
+#: Words of more letters are not held against ids by what is left without a letter, which takes the square of their length.
+FEW_LETTERS = 64
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -54,15 +56,43 @@ def _prefixes(texts: DataFrame, name: str, counts: DataFrame) -> DataFrame:
     return each.withColumn("place", place).where(F.col("place") <= F.length(name) - F.floor(F.length(name) / 3)).select(name, "item")
 
 
+def _without(text: Column, start: Column) -> Column:
+    """The texts that lack one letter of ``text``, from place ``start`` on; places count from 1."""
+    n = F.length(text)
+    cut = lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1, n))
+    return F.when(n >= start, F.transform(F.sequence(start, n), cut)).otherwise(F.array().cast("array<string>"))
+
+
+def _close(words: DataFrame, ids: DataFrame) -> DataFrame:
+    """(word, doc_id): those that are equal once each has lost a letter at most, or the id two.
+
+    For words of four letters or more every other id has a lower ratio than
+    these: they are 1 - 1 / a alike at least, for a word of a letters, and the
+    next ones, that lack two letters of it or differ in three, are less.
+    """
+    one = lambda c: F.explode(F.array_distinct(F.concat(F.array(c), _without(F.col(c), F.lit(1))))).alias("left")
+    near = words.select("word", one("word")).join(ids.select("doc_id", one("doc_id")), "left").select("word", "doc_id")
+    longer = ids.join(words.select((F.length("word") + 2).alias("n")).distinct(), F.length("doc_id") == F.col("n"), "left_semi")
+    two = F.flatten(F.transform(F.sequence(F.lit(1), F.length("doc_id")), lambda i: _without(F.concat(F.substr("doc_id", F.lit(1), i - 1), F.substr("doc_id", i + 1, F.length("doc_id"))), i)))
+    return near.unionByName(longer.select("doc_id", F.explode(F.array_distinct(two)).alias("word")).join(words, "word").select("word", "doc_id")).distinct()
+
+
 def most_like(words: DataFrame, ids: DataFrame, least: float = 80) -> DataFrame:
-    """(word, doc_id): for each word the id with the greatest ratio over ``least``, which is 80 or more; of equal ones the smallest."""
+    """(word, doc_id): for each word the id with the greatest ratio over ``least``, which is 80 or more; of equal ones the smallest.
+
+    Words that differ from an id in a letter have their answer among such ids,
+    which a join by equality finds, however alike all ids are; only the others
+    meet every id that shares one of their rarer pairs of letters.
+    """
     if least < 80:
         raise ValueError("the bounds hold for ratios over 80")
     longest = ids.agg(F.max(F.length("doc_id"))).first()[0] or 0
-    own = words.where(F.length("word") <= 1.5 * longest).distinct()
+    own = words.where((F.length("word") <= 1.5 * longest) & (F.length("word") >= SHORTEST)).distinct()
     known = ids.where(F.length("doc_id") * 1.5 >= SHORTEST)
+    near = _close(own.where(F.length("word") <= FEW_LETTERS), known.where(F.length("doc_id") <= FEW_LETTERS + 2))
+    far = own.join(near.select("word").distinct(), "word", "left_anti")
     counts = known.select(F.explode(_items(F.col("doc_id"))).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    pairs = _prefixes(own, "word", counts).join(_prefixes(known, "doc_id", counts), "item").select("word", "doc_id").distinct()
+    pairs = near.unionByName(_prefixes(far, "word", counts).join(_prefixes(known, "doc_id", counts), "item").select("word", "doc_id").distinct())
     a, b = F.length("word"), F.length("doc_id")
 
     @F.pandas_udf("double")
