@@ -12,6 +12,7 @@ slice's words travel in blocks, one a row, and its documents in a last row.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,6 +31,8 @@ FOLD_COUNT = 3
 SLICE_BYTES = 6_000_000
 #: Words of a row that is folded; long rows need arrays for which the JVM's heap has to grow.
 BLOCK_WORDS = 2_048
+#: The beginning of a splitting pattern by which a blank and the letters after it, if nothing else follows, are one piece.
+LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"
 _BITS = 17
 _NO_RANK = (1 << _BITS) - 1
 _SLOTS = 131_101
@@ -107,11 +110,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) ->
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.from_ranks(ranks_path, pattern)
         byte_ids = np.array([own.ranks[bytes([b])] for b in range(256)], np.int64)
+        one_piece = pattern.startswith(LETTERS)
         for doc_ids, texts in shared.slices(batches, most=SLICE_BYTES):
             places: dict[str, int] = {}
 
             def code(text: str) -> bytes:
-                return np.array([places.setdefault(piece, len(places)) for piece in own.pattern.findall(text)], "<i4").tobytes()
+                # a blank and ASCII letters are one piece, without the pattern
+                if one_piece and text.isascii() and text[:1] == " " and text[1:].isalpha():
+                    return places.setdefault(text, len(places)).to_bytes(4, "little")
+                return array("i", [places.setdefault(piece, len(places)) for piece in own.pattern.findall(text)]).tobytes()
 
             memo = bpe.Words(code)
             rows = []
@@ -124,7 +131,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) ->
             # places of folded words count up from 0, those of the rest down from -1
             moved = np.where(often, np.cumsum(often) - 1, -np.cumsum(~often)).astype("<i4")
             folded = [w for w, k in zip(words, often.tolist()) if k]
-            rest = [np.array(own.core._core_bpe.encode_single_piece(w), "<u4").tobytes() for w, k in zip(words, often.tolist()) if not k]
+            rest = [array("I", own.core._core_bpe.encode_single_piece(w)).tobytes() for w, k in zip(words, often.tolist()) if not k]
             ends = np.cumsum([0, *map(len, folded)])
             letters = byte_ids[np.frombuffer(b"".join(folded), np.uint8)]
             for first in range(0, len(folded), BLOCK_WORDS):
@@ -151,7 +158,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) ->
                     continue  # a block of words; the slice's documents follow
                 rest = rest_ids.as_py()
                 id_list += rest[::-1]
-                text_list += [b"".join(map(own.names.__getitem__, np.frombuffer(r, "<u4").tolist())) for r in rest][::-1]
+                text_list += [b"".join(map(own.names.__getitem__, memoryview(r).cast("I"))) for r in rest][::-1]
                 places = np.frombuffer(codes.as_py(), "<i4")
                 out: list[list] = [[] for _ in out_fields]
                 start = 0

@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers as P
+import regex
 import tiktoken
 
 from docquarry.llm import bpe, bpe_fold
@@ -28,3 +29,9 @@ def test_fold_equals_the_library(spark):
 def test_every_pair_has_its_slot():
     slots = bpe_fold.rank_slots(PATH, P.PATTERN)
     assert (slots >= 0).sum() == len(bpe_fold.pair_ranks(bpe.from_ranks(PATH, P.PATTERN).ranks))
+
+
+def test_letters_after_a_blank_are_one_piece():
+    assert P.PATTERN.startswith(bpe_fold.LETTERS)
+    for word in ["a", "Word", "s", "re", "ll", "t", "d", "x" * 300]:
+        assert regex.findall(P.PATTERN, f" {word}") == [f" {word}"]
