@@ -8,6 +8,10 @@ tokens and the vocabulary, never a text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,18 @@ from docquarry.sources.upserts import Folder, UpsertTable
 BUCKETS, FILES = 32, 2
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, dl, counted) of (id, words)."""
+    for batch in batches:
+        sizes = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = batch.column(1).flatten().dictionary_encode()
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        pairs, tf = np.unique(text * len(words.dictionary) + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        text, token = np.divmod(pairs, max(1, len(words.dictionary)))
+        counted = pa.MapArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)), pa.int32()), words.dictionary.take(pa.array(token)), pa.array(tf, pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), counted], names=["id", "dl", "counted"])
+
+
 class InvertedIndex:
     """An index under ``path``; its ids are whole numbers."""
 
@@ -62,17 +78,17 @@ class InvertedIndex:
         mine = {"writer": "add", "batch": batch}
         self.postings.commit(pairs.select("token", "id", "tf", "dl"), removed, distinct=True, **mine)
         self.vocabulary.commit(changes.where("df > 0"), changes.where("df <= 0") if old is not None else None, distinct=True, **mine)
-        self.documents.commit(words.select("id", "dl", F.map_keys("counted").alias("tokens")), None if gone is None else gone.select(F.col("id").cast("long").alias("id")), **mine)
+        # ids of words are distinct already: to rank their rows would write all tokens as JSON
+        out = None if gone is None else gone.select(F.col("id").cast("long").alias("id")).join(words.select("id"), "id", "left_anti")
+        self.documents.commit(words.select("id", "dl", F.map_keys("counted").alias("tokens")), out, distinct=True, **mine)
         own = self.documents.read().agg(F.lit("corpus").alias("name"), F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
         self.totals.commit(own, **mine)
         self.folder.drop(staging)
 
     def _words(self, docs: DataFrame) -> DataFrame:
-        """(id, dl, counted): tokens of each document with how often it has them. One shuffle, by id; a document without tokens stays."""
+        """(id, dl, counted): tokens of each document with how often it has them. One shuffle, by id; tokens are counted where a text lies, a batch of texts at once; a document without tokens stays."""
         own = docs.where("id is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.max("text").alias("text"))
-        each = own.select("id", F.explode_outer(search.tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("token").alias("tf"))
-        counted = F.map_from_entries(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", "tf"))))
-        return each.groupBy("id").agg(F.sum("tf").alias("dl"), counted.alias("counted"))
+        return own.select("id", search.tokens(F.col("text")).alias("words")).mapInArrow(_counted, "id long, dl long, counted map<string,long>")
 
     def _staged(self, name: str, rows: DataFrame) -> DataFrame:
         if not self.folder.exists(f"{name}/_SUCCESS"):

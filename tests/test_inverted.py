@@ -82,3 +82,11 @@ def test_a_lost_batch_is_repeated(spark, tmp_path, monkeypatch, lost):
         index.add(frame(spark, [(2, "a a"), (3, "c")]), batch=1)
         assert state(index) == made_anew({1: "a b", 2: "a a", 3: "c"})
     assert UpsertTable(spark, str(tmp_path / "i" / "totals"), ["name"]).manifest().writers["add"] == 1
+
+
+def test_tokens_are_counted_where_a_text_lies(spark, tmp_path):
+    held = {1: "b a B", 2: None, 3: "", 4: "é é 你好"}
+    own = InvertedIndex(spark, str(tmp_path / "i"))._words(frame(spark, held.items()))
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+    assert {r.id: (r.dl, r.counted) for r in own.collect()} == {i: (len(words(t)), dict(Counter(words(t)))) for i, t in held.items()}
