@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 64
 _SEGMENT = re.compile(r"[㐀-鿿]|[^\W㐀-鿿]+|\s+|[^\w\s]+|.", re.S)
+#: The same tokens without white space.
+_VISIBLE = re.compile(r"[㐀-鿿]|[^\W㐀-鿿]+|[^\w\s]+")
+#: Words whose places a worker keeps, and their longest; others are hashed each time they come.
+_PLACES_MOST, _PLACES_LONGEST = 200_000, 64
 _SLOTS: dict[str, Callable] = {}
 
 
@@ -33,14 +37,27 @@ def segment(text: str) -> list[str]:
     return _SEGMENT.findall(text)
 
 
+class _Places(dict):
+    """A bounded memo from a word without white space to a byte for each of its tokens: its dimension, with DIMENSIONS added where its sign is negative."""
+
+    def __missing__(self, word: str) -> bytes:
+        hashes = (hashlib.blake2b(token.encode(), digest_size=4).digest() for token in _VISIBLE.findall(word))
+        places = bytes(int.from_bytes(h[:2], "little") % DIMENSIONS + (0 if h[2] & 1 else DIMENSIONS) for h in hashes)
+        if len(self) < _PLACES_MOST and len(word) <= _PLACES_LONGEST:
+            self[word] = places
+        return places
+
+
+_places = _Places()
+
+
 def embed(texts: list[str]) -> np.ndarray:
     """Signed hashing of lower-case tokens, of length one; blank texts give zeros. One row for each text."""
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     for row, text in zip(out, texts):
-        for token in segment((text or "").lower()):
-            if token.strip():
-                h = hashlib.blake2b(token.encode(), digest_size=4).digest()
-                row[int.from_bytes(h[:2], "little") % DIMENSIONS] += 1 if h[2] & 1 else -1
+        places = b"".join(map(_places.__getitem__, (text or "").lower().split()))
+        counts = np.bincount(np.frombuffer(places, np.uint8), minlength=2 * DIMENSIONS)
+        row[:] = counts[:DIMENSIONS] - counts[DIMENSIONS:]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

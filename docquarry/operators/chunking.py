@@ -33,9 +33,13 @@ def packed(text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP, segment: C
         raise ValueError("the overlap must be smaller than a chunk")
     out = []
     for part in filter(str.strip, _BLANK.split(text or "")):
+        sentences = list(filter(str.strip, _SENTENCE.split(part.strip())))
+        if len(sentences) == 1 and segment is slots.segment:
+            out.append(sentences[0].strip())  # its tokens join to it
+            continue
         held: list[str] = []
         fresh = False
-        for sentence in filter(str.strip, _SENTENCE.split(part.strip())):
+        for sentence in sentences:
             tokens = segment(sentence.strip())
             if fresh and len(held) + len(tokens) > most:
                 out.append("".join(held))

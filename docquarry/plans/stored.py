@@ -1,8 +1,9 @@
-"""Indexes of the driver's tables that are built once a session and table, and read by every query after."""
+"""What is built of the driver's tables once a session and table, and read by every query after: indexes and stores."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from docquarry.operators.inverted import InvertedIndex
 from docquarry.operators.vectors import VectorIndex
 from docquarry.plans import views
 from docquarry.plans.shared_folder import shared_folder
+from docquarry.streaming.ingest import Store
 
-_BUILT: dict[tuple, InvertedIndex | VectorIndex] = {}
+_BUILT: dict[tuple, InvertedIndex | VectorIndex | Store] = {}
 
 
 def _print(spark: SparkSession, path: str) -> tuple:
@@ -40,3 +42,11 @@ def vectors_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
         index.add(views.points(spark, sf_dir).select("id", "embedding"))
         _BUILT[key] = index
     return _BUILT[key]
+
+
+def ingested_documents(spark: SparkSession, sf_dir: str, build: Callable[[], Store]) -> Store:
+    """The store that ``build`` makes of ``documents``, unless it is there already."""
+    key = ("store", spark.sparkContext.applicationId, *_print(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _BUILT or _BUILT[key].log.manifest() is None:
+        _BUILT[key] = build()
+    return _BUILT[key]

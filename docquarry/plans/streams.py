@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docquarry.plans import views
+from docquarry.plans import stored, views
 from docquarry.plans.shared_folder import shared_folder
 from docquarry.sources import files
 from docquarry.sources.upserts import UpsertTable
@@ -60,6 +60,11 @@ VOLUME = 50
 
 
 def _ingested(spark, sf_dir):
+    """The store of these files; three queries read what one ingest made."""
+    return stored.ingested_documents(spark, sf_dir, lambda: _ingest(spark, sf_dir))
+
+
+def _ingest(spark, sf_dir):
     """Files of fifty documents, a page each, taken in by a stream; every seventh file has bytes that are no text."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     volume = F.floor(F.col("doc_id") / VOLUME).cast("long")

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 BUCKETS = 16
 #: A file set is merged with the one before it if that is at most so many times as large.
 RATIO = 2
-_SEQ, _DELETED, _BUCKET = "__seq", "__deleted", "__bucket"
+_SEQ, _DELETED, _BUCKET, _FILE = "__seq", "__deleted", "__bucket", "__file"
 
 
 class Folder:
@@ -147,7 +147,7 @@ class UpsertTable:
         own = Manifest(version, old.key if old else self.key, old.buckets if old else self.buckets, T.StructType(fields), dict(old.sets) if old else {}, dict(old.writers) if old else {}, old.by if old else self.by)
         if own.key != self.key:
             raise ValueError(f"the table's key is {own.key}")
-        added = self._write(new.withColumn(_SEQ, F.lit(version).cast("long")), f"data/v{version:010d}", own)
+        added = self._write(self._dealt(new.withColumn(_SEQ, F.lit(version).cast("long")), own), f"data/v{version:010d}", own)
         for bucket, size in added.items():
             entries = own.sets.get(bucket, [])
             own.sets[bucket] = [*entries, (f"data/v{version:010d}/{_BUCKET}={bucket}", size, gone is not None)]
@@ -207,14 +207,17 @@ class UpsertTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders))
 
-    def _newest(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("__last", F.max(_SEQ).over(Window.partitionBy(*self.key))).where(F.col("__last") == F.col(_SEQ)).drop("__last")
+    def _newest(self, rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("__last", F.max(_SEQ).over(Window.partitionBy(*by, *self.key))).where(F.col("__last") == F.col(_SEQ)).drop("__last")
 
-    def _write(self, rows: DataFrame, folder: str, own: Manifest) -> dict[int, int]:
+    def _dealt(self, rows: DataFrame, own: Manifest) -> DataFrame:
+        """Rows by bucket; those of a key together."""
+        file = [F.pmod(F.hash(*own.key), F.lit(self.files)).alias(_FILE)] if self.files > 1 else []
+        return rows.select("*", self._bucket(own).alias(_BUCKET), *file).repartition(own.buckets * self.files, _BUCKET, *([_FILE] if file else []))
+
+    def _write(self, dealt: DataFrame, folder: str, own: Manifest) -> dict[int, int]:
         """Bytes by bucket."""
-        part = [F.col(_BUCKET), *([F.pmod(F.hash(*own.key), F.lit(self.files))] if self.files > 1 else [])]
-        dealt = rows.withColumn(_BUCKET, self._bucket(own)).repartition(own.buckets * self.files, *part)
-        dealt.sortWithinPartitions(_BUCKET, *own.by).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
+        dealt.drop(_FILE).sortWithinPartitions(_BUCKET, *own.by).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
         return {int(n.partition("=")[2]): self.folder.size(f"{folder}/{n}") for n in self.folder.names(folder) if n.startswith(_BUCKET)}
 
     def _compact(self, own: Manifest) -> None:
@@ -230,8 +233,9 @@ class UpsertTable:
         if not first:
             return
         whole = [b for b, at in first.items() if at == 0]
-        rows = self._newest(self._load(own, [f for b, at in first.items() for f, _, _ in own.sets[b][at:]]))
-        rows = rows.where(~(F.col(_DELETED) & self._bucket(own).isin(whole)))
+        rows = self._dealt(self._load(own, [f for b, at in first.items() for f, _, _ in own.sets[b][at:]]), own)
+        rows = self._newest(rows, _BUCKET, *([_FILE] if self.files > 1 else []))  # as the rows are dealt, without another shuffle
+        rows = rows.where(~(F.col(_DELETED) & F.col(_BUCKET).isin(whole)))
         folder = f"data/c{own.version:010d}"
         sizes = self._write(rows, folder, own)
         merged: dict[int, list] = defaultdict(list)

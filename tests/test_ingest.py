@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docquarry import cli
 from docquarry.functions import slots
+from docquarry.plans import streams
 from docquarry.sources import files
 from docquarry.sources.upserts import UpsertTable
 from docquarry.streaming import ingest
@@ -127,3 +128,46 @@ def test_on_the_command_line(spark, folder, capsys):
     assert "|c " in out and "|a " not in out
     cli.main(["reset", store])
     assert ingest.Store(spark, store).points.read().count() == 0
+
+
+def test_queries_share_an_ingest(spark, monkeypatch):
+    took, folder = [], "/root/testdata/sf0.001"
+    ingested = ingest.ingest
+    monkeypatch.setattr(ingest, "ingest", lambda *a, **b: (took.append(1), ingested(*a, **b))[1])
+    monkeypatch.setattr(streams.stored, "_BUILT", {})
+    assert streams.ingest_pages(spark, folder).count() > 0 and streams.ingest_log(spark, folder).count() == 2
+    assert len(took) == 1
+
+
+def test_steps_at_a_time_raise_when_all_have_ended(spark):
+    done = []
+
+    def bad():
+        raise OSError("lost")
+
+    with pytest.raises(OSError, match="lost"):
+        ingest._together(spark, bad, lambda: done.append(1))
+    assert done == [1]
+
+
+def test_embed_counts_the_tokens_of_words():
+    """Words are kept whole, so signs, figures, CJK letters and all kinds of blanks must give the tokens that the splitter gives."""
+    texts = ["Solar, wind; (2023) x_y", "營收 2023年 a\x1cb\u00a0c\u2003d", "", None, "İSTANBUL ǅ!", "word " * 50 + "-" * 100]
+    for row, text in zip(slots.embed(texts), texts):
+        want = np.zeros(slots.DIMENSIONS, np.float32)
+        for token in slots.segment((text or "").lower()):
+            if token.strip():
+                h = slots.hashlib.blake2b(token.encode(), digest_size=4).digest()
+                want[int.from_bytes(h[:2], "little") % slots.DIMENSIONS] += 1 if h[2] & 1 else -1
+        assert row.tolist() == (want / max(np.linalg.norm(want), 1e-12)).tolist()
+
+
+def test_files_are_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    """Else a batch starts a task for each of its files before it reads them."""
+    name, seen = "spark.sql.sources.parallelPartitionDiscovery.parallelism", []
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("a")
+    before = spark.conf.get(name)
+    monkeypatch.setattr(ingest, "ingest_batch", lambda store, batch, *more: seen.append(batch.sparkSession.conf.get(name)))
+    take(spark, tmp_path)
+    assert seen == ["64"] and spark.conf.get(name) == before

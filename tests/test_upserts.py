@@ -76,3 +76,14 @@ def test_new_columns_and_another_key(spark, tmp_path):
     assert rows(table.read()) == [(1, "a", 1, None), (2, "b", 1, 0.5)]
     with pytest.raises(ValueError):
         UpsertTable(spark, str(tmp_path / "t"), ["v"]).commit(spark.createDataFrame([(1, "a", 1)], SCHEMA))
+
+
+def test_merging_shuffles_once(spark, tmp_path, monkeypatch):
+    written, write = [], UpsertTable._write
+    monkeypatch.setattr(UpsertTable, "_write", lambda self, rows, folder, own: (written.append((folder, rows._jdf.queryExecution().executedPlan().toString())), write(self, rows, folder, own))[1])
+    table = UpsertTable(spark, str(tmp_path / "t"), ["k"], groups=True, buckets=2)
+    for text in ("a", "b"):
+        table.commit(spark.createDataFrame([(k, text) for k in range(3)], "k long, v string"))
+    plans = [p for folder, p in written if folder.startswith("data/c")]
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, table.read().collect())) == [(k, "b") for k in range(3)]
