@@ -31,10 +31,13 @@ FOLD_COUNT = 3
 SLICE_BYTES = 6_000_000
 #: Words of a row that is folded; long rows need arrays for which the JVM's heap has to grow.
 BLOCK_WORDS = 2_048
-#: The beginning of a splitting pattern by which a blank and the letters after it, if nothing else follows, are one piece.
-LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"
+#: The beginning of a splitting pattern by which a blank and the letters after it are one piece, and a stop or comma behind them another.
+LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|"
+#: Below this, Python's letters are those of the pattern, whatever the Unicode version of either.
+_SAME_LETTERS = "\u0250"
 _BITS = 17
 _NO_RANK = (1 << _BITS) - 1
+_PLACE_BITS = FOLD_BYTES.bit_length()
 _SLOTS = 131_101
 _HASHES = ((40_503, 2_654_435), (3_141_592, 27_183))
 
@@ -73,22 +76,28 @@ def _rank(a: str, b: str) -> str:
     one = f"get(slots, cast(({a} * {p1} + {b} * {q1}) % {_SLOTS} AS int))"
     two = f"get(slots, cast({_SLOTS} + ({a} * {p2} + {b} * {q2}) % {_SLOTS} AS int))"
     key = f"({a} * {1 << _BITS} + {b})"
-    return f"CASE WHEN shiftright({one}, {_BITS}) = {key} THEN {one} & {_NO_RANK} WHEN shiftright({two}, {_BITS}) = {key} THEN {two} & {_NO_RANK} ELSE {_NO_RANK}L END"
+    return f"(CASE WHEN shiftright({one}, {_BITS}) = {key} THEN {one} & {_NO_RANK} WHEN shiftright({two}, {_BITS}) = {key} THEN {two} & {_NO_RANK} ELSE {_NO_RANK}L END)"
 
 
 def fold_sql() -> str:
-    """SQL for the ids of each word of ``words``, arrays of the ids of single bytes; ``slots`` is the rank map."""
-    none = "cast(array() AS array<bigint>)"
-    merged = f"""named_struct(
-        'p', concat(slice(s.p, 1, k - 1), array(get(s.r, k - 1)), slice(s.p, k + 2, size(s.p))),
-        'r', concat(slice(s.r, 1, greatest(k - 2, 0)),
-                    if(k > 1, array({_rank('get(s.p, k - 2)', 'get(s.r, k - 1)')}), {none}),
-                    if(k + 1 < size(s.p), array({_rank('get(s.r, k - 1)', 'get(s.p, k + 1)')}), {none}),
-                    slice(s.r, k + 2, size(s.p))))"""
-    step = f"if(coalesce(array_min(s.r), {_NO_RANK}L) = {_NO_RANK}L, s, get(transform(array(cast(array_position(s.r, array_min(s.r)) AS int)), k -> {merged}), 0))"
-    start = f"named_struct('p', w, 'r', if(size(w) < 2, {none}, zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> {_rank('a', 'b')})))"
+    """SQL for the ids of each word of ``words``, arrays of the ids of single bytes; ``slots`` is the rank map.
+
+    A symbol is one number: the rank of it and its right neighbour, the place of its first byte, its id. So the
+    least number is the first of the lowest merges, and the fold carries one array. Its index is counted, as
+    array_position leaves its loop by an exception, which took most of the fold's time.
+    """
+    own, place, unranked = (1 << _BITS) - 1, ((1 << _PLACE_BITS) - 1) << _BITS, _NO_RANK << _BITS + _PLACE_BITS
+    up = f"* {1 << _BITS + _PLACE_BITS}L"
+    merged = f"""concat(
+        slice(s, 1, greatest(k - 2, 0)),
+        if(k > 1, array({_rank(f'(get(s, k - 2) & {own})', 'new')} {up} + (get(s, k - 2) & {place | own})), cast(array() AS array<bigint>)),
+        array({_rank('new', f'(get(s, k + 1) & {own})')} {up} + (m & {place}) + new),
+        slice(s, k + 2, size(s)))"""
+    bound = f"get(transform(array(shiftright(m, {_BITS + _PLACE_BITS})), new -> get(transform(array(1 + size(filter(s, x -> (x & {place}) < (m & {place})))), k -> {merged}), 0)), 0)"
+    step = f"get(transform(array(array_min(s)), m -> if(m >= {unranked}L, s, {bound})), 0)"
+    start = f"transform(w, (a, i) -> {_rank('a', 'get(w, i + 1)')} {up} + i * {1 << _BITS}L + a)"
     turns = "if(size(w) < 2, cast(array() AS array<int>), sequence(2, size(w)))"
-    return f"transform(words, w -> aggregate({turns}, {start}, (s, i) -> {step}, s -> s.p))"
+    return f"transform(words, w -> aggregate({turns}, {start}, (s, i) -> {step}, s -> transform(s, x -> x & {own})))"
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) -> DataFrame:
@@ -110,14 +119,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) ->
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.from_ranks(ranks_path, pattern)
         byte_ids = np.array([own.ranks[bytes([b])] for b in range(256)], np.int64)
-        one_piece = pattern.startswith(LETTERS)
+        plain = pattern.startswith(LETTERS)
         for doc_ids, texts in shared.slices(batches, most=SLICE_BYTES):
             places: dict[str, int] = {}
 
             def code(text: str) -> bytes:
-                # a blank and ASCII letters are one piece, without the pattern
-                if one_piece and text.isascii() and text[:1] == " " and text[1:].isalpha():
-                    return places.setdefault(text, len(places)).to_bytes(4, "little")
+                # a blank and letters are one piece, and so is a stop or comma behind them, without the pattern
+                if plain and text[:1] == " " and (text.isascii() or max(text) < _SAME_LETTERS):
+                    if text[1:].isalpha():
+                        return places.setdefault(text, len(places)).to_bytes(4, "little")
+                    if text[-1] in ".," and text[1:-1].isalpha():
+                        return places.setdefault(text[:-1], len(places)).to_bytes(4, "little") + places.setdefault(text[-1], len(places)).to_bytes(4, "little")
                 return array("i", [places.setdefault(piece, len(places)) for piece in own.pattern.findall(text)]).tobytes()
 
             memo = bpe.Words(code)

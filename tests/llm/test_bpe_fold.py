@@ -35,3 +35,22 @@ def test_letters_after_a_blank_are_one_piece():
     assert P.PATTERN.startswith(bpe_fold.LETTERS)
     for word in ["a", "Word", "s", "re", "ll", "t", "d", "x" * 300]:
         assert regex.findall(P.PATTERN, f" {word}") == [f" {word}"]
+
+
+def test_folded_words_of_all_lengths(spark):
+    """Words that come three times, so that they are folded, up to the longest: runs whose merges tie, letters beyond ASCII, stops and commas."""
+    words = [w[:n] for n in (1, 2, 7, 31, 63) for w in ("a" * 64, "ab" * 32, "the" * 22, "aab" * 22, "zqx" * 22)] + ["größe", "AIÉ", "ñandú", "word,", "größe.", "x,.", ",", ".", "営収", "営収,", "a1,", "it's."]
+    text = " ".join(words * 3) + " end."
+    ranks = bpe.from_ranks(PATH, P.PATTERN).ranks
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    row = bpe_fold.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH, P.PATTERN).first()
+    assert bytes(row.ids) == b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(text)) and bytes(row.decoded) == text.encode()
+    assert "array_position" not in bpe_fold.fold_sql()
+
+
+def test_letters_are_those_of_the_pattern():
+    letter = regex.compile(r"\p{L}")
+    for c in map(chr, range(ord(bpe_fold._SAME_LETTERS))):
+        assert c.isalpha() == bool(letter.match(c)), repr(c)
+        if c.isalpha():
+            assert regex.findall(P.PATTERN, f" {c}{c},") == [f" {c}{c}", ","] and regex.findall(P.PATTERN, f" a{c}.") == [f" a{c}", "."]
