@@ -16,7 +16,7 @@ from collections import defaultdict
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,10 +91,10 @@ class Manifest:
 class UpsertTable:
     """A table under ``path`` with a row, or with ``groups`` all rows of one commit, for each key."""
 
-    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], order: str | None = None, groups: bool = False, buckets: int = BUCKETS, by: Sequence[str] = (), files: int = 1):
-        """``by``: columns of the key that tell the bucket, all without it; files: tasks that write a bucket."""
+    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], order: str | None = None, groups: bool = False, buckets: int = BUCKETS, by: Sequence[str] = (), files: int = 1, codec: str = "snappy"):
+        """``by``: columns of the key that tell the bucket, all without it; files: tasks that write a bucket; codec: of what is written from now on."""
         self.spark, self.path, self.key, self.order, self.groups, self.buckets = spark, path, list(key), order, groups, buckets
-        self.by, self.files = list(by) or self.key, files
+        self.by, self.files, self.codec = list(by) or self.key, files, codec
         self.folder = Folder(spark, path)
 
     def versions(self) -> list[int]:
@@ -121,19 +121,33 @@ class UpsertTable:
         rows = self._newest(self._load(own, mixed)).where(~F.col(_DELETED))
         return self._load(own, plain).unionByName(rows).drop(_SEQ, _DELETED)
 
+    def batch(self, writer: str, number: int) -> DataFrame:
+        """What the newest commit took in, that batch of a writer, with ``__deleted`` for keys that went; it is there until a later version alone is kept."""
+        own = self.manifest()
+        if own is None or own.writers.get(writer) != number:
+            raise ValueError(f"batch {number} of {writer!r} is not the newest commit")
+        folder = f"data/v{own.version:010d}"
+        return self._load(own, [f"{folder}/{n}" for n in self.folder.names(folder) if n.startswith(_BUCKET)])
+
+    def before(self, writer: str, number: int) -> int | None:
+        """The newest version without that batch of a writer; null where there is none."""
+        return next((v for v in reversed(self.versions()) if self.manifest(v).writers.get(writer, -1) < number), None)
+
     def buckets_of(self, rows: DataFrame) -> set[int]:
         """The buckets that these rows lie in; at most as many as the table has."""
         own = self.manifest()
         return {r[0] for r in rows.select(self._bucket(own).alias("b")).distinct().collect()} if own else set()
 
-    def commit(self, rows: DataFrame | None, gone: DataFrame | None = None, writer: str = "", batch: int | None = None, distinct: bool = False) -> Manifest:
+    def commit(self, rows: DataFrame | None, gone: DataFrame | Column | None = None, writer: str = "", batch: int | None = None, distinct: bool = False, dealt: bool = False, merge: bool = True) -> Manifest:
         """A new version with these rows in the place of their keys' own and without the keys of ``gone``.
 
         A batch number of a writer that is not above its last one changes
         nothing. Of several rows of a key the one with the greatest ``order``
         counts, of equal ones the greatest by its text; with ``groups`` all do.
         A key that is both in the rows and gone stays. distinct: no two rows
-        share a key, and none of them is gone.
+        share a key, and none of them is gone; ``gone`` may then be a condition
+        on the rows. dealt: the rows lie by bucket already, as ``by_bucket`` deals them.
+        merge: whether file sets are merged at once, and not by ``merge`` later.
         """
         old = self.manifest()
         if old and batch is not None and old.writers.get(writer, -1) >= batch:
@@ -147,17 +161,27 @@ class UpsertTable:
         own = Manifest(version, old.key if old else self.key, old.buckets if old else self.buckets, T.StructType(fields), dict(old.sets) if old else {}, dict(old.writers) if old else {}, old.by if old else self.by)
         if own.key != self.key:
             raise ValueError(f"the table's key is {own.key}")
-        added = self._write(self._dealt(new.withColumn(_SEQ, F.lit(version).cast("long")), own), f"data/v{version:010d}", own)
+        new = new.withColumn(_SEQ, F.lit(version).cast("long"))
+        added = self._write(new.withColumn(_BUCKET, self._bucket(own)) if dealt else self._dealt(new, own), f"data/v{version:010d}", own)
         for bucket, size in added.items():
             entries = own.sets.get(bucket, [])
             own.sets[bucket] = [*entries, (f"data/v{version:010d}/{_BUCKET}={bucket}", size, gone is not None)]
             own.written += size
-        self._compact(own)
+        if merge:
+            self._compact(own)
         if batch is not None:
             own.writers[writer] = batch
         self.folder.put(f"manifests/v={version:010d}.json", own.dump())
         return own
 
+    def merge(self) -> None:
+        """A new version with the file sets merged that a commit has left, if there are any."""
+        own = self.manifest()
+        own.version, sets = own.version + 1, dict(own.sets)
+        self._compact(own)
+        if own.sets != sets:
+            self.folder.put(f"manifests/v={own.version:010d}.json", own.dump())
+
     def sink(self, writer: str) -> Callable[[DataFrame, int], None]:
         """For foreachBatch."""
         return lambda rows, number: (self.commit(rows, writer=writer, batch=number), None)[1]
@@ -179,7 +203,15 @@ class UpsertTable:
                 went += 1
         return went
 
-    def _batch(self, rows: DataFrame | None, gone: DataFrame | None, old: Manifest | None, distinct: bool) -> DataFrame:
+    def by_bucket(self, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+        """Rows dealt by bucket and, as far as spark.sql.shuffle.partitions goes, by key within one; the columns that were added for it."""
+        own, slices = self.manifest() or self, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets
+        added = rows.select("*", self._bucket(own).alias(_BUCKET), F.pmod(F.hash(*self.key), F.lit(max(1, slices))).alias(_FILE))
+        return added.repartition(own.buckets * max(1, slices), _BUCKET, _FILE), [_BUCKET, _FILE]
+
+    def _batch(self, rows: DataFrame | None, gone: DataFrame | Column | None, old: Manifest | None, distinct: bool) -> DataFrame:
+        if isinstance(gone, Column):
+            return rows.withColumn(_DELETED, gone)
         parts = []
         if rows is not None:
             own = rows
@@ -217,9 +249,14 @@ class UpsertTable:
 
     def _write(self, dealt: DataFrame, folder: str, own: Manifest) -> dict[int, int]:
         """Bytes by bucket."""
-        dealt.drop(_FILE).sortWithinPartitions(_BUCKET, *own.by).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
+        dealt.drop(_FILE).sortWithinPartitions(_BUCKET, *own.by).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.path}/{folder}", compression=self.codec)
         return {int(n.partition("=")[2]): self.folder.size(f"{folder}/{n}") for n in self.folder.names(folder) if n.startswith(_BUCKET)}
 
+    def _merged(self, rows: DataFrame, whole: list[int]) -> DataFrame:
+        """The newest rows of dealt ones; without tombstones in buckets that are merged as a whole."""
+        rows = self._newest(rows, _BUCKET, *([_FILE] if self.files > 1 else []))  # as the rows are dealt, without another shuffle
+        return rows.where(~(F.col(_DELETED) & F.col(_BUCKET).isin(whole)))
+
     def _compact(self, own: Manifest) -> None:
         """Merge the newest file sets of those buckets where they have grown; tombstones go once nothing older is left."""
         first: dict[int, int] = {}
@@ -234,8 +271,7 @@ class UpsertTable:
             return
         whole = [b for b, at in first.items() if at == 0]
         rows = self._dealt(self._load(own, [f for b, at in first.items() for f, _, _ in own.sets[b][at:]]), own)
-        rows = self._newest(rows, _BUCKET, *([_FILE] if self.files > 1 else []))  # as the rows are dealt, without another shuffle
-        rows = rows.where(~(F.col(_DELETED) & F.col(_BUCKET).isin(whole)))
+        rows = self._merged(rows, whole)
         folder = f"data/c{own.version:010d}"
         sizes = self._write(rows, folder, own)
         merged: dict[int, list] = defaultdict(list)

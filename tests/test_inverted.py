@@ -4,9 +4,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from docquarry.operators import search
+from docquarry.operators import inverted, search
 from docquarry.operators.inverted import InvertedIndex
 from docquarry.sources.upserts import Folder, UpsertTable
 
@@ -90,3 +91,42 @@ def test_tokens_are_counted_where_a_text_lies(spark, tmp_path):
     plan = own._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("Exchange") == 1
     assert {r.id: (r.dl, r.counted) for r in own.collect()} == {i: (len(words(t)), dict(Counter(words(t)))) for i, t in held.items()}
+
+
+def test_disk_holds_one_version_in_few_bytes_a_posting(spark, tmp_path):
+    rnd, held = random.Random(3), {}
+    index = InvertedIndex(spark, str(tmp_path / "i"), buckets=2)
+    for step in range(3):
+        new = {i: " ".join(f"w{int(rnd.paretovariate(0.7)) % 3000}" for _ in range(200)) for i in range(step * 300, step * 300 + 500)}
+        index.add(frame(spark, new.items()), spark.createDataFrame([(step,)], "id long"))
+        held |= new
+        if step:
+            held.pop(step, None)
+    assert state(index) == made_anew(held)  # the first batch has the id that it takes out, so it stays
+    tables = [index.postings, index.documents, index.vocabulary, index.totals]
+    assert all(len(t.versions()) == 1 for t in tables) and not (tmp_path / "i" / "staging").exists()
+    named = {f for t in tables for entries in t.manifest().sets.values() for f, _, _ in entries}
+    there = {f"data/{n}/{b}" for t in tables for n in t.folder.names("data") for b in t.folder.names(f"data/{n}") if b.startswith("__bucket")}
+    assert there <= named
+    stored = sum(f.stat().st_size for f in (tmp_path / "i" / "postings" / "data").rglob("*.parquet"))
+    assert stored < 8 * index.postings.read().count()
+
+
+def test_postings_of_questions_move_once_as_blocks(spark, tmp_path):
+    index = InvertedIndex(spark, str(tmp_path / "i"), buckets=2)
+    index.add(frame(spark, [(i, f"w{i % 3} shared") for i in range(-20, 20)]))
+    terms = search.query_terms(spark.createDataFrame([(q, "w1 shared") for q in range(30)], "query_id long, query string"))
+    found = index.bm25(terms, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and "hashpartitioning(slice" in plan
+    assert "hashpartitioning(query_id, id" not in re.sub(r"#\d+L?", "", plan)
+    assert sorted((r.query_id, r.id) for r in found.collect()) == [(q, i) for q in range(30) for i in (-20, -17)]
+
+
+def test_blocks_hold_any_id(spark):
+    ids = np.array([-(2**63), -1, 0, 2**63 - 1, -5, 7, 7 + 2**40], np.int64)
+    group, marked, dl = np.array([0, 0, 0, 0, 1, 2, 2]), np.array([2, 1, 300, 2**33, 4, 6, 2]), np.array([1, 0, 2**31, 5, 127, 128, 2**14])
+    first, blocks = inverted._packed(group, ids, marked, dl)
+    assert first.tolist() == [0, 4, 5]
+    assert [x.tolist() for x in inverted._unpacked(blocks)] == [group.tolist(), ids.tolist(), marked.tolist(), dl.tolist()]
+    assert [x.tolist() for x in inverted._unpacked(blocks[1:])] == [[0, 1, 1], ids[4:].tolist(), marked[4:].tolist(), dl[4:].tolist()]
